@@ -10,6 +10,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +20,15 @@ from pyspark.sql import functions as F
 MATCH_TYPE = "array<struct<value:string,start:int,end:int>>"
 
 _PY_SPACE = r"\s\x1c-\x1f"
-# Whitespace as Python's str.strip() sees it.
-_EDGE_SPACE = rf"(?U)\A[{_PY_SPACE}]+|[{_PY_SPACE}]+\z"
+# The whitespace of Python's str.strip().
+_STRIPPED = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+# What lower case leaves of the characters that regexes take for ASCII i and s: dotless i, long s and
+# dotted capital I.
+_FOLDED = ("\u0131", "\u017f", "i\u0307")
 
 
 def jregex(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -86,14 +96,32 @@ def compile_check(
         raise ValueError(f"Invalid regex pattern: {pattern}") from bad
 
 
-def matches(text: Column, jpattern: str) -> Column:
-    """True where the pattern occurs (``re.search``)."""
-    return text.rlike(jpattern)
+def may_match(low: Column, needs: tuple[tuple[str, ...], ...]) -> Column | None:
+    """Cheap necessary condition on the lowered text: one literal of every group occurs."""
+    if not needs:
+        return None
+    test = None
+    for group in needs:
+        one = reduce(or_, [F.contains(low, F.lit(x)) for x in group])
+        test = one if test is None else test & one
+    return reduce(or_, [F.contains(low, F.lit(c)) for c in _FOLDED], test)
+
+
+def matches(
+    text: Column,
+    jpattern: str,
+    low: Column | None = None,
+    needs: tuple[tuple[str, ...], ...] = (),
+) -> Column:
+    """True where the pattern occurs (``re.search``); ``needs`` may spare the regex, see the rules."""
+    guard = None if low is None else may_match(low, needs)
+    found = text.rlike(jpattern)
+    return found if guard is None else guard & found
 
 
 def py_strip(text: Column) -> Column:
     """``str.strip()``."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_STRIPPED))
 
 
 def match_values(text: Column, jpattern: str) -> Column:
@@ -103,13 +131,14 @@ def match_values(text: Column, jpattern: str) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def match_spans(text: Column, jpattern: str) -> Column:
+def match_spans(text: Column, jpattern: str, only_where: Column | None = None) -> Column:
     """All matches with 0-based code-point offsets, end exclusive (``re.finditer``).
 
     Java matches in UTF-16 units, so offsets are rebuilt from lengths: the text is cut at the matches
     and the running length of gaps and matches gives each start. Work beyond the one ``rlike`` scan is
-    done only for rows that match.
+    done only for rows that match; rows outside ``only_where`` are known not to.
     """
+    hit = text.rlike(jpattern) if only_where is None else only_where & text.rlike(jpattern)
     found = F.regexp_extract_all(text, F.lit(jpattern), F.lit(0))
     gaps = F.split(text, jpattern, -1)
     # An empty match at the very start yields no leading gap in Java's split.
@@ -130,7 +159,7 @@ def match_spans(text: Column, jpattern: str) -> Column:
             v.alias("value"), s.alias("start"), (s + F.length(v)).alias("end")
         ),
     )
-    return F.when(text.rlike(jpattern), spans.cast(MATCH_TYPE)).otherwise(
+    return F.when(hit, spans.cast(MATCH_TYPE)).otherwise(
         F.array().cast(MATCH_TYPE)
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import jregex, match_spans, matches, py_strip
+from ..functions.regex import jregex, match_spans, matches, may_match, py_strip
 from ..functions.text import char_entropy, fixed2, special_char_ratio, substring_count
 from ..rules import (
     INSTRUCTION_WORDS,
@@ -36,7 +36,8 @@ RULE_LINE_LIMIT = 10
 INSTRUCTION_WORD_LIMIT = 5
 ENTROPY_MIN_LENGTH = 50
 ENTROPY_LIMIT = 5.5
-BASE64_RUN = r"[A-Za-z0-9+/]{50,}={0,2}"
+# The look-behind only keeps the search from starting again inside the same run.
+BASE64_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{50,}={0,2}"
 
 
 def _threat(
@@ -92,10 +93,10 @@ def rule_pattern(rule: RegexRule) -> str:
     return jregex(rule.pattern, ignore_case=True, multiline=True)
 
 
-def regex_threats(text: Column, rule: RegexRule) -> Column:
-    """One threat per match of one rule, left to right."""
+def regex_threats(text: Column, low: Column, rule: RegexRule) -> Column:
+    """One threat per match of one rule, left to right; ``low`` is the text in lower case."""
     return F.transform(
-        match_spans(text, rule_pattern(rule)),
+        match_spans(text, rule_pattern(rule), may_match(low, rule.needs)),
         lambda m: _threat(
             rule.threat_type, rule.severity, m["value"], rule.description, m["start"], m["end"]
         ),
@@ -122,8 +123,8 @@ def excessive_formatting(text: Column) -> Column:
     )
 
 
-def instruction_word_count(text: Column) -> Column:
-    low = F.lower(text)
+def instruction_word_count(low: Column) -> Column:
+    """Occurrences of instruction words in the lowered text, also inside longer words."""
     return sum((substring_count(low, w) for w in INSTRUCTION_WORDS), F.lit(0))
 
 
@@ -190,21 +191,25 @@ def encoding_warnings(text: Column, entropy: Column) -> Column:
     )
 
 
-def first_marker(text: Column, rules: RuleSet = REPAIRED) -> Column:
+def first_marker(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
     """The first conversation-marker pattern that occurs, else null."""
-    hits = [F.when(matches(text, jregex(p)), F.lit(p)) for p in rules.conversation_markers]
+    hits = [
+        F.when(matches(text, jregex(m.pattern), low, m.needs), F.lit(m.pattern))
+        for m in rules.conversation_markers
+    ]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def simulates_system(text: Column, rules: RuleSet = REPAIRED) -> Column:
-    if rules.system_simulation is None:
+def simulates_system(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+    known = rules.system_simulation
+    if known is None:
         return F.lit(False)
-    return matches(text, jregex(rules.system_simulation))
+    return matches(text, jregex(known.pattern), low, known.needs)
 
 
-def structure_threats(text: Column, rules: RuleSet = REPAIRED) -> Column:
+def structure_threats(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
     """Fake conversation marker, then system-prompt simulation."""
-    marker = first_marker(text, rules)
+    marker = first_marker(text, low, rules)
     return F.array_compact(
         F.array(
             F.when(
@@ -214,7 +219,7 @@ def structure_threats(text: Column, rules: RuleSet = REPAIRED) -> Column:
                 ),
             ),
             F.when(
-                simulates_system(text, rules),
+                simulates_system(text, low, rules),
                 _threat(
                     "context_manipulation",
                     "critical",
@@ -279,13 +284,14 @@ def detect_injection(
             }
         )
 
-    text, norm = F.col("__text"), F.col("__norm")
+    text, low, norm = F.col("__text"), F.col("__low"), F.col("__norm")
     staged = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    staged = staged.withColumn("__low", F.lower(text))
     staged = staged.withColumns(
         {
-            "__norm": normalized(text),
+            "__norm": py_strip(low),
             "__ratio": special_char_ratio(text),
-            "__words": instruction_word_count(text),
+            "__words": instruction_word_count(low),
             "__entropy": char_entropy(text, ENTROPY_MIN_LENGTH),
         }
     )
@@ -294,9 +300,9 @@ def detect_injection(
         {
             names["threats"]: F.concat(
                 phrase_threats(norm, rules),
-                *[regex_threats(text, r) for r in rules.injection_rules],
+                *[regex_threats(text, low, r) for r in rules.injection_rules],
                 heuristic_threats(text, F.col("__ratio"), F.col("__words")),
-                structure_threats(text, rules),
+                structure_threats(text, low, rules),
                 F.coalesce(extra, F.array()).cast(THREATS_TYPE),
             ),
             "__warnings": F.concat(
@@ -319,7 +325,7 @@ def detect_injection(
             names["warnings"]: F.concat("__warnings", elevated),
             **identity,
         }
-    ).drop("__text", "__norm", "__ratio", "__words", "__entropy", "__warnings")
+    ).drop("__text", "__low", "__norm", "__ratio", "__words", "__entropy", "__warnings")
 
 
 def threats_table(df: DataFrame, key_cols: list[str], threats_col: str = "threats") -> DataFrame:

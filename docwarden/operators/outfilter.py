@@ -18,31 +18,45 @@ BLOCKED_TEXT = "[OUTPUT BLOCKED:  Security policy violation detected]"
 
 def blocked_descriptions(text: Column, rules: RuleSet = REPAIRED) -> Column:
     """Descriptions of the blocking rules that occur, in rule order."""
+    low = F.lower(text)
     hits = [
-        F.when(matches(text, jregex(r.pattern, ignore_case=True)), F.lit(r.description))
+        F.when(matches(text, jregex(r.pattern, ignore_case=True), low, r.needs), F.lit(r.description))
         for r in rules.blocked_outputs
     ]
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
+def _hinted(text: Column, rule: PiiRule) -> Column | None:
+    return None if rule.hint is None else text.rlike(jregex(rule.hint))
+
+
+def pii_spans(text: Column, rule: PiiRule) -> Column:
+    """All matches of one rule, left to right."""
+    return match_spans(text, jregex(rule.pattern), _hinted(text, rule))
+
+
 def redact_text(text: Column, rule: PiiRule) -> Column:
-    return replace_all(text, jregex(rule.pattern), rule.redaction)
+    redacted = replace_all(text, jregex(rule.pattern), rule.redaction)
+    return redacted if rule.hint is None else F.when(_hinted(text, rule), redacted).otherwise(text)
 
 
-def credential_warnings(text: Column, rules: RuleSet = REPAIRED) -> Column:
-    """One warning per credential shape that occurs."""
+def credential_warnings(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+    """One warning per credential shape that occurs; ``low`` is the text in lower case."""
     hits = [
-        F.when(matches(text, jregex(r.pattern)), F.lit(f"{r.description} detected in output"))
+        F.when(
+            matches(text, jregex(r.pattern), low, r.needs),
+            F.lit(f"{r.description} detected in output"),
+        )
         for r in rules.credential_rules
     ]
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
-def discloses_prompt(text: Column, rules: RuleSet = REPAIRED) -> Column:
+def discloses_prompt(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
     """True if any of the disclosure phrases occurs."""
     found = F.lit(False)
     for p in rules.disclosure_patterns:
-        found = found | matches(text, jregex(p))
+        found = found | matches(text, jregex(p.pattern), low, p.needs)
     return found
 
 
@@ -118,12 +132,14 @@ def filter_output(
         redacts = redact_pii and rule.action == "redact"
         staged = staged.withColumns(
             {
-                f"__m{i}": match_spans(text, jregex(rule.pattern)),
+                f"__m{i}": pii_spans(text, rule),
                 f"__t{i + 1}": redact_text(text, rule) if redacts else text,
             }
         )
         temps += [f"__m{i}", f"__t{i + 1}"]
-    final = F.col(f"__t{len(rules.pii_rules)}")
+    final, low = F.col(f"__t{len(rules.pii_rules)}"), F.col("__low")
+    staged = staged.withColumn("__low", F.lower(final))
+    temps.append("__low")
 
     flags = [
         _flag_texts(rule, F.col(f"__m{i}"))
@@ -131,7 +147,7 @@ def filter_output(
         if rule.action == "flag"
     ]
     disclosure = F.when(
-        discloses_prompt(final, rules),
+        discloses_prompt(final, low, rules),
         F.array(F.lit("Potential system prompt disclosure detected")),
     ).otherwise(no_strings)
     redacted = [
@@ -149,7 +165,7 @@ def filter_output(
             n["filtered_output"]: F.when(is_blocked, F.lit(BLOCKED_TEXT)).otherwise(final),
             n["pii"]: F.concat(*lists) if lists else F.array().cast(PII_TYPE),
             n["warnings"]: F.concat(
-                *flags, F.coalesce(credential_warnings(final, rules), no_strings), disclosure
+                *flags, F.coalesce(credential_warnings(final, low, rules), no_strings), disclosure
             ),
             n["was_modified"]: modified,
         }

@@ -39,11 +39,18 @@ def threat_type_of(description: str) -> str:
     return next(hits, "jailbreak_attempt")
 
 
+# ``needs`` holds literals without which a pattern cannot match: one of every group must occur in the
+# lowered text. Literal search is some ten times cheaper than a regex, so most texts never reach the
+# regex. It only saves work: an empty ``needs`` gives the same results.
+Needs = tuple[tuple[str, ...], ...]
+
+
 @dataclass(frozen=True)
 class RegexRule:
     pattern: str
     severity: str
     description: str
+    needs: Needs = ()
 
     @property
     def threat_type(self) -> str:
@@ -60,6 +67,8 @@ class PiiRule:
     pattern: str
     action: str = "flag"
     replacement: str | None = None
+    # A cheaper pattern without which this one cannot match; saves work only, as ``needs`` does.
+    hint: str | None = None
 
     @property
     def redaction(self) -> str:
@@ -70,6 +79,13 @@ class PiiRule:
 class LeakRule:
     pattern: str
     description: str
+    needs: Needs = ()
+
+
+@dataclass(frozen=True)
+class TextPattern:
+    pattern: str
+    needs: Needs = ()
 
 
 # Phrases that are blocked wherever they occur, in any letter case.
@@ -111,32 +127,43 @@ INJECTION_RULES = (
         r"(?i)(ignore|disregard|forget|override|bypass)\s*(all\s*)?(previous|above|prior|earlier|system|safety|security)",
         "critical",
         "Instruction override attempt",
+        (("ignore", "disregard", "forget", "override", "bypass"), ("previous", "above", "prior", "earlier", "system", "safety", "security")),
     ),
     RegexRule(
         r"(?i)(you\s+are\s+now|pretend\s+(to\s+be|you\s+are)|act\s+as\s+(if|though)|roleplay\s+as)",
         "high",
         "Role manipulation attempt",
+        (("now", "pretend", "act", "roleplay"), ("you", "to", "as")),
     ),
     RegexRule(
         r"(?i)(reveal|show|print|output|display|echo|repeat)\s*(your|the|system)?\s*(prompt|instructions|rules|guidelines)",
         "critical",
         "System prompt extraction attempt",
+        (("reveal", "show", "print", "output", "display", "echo", "repeat"), ("prompt", "instructions", "rules", "guidelines")),
     ),
     RegexRule(
         r"(?i)(exec|eval|import\s+os|subprocess|system\(|shell_exec|`.*`)",
         "critical",
         "Code execution attempt",
+        (("exec", "eval", "import", "subprocess", "system(", "`"),),
     ),
     RegexRule(
         r"(?i)(base64|rot13|hex\s*encode|url\s*encode).*instruction",
         "high",
         "Encoding bypass attempt",
+        (("base64", "rot13", "hex", "url"), ("instruction",)),
+    ),
+    RegexRule(
+        r"<\|.*\|>|<<.*>>|\[\[.*\]\]",
+        "medium",
+        "Potential tag injection",
+        (("<|", "<<", "[["), ("|>", ">>", "]]")),
     ),
-    RegexRule(r"<\|.*\|>|<<.*>>|\[\[.*\]\]", "medium", "Potential tag injection"),
     RegexRule(
         r"(?i)(what|tell|show|reveal)\s*(is|me|are)?\s*(your|the)?\s*(system|initial|original|hidden)",
         "high",
         "Prompt leaking attempt",
+        (("what", "tell", "show", "reveal"), ("system", "initial", "original", "hidden")),
     ),
 )
 
@@ -154,20 +181,27 @@ WARNING_TERMS = (
 INSTRUCTION_WORDS = ("must", "always", "never", "ignore", "forget", "instead")
 
 # Fake conversation markers, tried in this order.
+_SPEAKER = (("user:", "assistant:", "system:", "human:", "ai:"),)
 CONVERSATION_MARKERS = (
-    r"(?i)^(user|assistant|system|human|ai):\s*",
-    r"(?i)\n(user|assistant|system|human|ai):\s*",
-    r"(?i)<\|?(user|assistant|system|im_start|im_end)\|?>",
+    TextPattern(r"(?i)^(user|assistant|system|human|ai):\s*", _SPEAKER),
+    TextPattern(r"(?i)\n(user|assistant|system|human|ai):\s*", _SPEAKER),
+    TextPattern(
+        r"(?i)<\|?(user|assistant|system|im_start|im_end)\|?>",
+        (("<",), (">",), ("user", "assistant", "system", "im_start", "im_end")),
+    ),
+)
+SYSTEM_SIMULATION = TextPattern(
+    r"(?i)^system\s*prompt|system\s*message|<system>",
+    (("system",), ("prompt", "message", "<system>")),
 )
-SYSTEM_SIMULATION = r"(?i)^system\s*prompt|system\s*message|<system>"
 
 # Personal-data patterns, applied in this order.
 PII_RULES = (
-    PiiRule("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "redact", "[SSN REDACTED]"),
-    PiiRule("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "redact", "[CARD REDACTED]"),
-    PiiRule("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
-    PiiRule("phone", r"\b(?:\+\d{1,2}\s?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
-    PiiRule("ip_address", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    PiiRule("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "redact", "[SSN REDACTED]", r"\d{3}-\d"),
+    PiiRule("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "redact", "[CARD REDACTED]", r"\d{4}"),
+    PiiRule("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", hint="@"),
+    PiiRule("phone", r"\b(?:\+\d{1,2}\s?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", hint=r"\d{3}"),
+    PiiRule("ip_address", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", hint=r"\d\.\d"),
 )
 
 # Outputs that are blocked outright.
@@ -175,24 +209,29 @@ BLOCKED_OUTPUTS = (
     LeakRule(
         r"(?i)here\s+(is|are)\s+(my|the)\s+(system|initial)\s+(prompt|instructions)",
         "System prompt leak",
+        (("here",), ("prompt", "instructions")),
+    ),
+    LeakRule(
+        r"(?i)(password|secret|api.?key|token)\s*[:=]\s*\S+",
+        "Credential leak",
+        (("password", "secret", "api", "token"), (":", "=")),
     ),
-    LeakRule(r"(?i)(password|secret|api.?key|token)\s*[:=]\s*\S+", "Credential leak"),
 )
 
 # Credential shapes that raise one warning each.
 CREDENTIAL_RULES = (
-    LeakRule(r"""(?i)api[_-]?key\s*[=:]\s*['"]?[\w-]{20,}""", "Potential API key"),
-    LeakRule(r"""(?i)password\s*[=:]\s*['"]?[^\s'"]{8,}""", "Potential password"),
-    LeakRule(r"""(?i)secret\s*[=:]\s*['"]?[\w-]{16,}""", "Potential secret"),
-    LeakRule(r"""(?i)token\s*[=:]\s*['"]?[\w.-]{20,}""", "Potential token"),
-    LeakRule(r"(?i)bearer\s+[\w.-]{20,}", "Potential bearer token"),
+    LeakRule(r"""(?i)api[_-]?key\s*[=:]\s*['"]?[\w-]{20,}""", "Potential API key", (("api",), ("key",))),
+    LeakRule(r"""(?i)password\s*[=:]\s*['"]?[^\s'"]{8,}""", "Potential password", (("password",),)),
+    LeakRule(r"""(?i)secret\s*[=:]\s*['"]?[\w-]{16,}""", "Potential secret", (("secret",),)),
+    LeakRule(r"""(?i)token\s*[=:]\s*['"]?[\w.-]{20,}""", "Potential token", (("token",),)),
+    LeakRule(r"(?i)bearer\s+[\w.-]{20,}", "Potential bearer token", (("bearer",),)),
 )
 
 # Phrases of an answer that talks about its own instructions.
 DISCLOSURE_PATTERNS = (
-    r"(?i)my (system )?instructions (are|say|tell)",
-    r"(?i)i was (programmed|instructed|told) to",
-    r"(?i)my (initial|original|base) prompt",
+    TextPattern(r"(?i)my (system )?instructions (are|say|tell)", (("instructions ",),)),
+    TextPattern(r"(?i)i was (programmed|instructed|told) to", (("i was ",),)),
+    TextPattern(r"(?i)my (initial|original|base) prompt", ((" prompt",),)),
 )
 
 
@@ -201,12 +240,12 @@ class RuleSet:
     blocked_phrases: tuple[str, ...] = BLOCKED_PHRASES
     injection_rules: tuple[RegexRule, ...] = INJECTION_RULES
     warning_terms: tuple[str, ...] = WARNING_TERMS
-    conversation_markers: tuple[str, ...] = CONVERSATION_MARKERS
-    system_simulation: str | None = SYSTEM_SIMULATION
+    conversation_markers: tuple[TextPattern, ...] = CONVERSATION_MARKERS
+    system_simulation: TextPattern | None = SYSTEM_SIMULATION
     pii_rules: tuple[PiiRule, ...] = PII_RULES
     blocked_outputs: tuple[LeakRule, ...] = BLOCKED_OUTPUTS
     credential_rules: tuple[LeakRule, ...] = CREDENTIAL_RULES
-    disclosure_patterns: tuple[str, ...] = DISCLOSURE_PATTERNS
+    disclosure_patterns: tuple[TextPattern, ...] = DISCLOSURE_PATTERNS
 
     def with_injection_rule(
         self, spark: SparkSession, pattern: str, severity: str, description: str

@@ -51,10 +51,10 @@ def injection(text, rules=R.REPAIRED, sensitivity="high"):
             warns.append(f"High text entropy ({bits:.2f}) - possible encoded content")
     if re.search(R"[A-Za-z0-9+/]{50,}", text):
         warns.append("Potential base64 encoded content detected")
-    marker = next((p for p in rules.conversation_markers if re.search(p, text)), None)
+    marker = next((m.pattern for m in rules.conversation_markers if re.search(m.pattern, text)), None)
     if marker:
         found.append(("context_manipulation", "high", marker, None, None, 1.0))
-    if rules.system_simulation and re.search(rules.system_simulation, text):
+    if rules.system_simulation and re.search(rules.system_simulation.pattern, text):
         found.append(("context_manipulation", "critical", "system prompt simulation", None, None, 1.0))
     x = sum(WEIGHT[f[1]] * f[5] for f in found) + 0.1 * len(warns)
     score = min(1.0, 1 - math.exp(-x))
@@ -79,7 +79,7 @@ def filtered(text, rules=R.REPAIRED, redact=True, leaks=True):
             modified = True
             text = re.sub(r.pattern, lambda m, r=r: r.redaction, text)
     warns += [f"{r.description} detected in output" for r in rules.credential_rules if re.search(r.pattern, text)]
-    if any(re.search(p, text) for p in rules.disclosure_patterns):
+    if any(re.search(p.pattern, text) for p in rules.disclosure_patterns):
         warns.append("Potential system prompt disclosure detected")
     return True, text, pii, [], warns, modified
 
