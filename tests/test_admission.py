@@ -102,7 +102,8 @@ def test_stream_equals_batch(spark, tmp_path):
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     limits = RateLimits(requests_per_minute=12, tokens_per_minute=900, concurrent_requests=6)
-    rows = traffic(5, n=600, span=600)
+    # Spark counts rows at the initial watermark, the epoch, as late
+    rows = [(u, us + 10**9, *rest) for u, us, *rest in traffic(5, n=600, span=600)]
     src = tmp_path / "in"
     ordered = sorted(rows, key=lambda r: r[1])
     for i in range(0, 600, 200):
