@@ -27,6 +27,8 @@ from docwarden.rules import (
     threat_type_of,
 )
 
+from docwarden.sources.tables import read_texts
+
 from .views import PLANTED_CTE, planted, quoted, table
 
 QUERIES: dict = {}
@@ -101,7 +103,7 @@ def _leaks_sql(text: str, credentials=CREDENTIAL_RULES, disclosure=DISCLOSURE_PA
     f"{CTE} SELECT doc_id, len({_blocked_sql('t')}) AS n_blocked, array_to_string({_blocked_sql('t')}, '|') AS blocked FROM planted",
 )
 def filter_blocked_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    found = planted(spark, sf).select("doc_id", O.blocked_descriptions(_t()).alias("b"))
+    found = planted(spark, sf).select("doc_id", O.blocked_descriptions("t").alias("b"))
     return found.select("doc_id", F.size("b").alias("n_blocked"), F.array_join("b", "|").alias("blocked"))
 
 
@@ -109,7 +111,7 @@ def _one_rule(i: int):
     rule = PII_RULES[i]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = planted(spark, sf).select("doc_id", O.pii_spans(_t(), rule).alias("m"))
+        found = planted(spark, sf).select("doc_id", O.pii_spans("t", rule).alias("m"))
         return found.select(
             "doc_id", F.size("m").alias("n_matches"), F.array_join(F.col("m.value"), "|").alias("found")
         )
@@ -167,7 +169,7 @@ def filter_flag_warnings(spark: SparkSession, sf: str) -> DataFrame:
     f"{CTE} SELECT doc_id, array_to_string(list_filter({_leaks_sql('t')}, lambda x: x NOT LIKE '%disclosure%'), '|') AS leaks FROM planted",
 )
 def filter_credential_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return planted(spark, sf).select("doc_id", F.array_join(O.credential_warnings(_t(), _low()), "|").alias("leaks"))
+    return planted(spark, sf).select("doc_id", F.array_join(O.credential_warnings("t", "lower(t)"), "|").alias("leaks"))
 
 
 @query(
@@ -175,7 +177,7 @@ def filter_credential_leaks(spark: SparkSession, sf: str) -> DataFrame:
     f"{CTE} SELECT doc_id, {' OR '.join(f'regexp_matches(t, {re2(p.pattern)})' for p in DISCLOSURE_PATTERNS)} AS discloses FROM planted",
 )
 def filter_prompt_disclosure(spark: SparkSession, sf: str) -> DataFrame:
-    return planted(spark, sf).select("doc_id", O.discloses_prompt(_t(), _low()).alias("discloses"))
+    return planted(spark, sf).select("doc_id", O.discloses_prompt("t", "lower(t)").alias("discloses"))
 
 
 def _filter_sql(source: str, key: str, text: str, cte: str, rules=REPAIRED) -> str:
@@ -214,7 +216,7 @@ def filter_output(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("filter_output_pages", _filter_sql("pages", "page_id", "html", ""))
 def filter_output_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _filter_columns(O.filter_output(table(spark, sf, "pages"), "html"), "page_id")
+    return _filter_columns(O.filter_output(read_texts(spark, f"{sf}/pages.parquet"), "html"), "page_id")
 
 
 @query("filter_output_shipped_rules", _filter_sql("planted", "doc_id", "t", PLANTED_CTE + ", ", SHIPPED))
@@ -287,7 +289,7 @@ def detect_blocked_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 def _one_injection_rule(name: str, rule) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = planted(spark, sf).select("doc_id", D.regex_threats(_t(), _low(), rule).alias("h"))
+        found = planted(spark, sf).select("doc_id", D.regex_threats("t", "lower(t)", rule).alias("h"))
         return found.select(
             "doc_id",
             F.size("h").alias("n_threats"),
@@ -399,7 +401,7 @@ _MARKER = "CASE " + " ".join(
 
 @query("detect_conversation_markers", f"{CTE} SELECT doc_id, {_MARKER} AS marker FROM planted")
 def detect_conversation_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return planted(spark, sf).select("doc_id", D.first_marker(_t(), _low()).alias("marker"))
+    return planted(spark, sf).select("doc_id", D.first_marker("t", "lower(t)").alias("marker"))
 
 
 _SIMULATES = f"regexp_matches(t, {re2(SYSTEM_SIMULATION.pattern)})"
@@ -407,7 +409,7 @@ _SIMULATES = f"regexp_matches(t, {re2(SYSTEM_SIMULATION.pattern)})"
 
 @query("detect_system_simulation", f"{CTE} SELECT doc_id, {_SIMULATES} AS simulates FROM planted")
 def detect_system_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    return planted(spark, sf).select("doc_id", D.simulates_system(_t(), _low()).alias("simulates"))
+    return planted(spark, sf).select("doc_id", D.simulates_system("t", "lower(t)").alias("simulates"))
 
 
 def _detect_ctes(cte: str = PLANTED_CTE) -> str:
@@ -485,7 +487,7 @@ def detect_disabled(spark: SparkSession, sf: str) -> DataFrame:
 def detect_custom_rule(spark: SparkSession, sf: str) -> DataFrame:
     rules = REPAIRED.with_injection_rule(spark, r"^the\s+\w+", "low", "Line opening with the article")
     rule = rules.injection_rules[-1]
-    found = planted(spark, sf).select("doc_id", D.regex_threats(_t(), _low(), rule).alias("h"))
+    found = planted(spark, sf).select("doc_id", D.regex_threats("t", "lower(t)", rule).alias("h"))
     return found.select(
         "doc_id", F.size("h").alias("n_custom"), F.round(D.risk_score(F.col("h"), F.lit(0)), 6).alias("custom_score")
     )
@@ -612,5 +614,5 @@ _one_step("sanitize_strip", py_strip, _STRIP)
 @query("sanitize_pages", f"SELECT page_id, md5({_STRIP.format(t=_WS.format(t=_ESC.format(t='html')))}) AS sanitized FROM pages WHERE length(html) <= 10000"
        f" UNION ALL SELECT page_id, md5({_STRIP.format(t=_WS.format(t=_ESC.format(t='substr(html, 1, 10000)')))}) FROM pages WHERE length(html) > 10000")
 def sanitize_pages(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.sanitize_text(table(spark, sf, "pages"), "html")
+    out = S.sanitize_text(read_texts(spark, f"{sf}/pages.parquet"), "html")
     return out.select("page_id", F.md5("sanitized_value").alias("sanitized"))

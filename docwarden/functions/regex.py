@@ -10,9 +10,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -96,27 +93,33 @@ def compile_check(
         raise ValueError(f"Invalid regex pattern: {pattern}") from bad
 
 
-def may_match(low: Column, needs: tuple[tuple[str, ...], ...]) -> Column | None:
-    """Cheap necessary condition on the lowered text: one literal of every group occurs."""
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The functions below take columns by name and hand Spark one SQL expression each. Rule sets make dozens
+# of them, and built call by call they cost the driver seconds per query.
+
+
+def may_match(low: str, needs: tuple[tuple[str, ...], ...]) -> str | None:
+    """SQL of a cheap necessary condition on the lowered text: one literal of every group occurs."""
     if not needs:
         return None
-    test = None
-    for group in needs:
-        one = reduce(or_, [F.contains(low, F.lit(x)) for x in group])
-        test = one if test is None else test & one
-    return reduce(or_, [F.contains(low, F.lit(c)) for c in _FOLDED], test)
+
+    def any_of(literals: tuple[str, ...]) -> str:
+        return "(" + " OR ".join(f"contains({low}, {sql_text(x)})" for x in literals) + ")"
+
+    return f"({' AND '.join(map(any_of, needs))} OR {any_of(_FOLDED)})"
 
 
 def matches(
-    text: Column,
-    jpattern: str,
-    low: Column | None = None,
-    needs: tuple[tuple[str, ...], ...] = (),
+    text: str, jpattern: str, low: str | None = None, needs: tuple[tuple[str, ...], ...] = ()
 ) -> Column:
     """True where the pattern occurs (``re.search``); ``needs`` may spare the regex, see the rules."""
     guard = None if low is None else may_match(low, needs)
-    found = text.rlike(jpattern)
-    return found if guard is None else guard & found
+    found = f"{text} RLIKE {sql_text(jpattern)}"
+    return F.expr(found if guard is None else f"{guard} AND {found}")
 
 
 def py_strip(text: Column) -> Column:
@@ -124,43 +127,26 @@ def py_strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_STRIPPED))
 
 
-def match_values(text: Column, jpattern: str) -> Column:
-    """All matched strings, left to right; empty array where nothing matches."""
-    return F.when(
-        text.rlike(jpattern), F.regexp_extract_all(text, F.lit(jpattern), F.lit(0))
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def match_spans(text: Column, jpattern: str, only_where: Column | None = None) -> Column:
+def match_spans(text: str, jpattern: str, only_where: str | None = None) -> Column:
     """All matches with 0-based code-point offsets, end exclusive (``re.finditer``).
 
     Java matches in UTF-16 units, so offsets are rebuilt from lengths: the text is cut at the matches
     and the running length of gaps and matches gives each start. Work beyond the one ``rlike`` scan is
-    done only for rows that match; rows outside ``only_where`` are known not to.
+    done only for rows that match; rows outside ``only_where`` (SQL) are known not to.
     """
-    hit = text.rlike(jpattern) if only_where is None else only_where & text.rlike(jpattern)
-    found = F.regexp_extract_all(text, F.lit(jpattern), F.lit(0))
-    gaps = F.split(text, jpattern, -1)
+    p = sql_text(jpattern)
+    found, cut = f"regexp_extract_all({text}, {p}, 0)", f"split({text}, {p}, -1)"
     # An empty match at the very start yields no leading gap in Java's split.
-    gaps = F.when(F.size(gaps) == F.size(found), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
-    pieces = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    walk = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p["g"]) + F.length(p["m"])).alias("pos"),
-            F.array_append(acc["starts"], acc["pos"] + F.length(p["g"])).alias("starts"),
-        ),
-    )
-    spans = F.zip_with(
-        found,
-        walk["starts"],
-        lambda v, s: F.struct(
-            v.alias("value"), s.alias("start"), (s + F.length(v)).alias("end")
-        ),
-    )
-    return F.when(hit, spans.cast(MATCH_TYPE)).otherwise(
-        F.array().cast(MATCH_TYPE)
+    gaps = f"if(size({cut}) = size({found}), concat(array(''), {cut}), {cut})"
+    starts = f"""aggregate(
+        zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> struct(length(m) AS m, length(g) AS g)),
+        struct(0 AS pos, cast(array() AS array<int>) AS starts),
+        (acc, x) -> struct(acc.pos + x.g + x.m AS pos, array_append(acc.starts, acc.pos + x.g) AS starts)
+    ).starts"""
+    spans = f"zip_with({found}, {starts}, (v, s) -> struct(v AS value, s AS start, s + length(v) AS `end`))"
+    hit = f"{text} RLIKE {p}" if only_where is None else f"{only_where} AND {text} RLIKE {p}"
+    return F.expr(
+        f"CASE WHEN {hit} THEN cast({spans} AS {MATCH_TYPE}) ELSE cast(array() AS {MATCH_TYPE}) END"
     )
 
 

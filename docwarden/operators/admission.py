@@ -34,6 +34,8 @@ _ORDER = ["user", "ts_us", "turn", "seq"]
 _BOUNDS = "segment int, first_user string, last_user string, state string"
 _SEED = -1
 SEGMENT_ROWS = 1_000_000
+# Smaller inputs are still cut, to use all cores, but into no smaller segments than this.
+LEAST_SEGMENT_ROWS = 20_000
 SPECULATIVE_ROUNDS = 2
 LONGEST_STRETCH = 64
 
@@ -156,6 +158,7 @@ class _Segments:
     def __init__(self, rows: DataFrame, n: int, limits: RateLimits):
         self.spark: SparkSession = rows.sparkSession
         self.limits = limits
+        self.n = n
         self.seq_type = dict(rows.dtypes)["seq"]
         self.path = f"{work_dir(self.spark)}/admission-{uuid.uuid4().hex}"
         (
@@ -195,6 +198,8 @@ class _Segments:
 
 def _opening_states(segments: _Segments) -> tuple[dict[int, tuple[str, str]], int]:
     """User and state for every segment that begins in the middle of a user, and the rounds it took."""
+    if segments.n == 1:
+        return {}, 0
     bounds = segments.bounds(None, {})
     order = sorted(bounds)
     before, after = dict(zip(order[1:], order)), dict(zip(order, order[1:]))
@@ -233,6 +238,12 @@ def _opening_states(segments: _Segments) -> tuple[dict[int, tuple[str, str]], in
     return {s: opening(s) for s in continuing}, rounds
 
 
+def _segment_count(df: DataFrame, segment_rows: int) -> int:
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // segment_rows), min(cores, n // LEAST_SEGMENT_ROWS))
+
+
 def admit_requests(
     df: DataFrame,
     user_col: str = "user_id",
@@ -269,7 +280,7 @@ def admit_requests(
         F.col(seq_col).cast("bigint" if whole else "string").alias("seq"),
         F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)).alias("tokens"),
     )
-    segments = _Segments(rows, max(1, -(-df.count() // segment_rows)), limits)
+    segments = _Segments(rows, _segment_count(df, segment_rows), limits)
     openings, _ = _opening_states(segments)
     return segments.run(None, openings, emit=True).select(
         F.col("user").cast(user_type).alias(user_col),

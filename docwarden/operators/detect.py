@@ -93,8 +93,8 @@ def rule_pattern(rule: RegexRule) -> str:
     return jregex(rule.pattern, ignore_case=True, multiline=True)
 
 
-def regex_threats(text: Column, low: Column, rule: RegexRule) -> Column:
-    """One threat per match of one rule, left to right; ``low`` is the text in lower case."""
+def regex_threats(text: str, low: str, rule: RegexRule) -> Column:
+    """One threat per match of one rule, left to right; ``low`` names the text in lower case."""
     return F.transform(
         match_spans(text, rule_pattern(rule), may_match(low, rule.needs)),
         lambda m: _threat(
@@ -191,7 +191,7 @@ def encoding_warnings(text: Column, entropy: Column) -> Column:
     )
 
 
-def first_marker(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+def first_marker(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
     """The first conversation-marker pattern that occurs, else null."""
     hits = [
         F.when(matches(text, jregex(m.pattern), low, m.needs), F.lit(m.pattern))
@@ -200,14 +200,14 @@ def first_marker(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def simulates_system(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+def simulates_system(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
     known = rules.system_simulation
     if known is None:
         return F.lit(False)
     return matches(text, jregex(known.pattern), low, known.needs)
 
 
-def structure_threats(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+def structure_threats(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
     """Fake conversation marker, then system-prompt simulation."""
     marker = first_marker(text, low, rules)
     return F.array_compact(
@@ -300,9 +300,9 @@ def detect_injection(
         {
             names["threats"]: F.concat(
                 phrase_threats(norm, rules),
-                *[regex_threats(text, low, r) for r in rules.injection_rules],
+                *[regex_threats("__text", "__low", r) for r in rules.injection_rules],
                 heuristic_threats(text, F.col("__ratio"), F.col("__words")),
-                structure_threats(text, low, rules),
+                structure_threats("__text", "__low", rules),
                 F.coalesce(extra, F.array()).cast(THREATS_TYPE),
             ),
             "__warnings": F.concat(
@@ -328,8 +328,18 @@ def detect_injection(
     ).drop("__text", "__low", "__norm", "__ratio", "__words", "__entropy", "__warnings")
 
 
+def explode_findings(df: DataFrame, key_cols: list[str], array_col: str, number: str) -> DataFrame:
+    """One row per array element, numbered from 1.
+
+    The outer form is on purpose: for the inner one Spark puts a filter on the array below the projection
+    that makes it, and so computes all findings twice.
+    """
+    rows = df.select(*key_cols, F.posexplode_outer(array_col).alias(number, "t"))
+    return rows.where(F.col(number).isNotNull()).select(
+        *key_cols, (F.col(number) + 1).alias(number), "t.*"
+    )
+
+
 def threats_table(df: DataFrame, key_cols: list[str], threats_col: str = "threats") -> DataFrame:
     """One row per threat with its 1-based place in the list."""
-    return df.select(
-        *key_cols, F.posexplode(threats_col).alias("threat_no", "t")
-    ).select(*key_cols, (F.col("threat_no") + 1).alias("threat_no"), "t.*")
+    return explode_findings(df, key_cols, threats_col, "threat_no")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import jregex, match_spans, matches, replace_all
+from ..functions.regex import jregex, match_spans, matches, replace_all, sql_text
 from ..rules import REPAIRED, PiiRule, RuleSet
+from .detect import explode_findings
 
 PII_TYPE = (
     "array<struct<pii_type:string,value:string,start:int,end:int,action:string,replacement:string>>"
@@ -16,9 +17,9 @@ PII_TYPE = (
 BLOCKED_TEXT = "[OUTPUT BLOCKED:  Security policy violation detected]"
 
 
-def blocked_descriptions(text: Column, rules: RuleSet = REPAIRED) -> Column:
+def blocked_descriptions(text: str, rules: RuleSet = REPAIRED) -> Column:
     """Descriptions of the blocking rules that occur, in rule order."""
-    low = F.lower(text)
+    low = f"lower({text})"
     hits = [
         F.when(matches(text, jregex(r.pattern, ignore_case=True), low, r.needs), F.lit(r.description))
         for r in rules.blocked_outputs
@@ -26,22 +27,21 @@ def blocked_descriptions(text: Column, rules: RuleSet = REPAIRED) -> Column:
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
-def _hinted(text: Column, rule: PiiRule) -> Column | None:
-    return None if rule.hint is None else text.rlike(jregex(rule.hint))
-
-
-def pii_spans(text: Column, rule: PiiRule) -> Column:
+def pii_spans(text: str, rule: PiiRule) -> Column:
     """All matches of one rule, left to right."""
-    return match_spans(text, jregex(rule.pattern), _hinted(text, rule))
+    hint = None if rule.hint is None else f"{text} RLIKE {sql_text(jregex(rule.hint))}"
+    return match_spans(text, jregex(rule.pattern), hint)
 
 
-def redact_text(text: Column, rule: PiiRule) -> Column:
-    redacted = replace_all(text, jregex(rule.pattern), rule.redaction)
-    return redacted if rule.hint is None else F.when(_hinted(text, rule), redacted).otherwise(text)
+def redact_text(text: str, rule: PiiRule) -> Column:
+    redacted = replace_all(F.col(text), jregex(rule.pattern), rule.redaction)
+    if rule.hint is None:
+        return redacted
+    return F.when(F.col(text).rlike(jregex(rule.hint)), redacted).otherwise(F.col(text))
 
 
-def credential_warnings(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
-    """One warning per credential shape that occurs; ``low`` is the text in lower case."""
+def credential_warnings(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+    """One warning per credential shape that occurs; ``low`` names the text in lower case."""
     hits = [
         F.when(
             matches(text, jregex(r.pattern), low, r.needs),
@@ -52,7 +52,7 @@ def credential_warnings(text: Column, low: Column, rules: RuleSet = REPAIRED) ->
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
-def discloses_prompt(text: Column, low: Column, rules: RuleSet = REPAIRED) -> Column:
+def discloses_prompt(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
     """True if any of the disclosure phrases occurs."""
     found = F.lit(False)
     for p in rules.disclosure_patterns:
@@ -121,24 +121,25 @@ def filter_output(
             }
         )
 
-    blocked = blocked_descriptions(source, rules) if check_leaks else no_strings
+    blocked = blocked_descriptions(text_col, rules) if check_leaks else no_strings
     staged = df.withColumn(n["blocked_patterns"], F.coalesce(blocked, no_strings))
     is_blocked = F.size(n["blocked_patterns"]) > 0
     # Blocked rows carry a null through the later steps, so those cost nothing.
     staged = staged.withColumn("__t0", F.when(~is_blocked, source))
     temps = ["__t0"]
     for i, rule in enumerate(rules.pii_rules):
-        text = F.col(f"__t{i}")
+        text = f"__t{i}"
         redacts = redact_pii and rule.action == "redact"
         staged = staged.withColumns(
             {
                 f"__m{i}": pii_spans(text, rule),
-                f"__t{i + 1}": redact_text(text, rule) if redacts else text,
+                f"__t{i + 1}": redact_text(text, rule) if redacts else F.col(text),
             }
         )
         temps += [f"__m{i}", f"__t{i + 1}"]
-    final, low = F.col(f"__t{len(rules.pii_rules)}"), F.col("__low")
-    staged = staged.withColumn("__low", F.lower(final))
+    last, low = f"__t{len(rules.pii_rules)}", "__low"
+    final = F.col(last)
+    staged = staged.withColumn(low, F.lower(final))
     temps.append("__low")
 
     flags = [
@@ -147,7 +148,7 @@ def filter_output(
         if rule.action == "flag"
     ]
     disclosure = F.when(
-        discloses_prompt(final, low, rules),
+        discloses_prompt(last, low, rules),
         F.array(F.lit("Potential system prompt disclosure detected")),
     ).otherwise(no_strings)
     redacted = [
@@ -165,7 +166,7 @@ def filter_output(
             n["filtered_output"]: F.when(is_blocked, F.lit(BLOCKED_TEXT)).otherwise(final),
             n["pii"]: F.concat(*lists) if lists else F.array().cast(PII_TYPE),
             n["warnings"]: F.concat(
-                *flags, F.coalesce(credential_warnings(final, low, rules), no_strings), disclosure
+                *flags, F.coalesce(credential_warnings(last, low, rules), no_strings), disclosure
             ),
             n["was_modified"]: modified,
         }
@@ -174,6 +175,4 @@ def filter_output(
 
 def pii_table(df: DataFrame, key_cols: list[str], pii_col: str = "pii") -> DataFrame:
     """One row per personal-data match, in detection order."""
-    return df.select(*key_cols, F.posexplode(pii_col).alias("match_no", "m")).select(
-        *key_cols, (F.col("match_no") + 1).alias("match_no"), "m.*"
-    )
+    return explode_findings(df, key_cols, pii_col, "match_no")

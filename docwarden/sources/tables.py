@@ -1,0 +1,19 @@
+"""Reading tables of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SPREAD_BELOW_PER_CORE = 64 * 1024 * 1024
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for the text operators, which need far more time per byte than the scan.
+
+    A small file is often a single row group, hence a single task. A table of less than 64 MB per core is
+    dealt out to all cores first; a larger one comes in enough splits and is not shuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BELOW_PER_CORE else df

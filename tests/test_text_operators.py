@@ -145,7 +145,7 @@ def test_spans_of_empty_and_wide_matches(spark):
 
     plain = ["", "aab", "baaa", "b"]
     for p, values in (("a*", plain), (r"\b", plain), ("a+", plain + ["😀aa😀"]), ("😀", ["😀aa😀", "b"])):
-        rows = as_df(spark, values).select("t", match_spans(F.col("t"), jregex(p)).alias("s")).collect()
+        rows = as_df(spark, values).select("t", match_spans("t", jregex(p)).alias("s")).collect()
         for r in rows:
             assert [tuple(x) for x in r.s] == [(m[0], *m.span()) for m in re.finditer(p, r.t)], (p, r.t)
 
