@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from docwarden.operators import run as RU
 from docwarden.operators import tasks as TA
 from docwarden.operators import verdict as V
 from docwarden.plans.screening import process_tasks, screen_requests
-from docwarden.rules import InputLimits, RateLimits
+from docwarden.rules import AuditOptions, InputLimits, RateLimits
 from docwarden.sources import audit as AU
 from docwarden.sources import documents as SD
 from docwarden.sources import dimensions as D
+from docwarden.streaming.admission import admit_stream
+from docwarden.workspace import work_dir
 
 from . import views as W
 from .text_queries import ORACLES, QUERIES, _blocked_sql, _verdict_sql, query
@@ -249,6 +253,33 @@ _admission(
 )
 
 
+_STREAM_DELAY_MS = 60_000
+
+
+@query(
+    "admit_stream",
+    _admission_sql(TIGHT) + " SELECT request_id, CASE code WHEN 0 THEN NULL ELSE code = 1 END AS allowed FROM s JOIN requests USING (request_id)"
+    f" WHERE k > 0 AND us < (SELECT (max(us) // 1000 - {_STREAM_DELAY_MS}) * 1000 FROM requests)",
+)
+def admit_stream_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream; decided are the rows that the watermark has passed at the end."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(W.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    decided = admit_stream(W.as_requests(events), kind_col="kind", delay=f"{_STREAM_DELAY_MS} milliseconds", limits=TIGHT)
+    try:
+        started = (
+            decided.writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        )
+        started.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(decided.schema).parquet(f"{out}/rows").select(F.col("seq").alias("request_id"), "allowed")
+
+
 @query("admit_disabled", f"WITH {W.REQUESTS_CTE} SELECT request_id, true AS allowed FROM requests")
 def admit_disabled(spark: SparkSession, sf: str) -> DataFrame:
     out = A.admit_requests(W.requests(spark, sf), kind_col="kind", limits=RateLimits(enabled=False))
@@ -332,8 +363,6 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {W.PLANTED_CTE} SELECT doc_id AS request_id, source AS user_id, NULL AS preview, NULL AS block_reasons FROM documents",
 )
 def audit_switches(spark: SparkSession, sf: str) -> DataFrame:
-    from docwarden.rules import AuditOptions
-
     off = AuditOptions(log_inputs=False, log_blocked_requests=False, sensitive_field_masking=False)
     out = V.audit_records(_screened(spark, sf), "doc_id", input_col="t", options=off)
     return out.select("request_id", "user_id", F.col("input_preview").alias("preview"), F.array_join("block_reasons", "|").alias("block_reasons"))

@@ -139,12 +139,15 @@ def document_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def as_requests(events: DataFrame) -> DataFrame:
     """Events as requests and releases, 2000 times denser in time so that limits are reached."""
-    events = table(spark, sf, "events").selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS at")
-    return spark.sql(
-        REQUESTS.format(at=f"{_BASE} + (at - {_BASE}) DIV 2000").replace("FROM events", "FROM {events}"), events=events
-    ).withColumn("ts", F.timestamp_micros("us"))
+    timed = events.selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS at")
+    sql = REQUESTS.format(at=f"{_BASE} + (at - {_BASE}) DIV 2000").replace("FROM events", "FROM {events}")
+    return events.sparkSession.sql(sql, events=timed).withColumn("ts", F.timestamp_micros("us"))
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return as_requests(table(spark, sf, "events"))
 
 
 REQUESTS_CTE = f"requests AS ({REQUESTS.format(at=f'{_BASE} + (epoch_us(ts) - {_BASE}) // 2000')})"

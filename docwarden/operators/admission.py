@@ -33,7 +33,7 @@ from ..workspace import work_dir
 _ORDER = ["user", "ts_us", "turn", "seq"]
 _BOUNDS = "segment int, first_user string, last_user string, state string"
 _SEED = -1
-SEGMENT_ROWS = 1_000_000
+SEGMENT_ROWS = 5_000_000
 # Smaller inputs are still cut, to use all cores, but into no smaller segments than this.
 LEAST_SEGMENT_ROWS = 20_000
 SPECULATIVE_ROUNDS = 2
@@ -177,8 +177,9 @@ class _Segments:
         else:
             # A literal list prunes the read to the directories of these segments.
             rows = rows.where(F.col("segment").isin(list(parts)))
-            place = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
-            rows = rows.withColumn("part", F.element_at(place, F.col("segment")))
+            # Two integers per segment.
+            lookup = self.spark.createDataFrame(list(parts.items()), "segment int, part int")
+            rows = rows.join(F.broadcast(lookup), "segment")
         columns = ["part", "segment", *_ORDER, "tokens"]
         opening = self.spark.createDataFrame(
             [((parts or {}).get(s, s), s, u, -1, -1, "-1", 0, state) for s, (u, state) in seeds.items()],

@@ -9,15 +9,10 @@ from ..rules import AuditOptions
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
-    """Append records to parquet, one directory per ``audit_date``. Rows are gathered by day and a hash
-    of the request, so a day becomes a bounded number of files and no day is written by a single task."""
-    spread = F.pmod(F.xxhash64("request_id"), F.lit(16))
-    (
-        audit.repartition("audit_date", spread)
-        .write.mode("append")
-        .partitionBy("audit_date")
-        .parquet(path)
-    )
+    """Append records to parquet, one directory per ``audit_date``. Rows are gathered by day, and Spark
+    splits big days and merges small ones, so files come out in even size whatever the days hold."""
+    balanced = audit.hint("rebalance", "audit_date")
+    balanced.write.mode("append").partitionBy("audit_date").parquet(path)
 
 
 def stream_audit(audit: DataFrame, path: str, checkpoint: str):

@@ -165,3 +165,18 @@ def test_plan_shapes(spark):
     # one Arrow node (entropy) and no shuffle beyond the fixture's own repartition
     assert det.count("ArrowEvalPython") == 1 and det.count("Exchange ") <= 1
 
+
+
+def test_rules_from_a_table(spark):
+    from docwarden.sources.rules import rules_from_table
+
+    rows = [
+        ("phrase", "open sesame", None, None, None, None, None, 1), ("injection", "(bad", "high", "x", None, None, None, 2),
+        ("injection", "magic \\w+", "low", "code word", None, None, None, 3), ("pii", "id-\\d+", None, None, "id", "redact", None, 4),
+    ]
+    table = spark.createDataFrame(rows, "kind string, pattern string, severity string, description string, name string, action string, replacement string, ord int")
+    rules = rules_from_table(table)
+    assert [r.pattern for r in rules.injection_rules] == ["magic \\w+"] and rules.warning_terms == R.WARNING_TERMS
+    df = as_df(spark, ["Open Sesame magic word id-77 123-45-6789"])
+    assert [t.pattern_matched for t in detect_injection(df, "t", rules).first().threats] == ["open sesame", "magic word"]
+    assert filter_output(df, "t", rules=rules).first().filtered_output.endswith("[ID REDACTED] 123-45-6789")
