@@ -125,7 +125,7 @@ def validate_resolve_mime(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("validate_size", f"WITH {W.FILES_CTE} SELECT doc_id, {_SIZE_ERROR} AS error FROM files")
 def validate_size(spark: SparkSession, sf: str) -> DataFrame:
-    return W.files(spark, sf).select("doc_id", DO.size_error(F.octet_length("content"), SMALL).alias("error"))
+    return W.files(spark, sf).select("doc_id", DO.size_error("octet_length(content)", SMALL).alias("error"))
 
 
 @query("validate_allow_list", f"WITH {_CHECKED} SELECT doc_id, {_MIME_ERROR} AS error FROM m")

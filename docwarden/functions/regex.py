@@ -127,27 +127,32 @@ def py_strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_STRIPPED))
 
 
-def match_spans(text: str, jpattern: str, only_where: str | None = None) -> Column:
-    """All matches with 0-based code-point offsets, end exclusive (``re.finditer``).
+def spans_sql(text: str, jpattern: str, only_where: str | None = None) -> str:
+    """SQL of all matches with 0-based code-point offsets, end exclusive (``re.finditer``).
 
     Java matches in UTF-16 units, so offsets are rebuilt from lengths: the text is cut at the matches
     and the running length of gaps and matches gives each start. Work beyond the one ``rlike`` scan is
     done only for rows that match; rows outside ``only_where`` (SQL) are known not to.
     """
     p = sql_text(jpattern)
-    found, cut = f"regexp_extract_all({text}, {p}, 0)", f"split({text}, {p}, -1)"
     # An empty match at the very start yields no leading gap in Java's split.
-    gaps = f"if(size({cut}) = size({found}), concat(array(''), {cut}), {cut})"
+    gaps = "if(size(x.cut) = size(x.found), concat(array(''), x.cut), x.cut)"
     starts = f"""aggregate(
-        zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> struct(length(m) AS m, length(g) AS g)),
+        zip_with(x.found, slice({gaps}, 1, size(x.found)), (m, g) -> struct(length(m) AS m, length(g) AS g)),
         struct(0 AS pos, cast(array() AS array<int>) AS starts),
-        (acc, x) -> struct(acc.pos + x.g + x.m AS pos, array_append(acc.starts, acc.pos + x.g) AS starts)
+        (acc, l) -> struct(acc.pos + l.g + l.m AS pos, array_append(acc.starts, acc.pos + l.g) AS starts)
     ).starts"""
-    spans = f"zip_with({found}, {starts}, (v, s) -> struct(v AS value, s AS start, s + length(v) AS `end`))"
+    # The one-element transform names the two regex results, so that each is computed once.
+    spans = f"""transform(
+        array(struct(regexp_extract_all({text}, {p}, 0) AS found, split({text}, {p}, -1) AS cut)),
+        x -> zip_with(x.found, {starts}, (v, s) -> struct(v AS value, s AS start, s + length(v) AS `end`))
+    )[0]"""
     hit = f"{text} RLIKE {p}" if only_where is None else f"{only_where} AND {text} RLIKE {p}"
-    return F.expr(
-        f"CASE WHEN {hit} THEN cast({spans} AS {MATCH_TYPE}) ELSE cast(array() AS {MATCH_TYPE}) END"
-    )
+    return f"CASE WHEN {hit} THEN cast({spans} AS {MATCH_TYPE}) ELSE cast(array() AS {MATCH_TYPE}) END"
+
+
+def match_spans(text: str, jpattern: str, only_where: str | None = None) -> Column:
+    return F.expr(spans_sql(text, jpattern, only_where))
 
 
 def replace_all(text: Column, jpattern: str, replacement: str) -> Column:

@@ -12,21 +12,19 @@ from pyspark.sql import types as T
 _SPECIAL = r"""(?U)[^a-zA-Z0-9\s\x1c-\x1f.,!?;:'"()-]"""
 
 
-def fixed2(x: Column) -> Column:
-    """A non-negative double with two decimals, rounded as Python's ``:.2f`` rounds.
+def fixed2(x: str) -> Column:
+    """A non-negative double (SQL) with two decimals, rounded as Python's ``:.2f`` rounds.
 
     Java's ``%.2f`` rounds the shortest decimal form half up, so 0.155 and 0.625 come out differently.
     Here the exact distance to the tie decides: ``x`` is split into a 24-bit head and the rest, which
     makes both products with 200 exact.
     """
-    hundredths = F.floor(x * 100)
-    head = x.cast("float").cast("double")
-    beyond_tie = (head * 200 - (2 * hundredths + 1).cast("double")) + (x - head) * 200
-    up = (beyond_tie > 0) | ((beyond_tie == 0) & (hundredths % 2 == 1))
-    cents = hundredths + up.cast("bigint")
-    return F.concat(
-        F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
-    )
+    hundredths = f"floor(({x}) * 100D)"
+    head = f"cast(cast(({x}) AS float) AS double)"
+    beyond = f"(({head} * 200D - cast(2 * {hundredths} + 1 AS double)) + (({x}) - {head}) * 200D)"
+    up = f"if({beyond} > 0 OR ({beyond} = 0 AND {hundredths} % 2 = 1), 1L, 0L)"
+    cents = f"({hundredths} + {up})"
+    return F.expr(f"concat(cast({cents} DIV 100 AS string), '.', lpad(cast({cents} % 100 AS string), 2, '0'))")
 
 
 def special_char_ratio(text: Column) -> Column:

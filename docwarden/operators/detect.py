@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import jregex, match_spans, matches, may_match, py_strip
+from ..functions.regex import jregex, matches, may_match, py_strip, spans_sql, sql_text
 from ..functions.text import char_entropy, fixed2, special_char_ratio, substring_count
 from ..rules import (
     INSTRUCTION_WORDS,
@@ -95,12 +95,12 @@ def rule_pattern(rule: RegexRule) -> str:
 
 def regex_threats(text: str, low: str, rule: RegexRule) -> Column:
     """One threat per match of one rule, left to right; ``low`` names the text in lower case."""
-    return F.transform(
-        match_spans(text, rule_pattern(rule), may_match(low, rule.needs)),
-        lambda m: _threat(
-            rule.threat_type, rule.severity, m["value"], rule.description, m["start"], m["end"]
-        ),
-    ).cast(THREATS_TYPE)
+    kind, severity, text_ = map(sql_text, (rule.threat_type, rule.severity, rule.description))
+    spans = spans_sql(text, rule_pattern(rule), may_match(low, rule.needs))
+    return F.expr(
+        f"cast(transform({spans}, m -> struct({kind}, {severity}, m.value, {text_}, m.start, m.`end`, 1D))"
+        f" AS {THREATS_TYPE})"
+    )
 
 
 def term_warnings(norm: Column, rules: RuleSet = REPAIRED) -> Column:
@@ -128,8 +128,9 @@ def instruction_word_count(low: Column) -> Column:
     return sum((substring_count(low, w) for w in INSTRUCTION_WORDS), F.lit(0))
 
 
-def heuristic_threats(text: Column, ratio: Column, words: Column) -> Column:
+def heuristic_threats(text: Column, ratio_col: str, words: Column) -> Column:
     """Control characters, special characters, formatting and instruction density, in that order."""
+    ratio = F.col(ratio_col)
     return F.array_compact(
         F.array(
             F.when(
@@ -146,7 +147,7 @@ def heuristic_threats(text: Column, ratio: Column, words: Column) -> Column:
                 _threat(
                     "encoding_bypass",
                     "medium",
-                    F.concat(F.lit("special_char_ratio="), fixed2(ratio)),
+                    F.concat(F.lit("special_char_ratio="), fixed2(ratio_col)),
                     "Unusually high ratio of special characters",
                     confidence=F.least(ratio * 2, F.lit(1.0)),
                 ),
@@ -174,15 +175,15 @@ def heuristic_threats(text: Column, ratio: Column, words: Column) -> Column:
     )
 
 
-def encoding_warnings(text: Column, entropy: Column) -> Column:
+def encoding_warnings(text: Column, entropy_col: str) -> Column:
     """High entropy, then a base64-like run."""
     return F.array_compact(
         F.array(
             F.when(
-                entropy > ENTROPY_LIMIT,
+                F.col(entropy_col) > ENTROPY_LIMIT,
                 F.concat(
                     F.lit("High text entropy ("),
-                    fixed2(entropy),
+                    fixed2(entropy_col),
                     F.lit(") - possible encoded content"),
                 ),
             ),
@@ -301,12 +302,12 @@ def detect_injection(
             names["threats"]: F.concat(
                 phrase_threats(norm, rules),
                 *[regex_threats("__text", "__low", r) for r in rules.injection_rules],
-                heuristic_threats(text, F.col("__ratio"), F.col("__words")),
+                heuristic_threats(text, "__ratio", F.col("__words")),
                 structure_threats("__text", "__low", rules),
                 F.coalesce(extra, F.array()).cast(THREATS_TYPE),
             ),
             "__warnings": F.concat(
-                term_warnings(norm, rules), encoding_warnings(text, F.col("__entropy"))
+                term_warnings(norm, rules), encoding_warnings(text, "__entropy")
             ),
         }
     )
@@ -317,7 +318,7 @@ def detect_injection(
     block, warn = thresholds(sensitivity)
     elevated = F.when(
         (score >= warn) & (score < block),
-        F.array(F.concat(F.lit("Elevated risk score: "), fixed2(score))),
+        F.array(F.concat(F.lit("Elevated risk score: "), fixed2(names["risk_score"]))),
     ).otherwise(F.array().cast(WARNINGS_TYPE))
     return staged.withColumns(
         {

@@ -89,12 +89,12 @@ def resolve_mime(content: Column, filename: Column, mime: Column) -> Column:
     return F.coalesce(mime, guess_mime(filename), detect_mime(content))
 
 
-def size_error(n_bytes: Column, limits: InputLimits = InputLimits()) -> Column:
-    """Message when the size is above the limit, else null."""
-    mb = n_bytes / _MB
+def size_error(n_bytes: str, limits: InputLimits = InputLimits()) -> Column:
+    """Message when the size in bytes (SQL) is above the limit, else null."""
+    mb = f"{n_bytes} / {_MB}D"
     shown = f"{limits.max_document_size_mb}MB"
     return F.when(
-        mb > limits.max_document_size_mb,
+        F.expr(mb) > limits.max_document_size_mb,
         F.concat(F.lit("Document size ("), fixed2(mb), F.lit(f"MB) exceeds limit ({shown})")),
     )
 
@@ -148,7 +148,9 @@ def validate_documents(
     staged = staged.withColumns(
         {
             prefix + "errors": F.array_compact(
-                F.array(size_error(F.octet_length(content), limits), mime_error(mime, limits))
+                F.array(
+                    size_error(f"octet_length({content_col})", limits), mime_error(mime, limits)
+                )
             ),
             prefix + "warnings": content_warnings(content, mime),
         }

@@ -153,7 +153,7 @@ def test_spans_of_empty_and_wide_matches(spark):
 def test_fixed2_rounds_like_python(spark):
     rng = random.Random(3)
     xs = [i / 200 for i in range(600)] + [i / 1000 for i in range(3000)] + [rng.random() * 9 for _ in range(2000)]
-    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fixed2(F.col("x")).alias("s")).collect()
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fixed2("x").alias("s")).collect()
     assert [(r.x, r.s) for r in rows if r.s != f"{r.x:.2f}"] == []
 
 
