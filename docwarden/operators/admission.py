@@ -54,32 +54,53 @@ def offered_load(
     """Add ``requests_last_minute`` and ``tokens_last_minute``: what the user asked for in the 60 seconds
     up to and including the row, admitted or not.
 
-    The window is partitioned by user and time slice, so a hot user is spread over slices. Rows of the
-    last minute of a slice are also sent to the next one as context and dropped there afterwards.
+    A request enters the load at its time and leaves it 60 seconds later, so the load is a running sum
+    over entries and departures: linear in the rows, where a sliding frame costs a pass over the last
+    minute for each row. The sum runs per user and time slice, which spreads a hot user over slices;
+    entries of the last minute of a slice are repeated in the next one.
     """
     width = slice_seconds * 1_000_000
     if width < WINDOW_US:
         raise ValueError("slice_seconds must be at least 60")
+    tokens = F.coalesce(F.col(tokens_col), F.lit(0)).cast("bigint")
+    row = F.struct(*df.columns)
+
+    def change(part: Column, at: Column, sign: int, carried: Column) -> Column:
+        return F.struct(
+            part.alias("part"),
+            at.alias("at"),
+            F.lit(sign).alias("n"),
+            (tokens * sign).alias("tokens"),
+            carried.alias("row"),
+        )
+
     at = F.col("__at")
-    home = F.floor(at / width)
-    placed = df.withColumn("__at", micros(F.col(ts_col))).withColumn("__home", home)
-    slices = F.when(
-        at > (F.col("__home") + 1) * width - WINDOW_US,
-        F.array(F.col("__home"), F.col("__home") + 1),
-    ).otherwise(F.array("__home"))
-    frame = (
-        Window.partitionBy(user_col, "__slice").orderBy("__at").rangeBetween(1 - WINDOW_US, 0)
-    )
-    return (
-        placed.withColumn("__slice", F.explode(slices))
-        .withColumns(
-            {
-                "requests_last_minute": F.count(F.lit(1)).over(frame),
-                "tokens_last_minute": F.sum(tokens_col).over(frame),
-            }
+    home, leaves = F.floor(at / width), at + WINDOW_US
+    nothing = F.lit(None).cast(df.select(row.alias("row")).schema["row"].dataType)
+    here = change(home, at, 1, row)
+    within = F.array(here, change(home, leaves, -1, nothing))
+    beyond = F.array(here, change(home + 1, at, 1, nothing), change(home + 1, leaves, -1, nothing))
+    changes = (
+        df.withColumn("__at", micros(F.col(ts_col)))
+        .select(
+            F.col(user_col).alias("__user"),
+            F.explode(F.when(leaves < (home + 1) * width, within).otherwise(beyond)).alias("c"),
         )
-        .where(F.col("__slice") == F.col("__home"))
-        .drop("__at", "__home", "__slice")
+        .select("__user", "c.*")
+    )
+    so_far = (
+        Window.partitionBy("__user", "part")
+        .orderBy("at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = changes.withColumns(
+        {
+            "requests_last_minute": F.sum("n").over(so_far),
+            "tokens_last_minute": F.sum("tokens").over(so_far),
+        }
+    )
+    return summed.where(F.col("row").isNotNull()).select(
+        "row.*", "requests_last_minute", "tokens_last_minute"
     )
 
 
@@ -174,19 +195,21 @@ class _Segments:
         rows = self.spark.read.parquet(self.path)
         if parts is None:
             rows = rows.withColumn("part", F.col("segment"))
+            n_parts = self.n
         else:
             # A literal list prunes the read to the directories of these segments.
             rows = rows.where(F.col("segment").isin(list(parts)))
             # Two integers per segment.
             lookup = self.spark.createDataFrame(list(parts.items()), "segment int, part int")
             rows = rows.join(F.broadcast(lookup), "segment")
+            n_parts = len(set(parts.values()))
         columns = ["part", "segment", *_ORDER, "tokens"]
         opening = self.spark.createDataFrame(
             [((parts or {}).get(s, s), s, u, -1, -1, "-1", 0, state) for s, (u, state) in seeds.items()],
             "part int, segment int, user string, ts_us long, turn int, seq string, tokens long, seed string",
         ).withColumn("seq", F.col("seq").cast(self.seq_type))
         rows = rows.select(*columns, F.lit(None).cast("string").alias("seed")).unionByName(opening)
-        ordered = rows.repartition("part").sortWithinPartitions(
+        ordered = rows.repartition(n_parts, "part").sortWithinPartitions(
             "part", "segment", "user", F.col("turn") >= 0, *_ORDER[1:]
         )
         schema = f"user string, seq {self.seq_type}, allowed boolean, message string" if emit else _BOUNDS
