@@ -239,7 +239,7 @@ def _opening_states(segments: _Segments) -> tuple[dict[int, tuple[str, str]], in
             stretches = [[s] for s in stale]
         else:
             # The first stale segment of a chain opens with a certain state: run on from there.
-            length = min(2 ** (rounds - SPECULATIVE_ROUNDS + 1), LONGEST_STRETCH)
+            length = min(4 ** (rounds - SPECULATIVE_ROUNDS + 1), LONGEST_STRETCH)
             heads: dict[str, int] = {}
             for s in stale:
                 heads.setdefault(bounds[s].first_user, s)
