@@ -46,7 +46,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df``, written as Parquet in the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
