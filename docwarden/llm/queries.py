@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import ann, pack, pii, simhash, tokenfile, topk
+from docwarden.llm import ann, bpe, chat, pack, pii, simhash, tokenfile, topk
 from docwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,47 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenfile.stored_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return stored.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(docs, path, public_tokenizers.PATTERN).drop("text")
+
+
+@query(
+    "op2_chat",
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    e AS (
+      SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '### System: ', '#\## System: '),
+        '### User: ', '#\## User: '), '### Assistant: ', '#\## Assistant: '), '### Tool: ', '#\## Tool: '),
+        '### Role ', '#\## Role '), '</turn>', '<\/turn>') AS escaped FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(length(escaped) + 8 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'tool' THEN 10
+        ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))))).alias("t"))
+    more = more.select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(tricky).alias("text"))
+    formatted = chat.format_conversations(turns.union(more))
+    back = formatted.withColumns({"turns": chat.read_turns("formatted"), "learnt": chat.learnt_text("segments")})
+    told = F.expr("array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), '')")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
