@@ -93,12 +93,12 @@ class BytePairs:
         """Ids of each text as little-endian unsigned 32-bit. Null is empty."""
         for text in texts:
             pieces = self.pattern.findall(text or "")
-            new = set(pieces) - self.known.keys()
+            new = [p for p in set(pieces) if p not in self.known]
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = set(pieces)
+                new = list(set(pieces))
             if new:
-                self._learn(list(new))
+                self._learn(new)
             yield b"".join(map(self.known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:

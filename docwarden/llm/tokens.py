@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,9 +18,6 @@ AT_ONCE = 4_000_000
 # Fixed value: what byte-level tokenizers with the usual pattern cut a text into before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: White space other than single spaces and line ends between words: such texts are encoded in one call.
-_UNUSUAL = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
-
 
 class Encoder:
     """The ids of whole texts as bytes (little-endian unsigned 32-bit), equal to one call of the library for each.
@@ -45,64 +41,66 @@ class Encoder:
         self.by_word = (
             told.get("normalizer") is None and usual.items() <= (told.get("pre_tokenizer") or {}).items() and len(self.line_end) == 4
         )
-        # Words at the start of a line, and words after a space.
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        # Words after a space, and words at the start of a line with the line end before them.
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.pattern = regex.compile(PIECES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str], before: str, known: dict[str, bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Put new words together from their pieces; pieces not met before are encoded as lines of one text."""
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        cut = {w: self.pattern.findall(before + w) for w in words}
-        new = list({p for pieces in cut.values() for p in pieces} - self.pieces.keys())
+        findall = self.pattern.findall
+        cut = [findall(w if w[0] == "\n" else " " + w) for w in words]
+        known = self.pieces
+        new = list({p for pieces in cut for p in pieces if p not in known and p != "\n"})
         if new:
-            ids = self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0]) * 4
             data = ids.tobytes()
             ends = zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)
-            self.pieces.update(zip(new, (data[i:j] for i, j in ends), strict=True))
-        piece = self.pieces.__getitem__
-        known.update((w, b"".join(map(piece, pieces))) for w, pieces in cut.items())
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        first, later = self.known
-        starts = {line[0] for text in split for line in text}
-        rest = {w for text in split for line in text for w in line[1:]}
-        for words, before, known in ((starts, "", first), (rest, " ", later)):
-            new = words - known.keys()
-            if len(known) + len(new) > REMEMBERED:
-                new = words
-            if new:
-                self._learn(new, before, known)
-        get = later.__getitem__
-        return [self.line_end.join(first[line[0]] + b"".join(map(get, line[1:])) for line in text) for text in split]
+            known.update(zip(new, (data[i:j] for i, j in ends), strict=True))
+        known["\n"] = self.line_end
+        get = known.__getitem__
+        self.words.update(zip(words, (b"".join(map(get, pieces)) for pieces in cut), strict=True))
+
+    def _by_words(self, texts: list[list[str]]) -> list[bytes]:
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = list(words)
+        if new:
+            self._learn(new)
+        get = self.words.__getitem__
+        # Each text was given a line end before it.
+        return [b"".join(map(get, parts))[4:] for parts in texts]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn. Null is empty."""
-        block: list[str] = []
-        usual: list[bool] = []
+        block: list[str | list[str]] = []
         size = 0
 
         def done() -> Iterator[bytes]:
-            by_words = iter(self._by_words([t for t, u in zip(block, usual, strict=True) if u]))
-            for t, u in zip(block, usual, strict=True):
-                yield next(by_words) if u else self._whole(t) if t else b""
+            by_words = iter(self._by_words([x for x in block if isinstance(x, list)]))
+            for x in block:
+                yield next(by_words) if isinstance(x, list) else self._whole(x) if x else b""
 
         for text in texts:
-            block.append(text or "")
-            usual.append(bool(text) and self.by_word and not _UNUSUAL.search(text))
-            size += len(block[-1])
+            text = text or ""
+            # Other white space than single spaces and line ends between words makes these differ.
+            if text and self.by_word and text.replace("\n", " ").split(" ") == text.split():
+                block.append(text.replace("\n", " \n").split(" "))
+                block[-1][0] = "\n" + block[-1][0]
+            else:
+                block.append(text)
+            size += len(text)
             if size >= AT_ONCE:
                 yield from done()
-                block, usual, size = [], [], 0
+                block, size = [], 0
         yield from done()
 
 
