@@ -112,6 +112,17 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
         .agg(F.count_distinct("context").alias("n_both"))
         .where((F.col("n_both") >= support) & ~F.contains("entity", "term"))
     )
+    # A term stands in at least as many texts as in those with base spans; by this bound alone, common words drop out.
+    total = found.select(F.count_distinct("_h").alias("n")).first()["n"]
+    seldom = texts.select(F.explode(words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    content = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
+
+    def pmi(both: Column, n_term: str) -> Column:
+        return F.log(both * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col(n_term)))
+
+    pairs = pairs.join(seldom, "term").where(
+        (F.col("n_entity") < total) & (pmi(F.least("n_both", "n_least"), "n_least") >= generalise_at * content)
+    )
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
     # Fixed-size bits keep nearly all words out of the exact join; what they let through by chance, the join drops.
@@ -129,14 +140,9 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
     )
     standing = written(standing, "pii-standing")
     frequency = standing.groupBy("term").agg(F.count_distinct("_h").alias("n_term"))
-    total = found.select(F.count_distinct("_h").alias("n")).first()["n"]
-    both = F.least("n_both", "n_term")
-    content = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log(both * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
     flagged = (
         pairs.join(frequency, "term")
-        .where(F.col("n_entity") < total)
-        .withColumn("disclosed", pmi / content)
+        .withColumn("disclosed", pmi(F.least("n_both", "n_term"), "n_term") / content)
         .groupBy("term")
         .agg(F.max("disclosed").alias("disclosed"))
         .where(F.col("disclosed") >= generalise_at)
