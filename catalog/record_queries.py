@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions.mime import mime_family
-from docwarden.functions.templates import STEP_PROMPT, STEPS, SYSTEM_PROMPT, TEMPLATES
+from docwarden.functions.templates import RESTRICTED_PROMPT, STEP_PROMPT, STEPS, SYSTEM_PROMPT, TEMPLATES
 from docwarden.operators import admission as A
 from docwarden.operators import documents as DO
 from docwarden.operators import models as MO
 from docwarden.operators import run as RU
 from docwarden.operators import tasks as TA
 from docwarden.operators import verdict as V
-from docwarden.plans.screening import process_tasks, screen_requests
-from docwarden.rules import AuditOptions, InputLimits, RateLimits
+from docwarden.plans.screening import audit_screened, process_tasks, screen_requests
+from docwarden.rules import AuditOptions, InputLimits, RateLimits, Settings
 from docwarden.sources import audit as AU
 from docwarden.sources import documents as SD
 from docwarden.sources import dimensions as D
-from docwarden.streaming.admission import admit_stream
-from docwarden.workspace import work_dir
+from docwarden.streaming.admission import admit_stream, closing_mark
+from docwarden.workspace import work_folder
 
 from . import views as W
-from .text_queries import ORACLES, QUERIES, _blocked_sql, _verdict_sql, query
+from .text_queries import ORACLES, QUERIES, _filter_sql, _verdict_sql, query
 from .views import quoted
 
 # ---------------------------------------------------------------- sources and predicates
@@ -32,9 +32,9 @@ from .views import quoted
 
 @query("source_files")
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The table files themselves as documents; only names and sizes are read."""
-    found = SD.read_files(spark, sf, glob="*.parquet")
-    return found.select("filename", "doc_type", "guessed_mime", "size_bytes", "is_url")
+    """The files of the tables as documents, read whole and validated; none is of an allowed type."""
+    found = DO.validate_documents(SD.read_files(spark, sf, glob="*.parquet", recursive=True), mime_col=None)
+    return found.select("filename", "doc_type", "size_bytes", "is_url", F.md5("content").alias("digest"), "is_valid")
 
 
 @query(
@@ -62,14 +62,14 @@ def source_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DOCS = (
-    f"d AS (SELECT doc_id, {W.DOC_TYPE} AS doc_type, CASE WHEN doc_id % 5 > 0 THEN text END AS text,"
-    " CASE WHEN doc_id % 5 = 0 THEN 'http://d/' || doc_id END AS uri, n_chars FROM documents)"
+    f"d AS (SELECT doc_id, {W.DOC_TYPE} AS doc_type, CASE WHEN doc_id % 5 > 1 THEN text END AS text,"
+    " CASE WHEN doc_id % 5 = 0 THEN 'http://d/' || doc_id END AS uri, CASE WHEN doc_id % 5 = 1 THEN text END AS content, n_chars FROM documents)"
 )
 
 
 @query(
     "document_facts",
-    f"WITH {_DOCS} SELECT doc_id, coalesce(strlen(text), strlen(uri), 0) AS document_size, false AS is_url,"
+    f"WITH {_DOCS} SELECT doc_id, coalesce(strlen(content), strlen(text), strlen(uri), 0) AS document_size, false AS is_url,"
     " doc_type IN ('text/plain', 'text/markdown', 'text/html', 'text/csv', 'application/json') AS is_text_based,"
     " doc_type IN ('image/png', 'image/jpeg', 'image/webp', 'image/gif') AS is_image,"
     " doc_type IN ('audio/mpeg', 'audio/wav') AS is_audio, doc_type IN ('video/mp4', 'video/webm') AS is_video FROM d",
@@ -229,10 +229,10 @@ _ADMISSION_COLUMNS = (
 )
 
 
-def _admission(name: str, limits: RateLimits, user: str = "user_id", **options) -> None:
+def _admission(name: str, limits: RateLimits, user: str = "user_id") -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = W.requests(spark, sf).withColumn("u", F.expr(user))
-        out = A.admit_requests(rows, user_col="u", kind_col="kind", limits=limits, **options)
+        out = A.admit_requests(rows, user_col="u", kind_col="kind", limits=limits)
         return out.select("request_id", "allowed", "message")
 
     said = _ADMISSION_COLUMNS.format(
@@ -244,39 +244,36 @@ def _admission(name: str, limits: RateLimits, user: str = "user_id", **options)
 
 _admission("admit_requests", TIGHT)
 _admission("admit_requests_hourly", RateLimits(requests_per_minute=3, concurrent_requests=1000, requests_per_hour=20))
-# One user owns a third of the rows, in segments far smaller than that user's history.
+# One user owns a third of the rows.
 _admission(
     "admit_requests_hot_user",
     RateLimits(requests_per_minute=30, tokens_per_minute=140_000, concurrent_requests=2000),
     "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END",
-    segment_rows=1000,
 )
 
 
-_STREAM_DELAY_MS = 60_000
-
-
 @query(
     "admit_stream",
-    _admission_sql(TIGHT) + " SELECT request_id, CASE code WHEN 0 THEN NULL ELSE code = 1 END AS allowed FROM s JOIN requests USING (request_id)"
-    f" WHERE k > 0 AND us < (SELECT (max(us) // 1000 - {_STREAM_DELAY_MS}) * 1000 FROM requests)",
+    _admission_sql(TIGHT) + " SELECT request_id, CASE code WHEN 0 THEN NULL ELSE code = 1 END AS allowed FROM s WHERE k > 0",
 )
 def admit_stream_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream; decided are the rows that the watermark has passed at the end."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(W.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    decided = admit_stream(W.as_requests(events), kind_col="kind", delay=f"{_STREAM_DELAY_MS} milliseconds", limits=TIGHT)
-    try:
-        started = (
-            decided.writeStream.format("parquet").option("path", f"{out}/rows")
-            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-        )
-        started.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    """Events as a stream, closed by a mark behind the last one, so that every row is decided when the run ends."""
+    out = work_folder(spark, "stream")
+    # A session of its own, because state of this kind needs another store than the default.
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = W.table(own, sf, "events")
+    W.as_requests(events).agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")
+    ).write.parquet(f"{out}/closing")
+    stream = W.as_requests(own.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*"))
+    closing = closing_mark(own.readStream.schema("ts timestamp").parquet(f"{out}/closing"), stream)
+    decided = admit_stream(stream.unionByName(closing), kind_col="kind", delay="1 minute", limits=TIGHT)
+    started = (
+        decided.writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
     return spark.read.schema(decided.schema).parquet(f"{out}/rows").select(F.col("seq").alias("request_id"), "allowed")
 
 
@@ -289,50 +286,62 @@ def admit_disabled(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- verdict and audit
 
 
+_GUARD_SETTINGS = Settings(limits=SMALL, rates=TIGHT)
+_FILES_SQL = (
+    f"WITH {_CHECKED} SELECT doc_id, len(errors) = 0 AS is_valid, array_to_string(errors, '|') AS errors, array_to_string(warnings, '|') AS warnings FROM v"
+)
+
+
 def _screened(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a request whose answer is its own text, with a user and an action."""
+    """Every document as the text and the answer of the event of its number, whose user all events limit; marked bytes come with it."""
     rows = W.documents(spark, sf).selectExpr(
-        "doc_id", f"{W.PLANTED} AS t", "source AS user_id", f"{W.ACTION} AS action", "doc_id % 10 > 0 AS allowed",
-        "CASE WHEN doc_id % 10 = 0 THEN 'Rate limit (60/min) exceeded' END AS deny_message",
+        "doc_id AS request_id", f"{W.PLANTED} AS t", "source AS user_id", f"{W.ACTION} AS action",
+        f"CAST({W.MARKED} AS BINARY) AS content", f"{W.FILENAME} AS filename", f"{W.MIME} AS mime_type",
         "timestamp_micros(1704067200000000 + doc_id * 3600000000) AS ts",
     )
-    return screen_requests(rows, "t", "t")
+    return screen_requests(rows, "t", "t", _GUARD_SETTINGS, W.requests(spark, sf), content_col="content", kind_col="kind")
 
 
-_BLOCKING = _blocked_sql("t")
-_GUARD = (
-    f"v AS (SELECT * FROM ({_verdict_sql(0.4, 0.2)})), g AS (SELECT d.doc_id, d.source AS user_id, {W.ACTION.replace('doc_id', 'd.doc_id')} AS action,"
-    f" p.t, v.risk_score, v.is_safe, {_BLOCKING} AS blocked, d.doc_id % 10 > 0 AS allowed,"
-    " (CASE WHEN length(p.t) > 10000 THEN 1 ELSE 0 END + CASE WHEN v.warnings = '' THEN 0 ELSE len(string_split(v.warnings, '|')) END) AS w_in,"
-    " TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id AS INT)) AS ts FROM documents d JOIN planted p USING (doc_id) JOIN v USING (doc_id)),"
-    " e AS (SELECT *, list_concat(list_concat(CASE WHEN is_safe THEN [] ELSE ['Prompt injection risk above the blocking threshold'] END, blocked),"
-    " CASE WHEN allowed THEN [] ELSE ['Rate limit (60/min) exceeded'] END) AS errors FROM g),"
-    " x AS (SELECT *, is_safe AND allowed AND len(blocked) = 0 AS passed FROM e)"
+_GUARD_CTES = (
+    f"{_admission_sql(TIGHT)}, adm AS (SELECT request_id AS doc_id, coalesce(code = 1 OR code = 0, true) AS allowed,"
+    " CASE code WHEN 2 THEN 'Concurrent request limit (4) exceeded' WHEN 3 THEN 'Rate limit (3/min) exceeded'"
+    " WHEN 5 THEN 'Token limit (12000/min) exceeded' END AS deny FROM s WHERE k > 0),"
+    f" {W.PLANTED_CTE}, v AS (SELECT * FROM ({_verdict_sql(0.4, 0.2)})), o AS (SELECT * FROM ({_filter_sql('planted', 'doc_id', 't', W.PLANTED_CTE + ', ')})),"
+    f" fv AS (SELECT * FROM ({_FILES_SQL})),"
+    f" g AS (SELECT d.doc_id, d.source AS user_id, {W.ACTION.replace('doc_id', 'd.doc_id')} AS action, p.t, v.risk_score, v.is_safe,"
+    " string_split(nullif(o.blocked_patterns, ''), '|') AS blocked, coalesce(adm.allowed, true) AS allowed, adm.deny, fv.is_valid AS file_ok,"
+    " CASE WHEN fv.errors = '' THEN [] ELSE string_split(fv.errors, '|') END AS file_errors,"
+    " CAST(CASE WHEN length(p.t) > 10000 THEN 1 ELSE 0 END + CASE WHEN v.warnings = '' THEN 0 ELSE len(string_split(v.warnings, '|')) END"
+    " + o.n_warnings + CASE WHEN fv.warnings = '' THEN 0 ELSE len(string_split(fv.warnings, '|')) END AS INT) AS n_warnings,"
+    " TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id AS INT)) AS ts FROM documents d JOIN planted p USING (doc_id) JOIN v USING (doc_id) JOIN o USING (doc_id)"
+    " JOIN fv USING (doc_id) LEFT JOIN adm USING (doc_id)),"
+    " e AS (SELECT * REPLACE (coalesce(blocked, []) AS blocked), list_concat(list_concat(list_concat(file_errors, CASE WHEN is_safe THEN [] ELSE"
+    " ['Prompt injection risk above the blocking threshold'] END), coalesce(blocked, [])), CASE WHEN allowed THEN [] ELSE [deny] END) AS errors FROM g),"
+    " x AS (SELECT *, file_ok AND is_safe AND allowed AND len(blocked) = 0 AS passed FROM e)"
 )
-_GUARD_CTES = f"WITH {W.PLANTED_CTE}, {_GUARD}"
 
 
 @query(
     "guard_requests",
-    f"{_GUARD_CTES} SELECT doc_id, passed, NOT allowed AS rate_limited, array_to_string(errors, '|') AS errors,"
-    " CASE WHEN NOT allowed THEN 'Rate limit (60/min) exceeded' WHEN NOT is_safe THEN 'Prompt injection detected'"
+    f"{_GUARD_CTES} SELECT doc_id, passed, NOT allowed AS rate_limited, array_to_string(errors, '|') AS errors, n_warnings,"
+    " CASE WHEN NOT allowed THEN deny WHEN NOT file_ok THEN 'Input validation failed' WHEN NOT is_safe THEN 'Prompt injection detected'"
     " WHEN len(blocked) > 0 THEN 'Output blocked' ELSE 'OK' END AS message, risk_score FROM x",
 )
 def guard_requests(spark: SparkSession, sf: str) -> DataFrame:
     return _screened(spark, sf).select(
-        "doc_id", "passed", "rate_limited", F.array_join("all_errors", "|").alias("errors"), "message",
+        F.col("request_id").alias("doc_id"), F.size("all_warnings").alias("n_warnings"), "passed", "rate_limited", F.array_join("all_errors", "|").alias("errors"), "message",
         F.round("risk_score", 6).alias("risk_score"),
     )
 
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
-    return V.audit_records(_screened(spark, sf), "doc_id", input_col="t")
+    return audit_screened(_screened(spark, sf), _GUARD_SETTINGS, input_col="t")
 
 
 _AUDIT_COLUMNS = (
     "doc_id AS request_id, left(user_id, 2) || '***' AS user_id, action,"
     " md5(CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END) AS preview, passed,"
-    " len(errors) AS errors_count, risk_score, CASE WHEN NOT passed THEN array_to_string(errors, '|') END AS block_reasons,"
+    " n_warnings AS warnings_count, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, len(errors) AS errors_count, risk_score, CASE WHEN NOT passed THEN array_to_string(errors, '|') END AS block_reasons,"
     " CASE WHEN passed THEN 'REQUEST' ELSE 'BLOCKED' END AS level, strftime(ts, '%Y-%m-%d') AS audit_date"
 )
 
@@ -340,7 +349,8 @@ _AUDIT_COLUMNS = (
 @query("audit_records", f"{_GUARD_CTES} SELECT {_AUDIT_COLUMNS} FROM x")
 def audit_records(spark: SparkSession, sf: str) -> DataFrame:
     return _audited(spark, sf).select(
-        "request_id", "user_id", "action", F.md5("input_preview").alias("preview"), "passed", "errors_count",
+        "request_id", "user_id", "action", F.md5("input_preview").alias("preview"), "passed", "errors_count", "warnings_count",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
         F.round("risk_score", 6).alias("risk_score"), F.array_join("block_reasons", "|").alias("block_reasons"), "level",
         F.col("audit_date").cast("string").alias("audit_date"),
     )
@@ -349,23 +359,26 @@ def audit_records(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "audit_summary",
     f"{_GUARD_CTES} SELECT strftime(ts, '%Y-%m-%d') AS audit_date, action, CASE WHEN passed THEN 'REQUEST' ELSE 'BLOCKED' END AS level,"
-    " count(*) AS requests, CAST(sum(len(errors)) AS BIGINT) AS errors, max(risk_score) AS max_risk FROM x GROUP BY ALL",
+    " count(*) AS requests, CAST(sum(n_warnings) AS BIGINT) AS warnings, CAST(sum(len(errors)) AS BIGINT) AS errors, max(risk_score) AS max_risk FROM x GROUP BY ALL",
 )
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     return V.audit_summary(_audited(spark, sf)).select(
-        F.col("audit_date").cast("string").alias("audit_date"), "action", "level", "requests", "errors",
+        F.col("audit_date").cast("string").alias("audit_date"), "action", "level", "requests", "warnings", "errors",
         F.round("max_risk", 6).alias("max_risk"),
     )
 
 
 @query(
     "audit_switches",
-    f"WITH {W.PLANTED_CTE} SELECT doc_id AS request_id, source AS user_id, NULL AS preview, NULL AS block_reasons FROM documents",
+    f"{_GUARD_CTES} SELECT doc_id AS request_id, user_id, NULL AS preview, NULL AS block_reasons, passed, len(errors) AS errors_count, n_warnings AS warnings_count FROM x",
 )
 def audit_switches(spark: SparkSession, sf: str) -> DataFrame:
     off = AuditOptions(log_inputs=False, log_blocked_requests=False, sensitive_field_masking=False)
-    out = V.audit_records(_screened(spark, sf), "doc_id", input_col="t", options=off)
-    return out.select("request_id", "user_id", F.col("input_preview").alias("preview"), F.array_join("block_reasons", "|").alias("block_reasons"))
+    out = audit_screened(_screened(spark, sf), replace(_GUARD_SETTINGS, audit=off), input_col="t")
+    return out.select(
+        "request_id", "user_id", F.col("input_preview").alias("preview"), F.array_join("block_reasons", "|").alias("block_reasons"),
+        "passed", "errors_count", "warnings_count",
+    )
 
 
 @query("mask_users", "SELECT doc_id, left(source, 2) || '***' AS masked, sha256(source) AS digest FROM documents")
@@ -437,15 +450,20 @@ _rendered("prompt_templates", TEMPLATES)
 _rendered("prompt_default", {})
 
 
+_SYSTEM_SQL = (
+    f"replace(replace({quoted(SYSTEM_PROMPT)}, '{{session_id}}', coalesce(session_id, '')), '{{boundary_token}}', coalesce(boundary_token, ''))"
+)
+
+
 @query(
     "prompt_system",
-    f"WITH {W.TASKS_CTE} SELECT task_id, replace(replace({quoted(SYSTEM_PROMPT)}, '{{session_id}}', coalesce(session_id, '')),"
-    " '{boundary_token}', coalesce(boundary_token, '')) AS base, action = 'ocr' AS restricted FROM tasks",
+    f"WITH {W.TASKS_CTE} SELECT task_id, {_SYSTEM_SQL} AS base, {_SYSTEM_SQL} || CASE WHEN action = 'ocr' THEN chr(10) || {quoted(RESTRICTED_PROMPT)} ELSE '' END"
+    " AS restricted FROM tasks",
 )
 def prompt_system(spark: SparkSession, sf: str) -> DataFrame:
     sensitive = F.col("action") == "ocr"
     out = TA.system_prompt(TA.system_prompt(W.tasks(spark, sf)).withColumnRenamed("system_prompt", "base"), sensitive)
-    return out.select("task_id", "base", (F.length("system_prompt") > F.length("base")).alias("restricted"))
+    return out.select("task_id", "base", F.col("system_prompt").alias("restricted"))
 
 
 @query(
@@ -546,7 +564,7 @@ _PRESET = "CASE doc_id % 4 WHEN 0 THEN 'conservative' WHEN 1 THEN 'creative' WHE
 )
 def model_presets(spark: SparkSession, sf: str) -> DataFrame:
     out = MO.config_from_preset(W.documents(spark, sf).selectExpr("doc_id", f"{_PRESET} AS preset"))
-    other = MO.with_model(out, F.when(F.col("model").isNotNull(), F.lit("gemini-pro")))
+    other = out.withColumn("model", F.when(F.col("model").isNotNull(), F.lit("gemini-pro")))
     return other.select("doc_id", "preset", "model", "temperature", "max_output_tokens")
 
 
@@ -621,49 +639,68 @@ _capabilities("config", D.CAPABILITIES_CONFIG)
 
 @query(
     "task_parts",
-    f"WITH {W.LINKS_CTE}, {_DOCS} SELECT task_id, doc_index, doc_id, CASE WHEN uri IS NOT NULL THEN 'url' ELSE 'text' END AS part_kind,"
-    " doc_type AS mime, length(text) AS n_chars, uri FROM links JOIN d USING (doc_id)",
+    f"WITH {W.LINKS_CTE}, {_DOCS} SELECT task_id, doc_index, doc_id, CASE WHEN content IS NOT NULL THEN 'bytes' WHEN uri IS NOT NULL THEN 'url' WHEN text IS NOT NULL"
+    " THEN 'text' END AS part_kind, doc_type AS mime, length(text) AS n_chars, strlen(content) AS n_bytes, CASE WHEN content IS NOT NULL THEN 'bytes' ELSE uri END AS uri"
+    " FROM links LEFT JOIN d USING (doc_id)",
 )
 def task_parts(spark: SparkSession, sf: str) -> DataFrame:
     out = TA.task_parts(W.task_documents(spark, sf), W.document_table(spark, sf))
-    return out.select("task_id", "doc_index", "doc_id", "part_kind", "mime", F.length("text").alias("n_chars"), "uri")
+    return out.select(
+        "task_id", "doc_index", "doc_id", "part_kind", "mime", F.length("text").alias("n_chars"), F.octet_length("content").alias("n_bytes"), "uri"
+    )
 
 
 _ASSEMBLED = (
-    f"{W.TASKS_CTE}, {W.LINKS_CTE}, a AS (SELECT task_id, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_index) AS ids FROM links GROUP BY 1),"
-    " b AS (SELECT t.*, coalesce(n, 0) AS n_documents, CASE WHEN n <= 20 THEN ids END AS ids, CASE WHEN n IS NULL THEN 'At least one document is required'"
-    " WHEN n > 20 THEN 'Number of documents (' || n || ') exceeds limit (20)' END AS task_error FROM tasks t LEFT JOIN a USING (task_id))"
+    f"{W.TASKS_CTE}, {W.LINKS_CTE}, {_DOCS}, a AS (SELECT l.task_id, count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS gone,"
+    " string_agg(d.doc_id || CASE WHEN d.content IS NOT NULL THEN 'b' || strlen(d.content) WHEN d.uri IS NOT NULL THEN 'u' ELSE 't' || length(d.text) END, ',' ORDER BY doc_index) AS ids"
+    " FROM links l LEFT JOIN d USING (doc_id) GROUP BY 1),"
+    " b AS (SELECT t.*, coalesce(n, 0) AS n_documents, ids, CASE WHEN n IS NULL THEN 'At least one document is required'"
+    " WHEN gone > 0 THEN 'Documents not found: ' || gone END AS task_error FROM tasks t LEFT JOIN a USING (task_id))"
 )
 
 
-@query("task_assembly", f"WITH {_ASSEMBLED} SELECT task_id, n_documents, ids AS part_ids, task_error FROM b")
+@query("task_assembly", f"WITH {_ASSEMBLED} SELECT task_id, n_documents, task_error FROM b")
 def task_assembly(spark: SparkSession, sf: str) -> DataFrame:
     out = TA.assemble_tasks(W.tasks(spark, sf), W.task_documents(spark, sf), W.document_table(spark, sf))
-    ids = F.array_join(F.transform("parts", lambda p: p["doc_id"].cast("string")), ",")
-    return out.select("task_id", "n_documents", ids.alias("part_ids"), "task_error")
+    return out.select("task_id", "n_documents", "task_error")
 
 
 def _measure():
-    """A stand-in for a model: tells the size of what it got and fails on translations."""
+    """A stand-in for a model: tells what it got, in order, leaks now and then, and fails on translations."""
 
     def generate(task: dict):
         if "Task: translate" in task["prompt"] or "Task:  translate" in task["prompt"]:
             raise RuntimeError("model refused")
-        return f"{len(task['parts'])} parts, prompt of {len(task['prompt'])}", 5
+        seen = []
+        for p in task["parts"]:
+            size = {"bytes": f"b{len(p['content'] or b'')}", "url": "u", "text": f"t{len(p['text'] or '')}"}[p["part_kind"]]
+            seen.append(f"{p['doc_id']}{size}")
+        return f"{','.join(seen)}; prompt of {len(task['prompt'])}", 5
 
     return generate
 
 
-def _ready(spark: SparkSession, sf: str) -> DataFrame:
+def _leaking():
+    """Its answers hold personal data, and for compact prompts a leaked credential."""
+    inner = _measure()
+
+    def generate(task: dict):
+        said, used = inner(task)
+        return said + " 123-45-6789" + (" password: hunter22" if len(task["prompt"]) % 2 else ""), used
+
+    return generate
+
+
+def _ready(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tasks = W.tasks(spark, sf).withColumn("model", F.lit("gemini-pro"))
     links, docs = W.task_documents(spark, sf), W.document_table(spark, sf)
-    return TA.render_prompt(TA.assemble_tasks(tasks, links, docs), None)
+    return TA.render_prompt(TA.assemble_tasks(tasks, links, docs), None), TA.task_parts(links, docs)
 
 
 _RAN = (
     f"{_ASSEMBLED}, r AS (SELECT *, {_prompt_sql({})} AS full_prompt FROM b), o AS (SELECT task_id, action, session_id, n_documents,"
     " task_error IS NULL AND action <> 'translate' AS success, CASE WHEN task_error IS NULL AND action <> 'translate' THEN"
-    " n_documents || ' parts, prompt of ' || length(full_prompt) END AS content, coalesce(task_error, CASE WHEN action = 'translate'"
+    " ids || '; prompt of ' || length(full_prompt) END AS content, coalesce(task_error, CASE WHEN action = 'translate'"
     " THEN 'model refused' END) AS error FROM r)"
 )
 
@@ -674,7 +711,8 @@ _RAN = (
     " CASE WHEN success THEN n_documents END AS document_count FROM o",
 )
 def run_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    out = RU.run_batch(_ready(spark, sf), _measure, {}, "unregistered")
+    ready, parts = _ready(spark, sf)
+    out = RU.run_batch(ready, _measure, {}, "unregistered", parts)
     return out.select(
         "task_id", "success", "content", "model_used", "tokens_used", "error",
         F.col("metadata.action").alias("action"), F.col("metadata.document_count").alias("document_count"),
@@ -684,21 +722,29 @@ def run_tasks(spark: SparkSession, sf: str) -> DataFrame:
 def _step_length(i: int, previous: str) -> str:
     name, instruction = STEPS[i]
     fixed = len(STEP_PROMPT.format(step=name, instruction=instruction, action="", additional_context="", previous="", output_format=""))
-    return f"({fixed} + length(action) + length(coalesce(additional_context, '')) + length({previous}) + length(coalesce(output_format, 'None')))"
+    return f"({fixed} + length(action) + length(coalesce(additional_context, '')) + length({previous}) + length(coalesce(nullif(output_format, ''), 'markdown')))"
 
 
 @query(
     "run_multistep",
-    f"WITH {_ASSEMBLED}, s1 AS (SELECT *, n_documents || ' parts, prompt of ' || {_step_length(0, quoted('None'))} AS r1 FROM b),"
-    f" s2 AS (SELECT *, n_documents || ' parts, prompt of ' || {_step_length(1, 'r1')} AS r2 FROM s1),"
-    f" s3 AS (SELECT *, n_documents || ' parts, prompt of ' || {_step_length(2, 'r2')} AS r3 FROM s2)"
+    f"WITH {_ASSEMBLED}, s1 AS (SELECT *, ids || '; prompt of ' || {_step_length(0, quoted('None'))} AS r1 FROM b),"
+    f" s2 AS (SELECT *, ids || '; prompt of ' || {_step_length(1, 'r1')} AS r2 FROM s1),"
+    f" s3 AS (SELECT *, ids || '; prompt of ' || {_step_length(2, 'r2')} AS r3 FROM s2)"
     " SELECT task_id, task_error IS NULL AND action <> 'translate' AS success, CASE WHEN task_error IS NULL AND action <> 'translate' THEN r3 END AS content,"
-    " CASE WHEN task_error IS NOT NULL THEN NULL WHEN action = 'translate' THEN 1 ELSE 3 END AS n_steps FROM s3",
+    " CASE WHEN task_error IS NOT NULL THEN NULL WHEN action = 'translate' THEN 1 ELSE 3 END AS n_steps,"
+    f" CASE WHEN task_error IS NOT NULL THEN NULL WHEN action = 'translate' THEN {quoted(STEPS[0][0] + '=model refused')}"
+    f" ELSE {quoted(STEPS[0][0] + '=')} || r1 || {quoted('|' + STEPS[1][0] + '=')} || r2 || {quoted('|' + STEPS[2][0] + '=')} || r3 END AS steps FROM s3",
 )
 def run_multistep(spark: SparkSession, sf: str) -> DataFrame:
-    out = RU.run_multistep(_ready(spark, sf), _measure)
+    out = RU.run_multistep(*_with_parts(spark, sf))
     steps = F.col("metadata.steps")
-    return out.select("task_id", "success", "content", F.when(steps.isNotNull(), F.size(steps)).alias("n_steps"))
+    said = F.array_join(F.transform(steps, lambda s: F.concat(s["step"], F.lit("="), F.coalesce(s["result"], s["error"]))), "|")
+    return out.select("task_id", "success", "content", F.when(steps.isNotNull(), F.size(steps)).alias("n_steps"), said.alias("steps"))
+
+
+def _with_parts(spark: SparkSession, sf: str) -> tuple:
+    ready, parts = _ready(spark, sf)
+    return ready, _measure, parts
 
 
 @query(
@@ -710,14 +756,16 @@ def run_multistep(spark: SparkSession, sf: str) -> DataFrame:
     " CASE WHEN success THEN n_documents::VARCHAR ELSE 'null' END || ',\"steps\":null,\"multi_step\":null}}' AS result FROM o",
 )
 def result_json(spark: SparkSession, sf: str) -> DataFrame:
-    return RU.run_tasks(_ready(spark, sf), _measure).select("task_id", RU.result_json().alias("result"))
+    return RU.run_tasks(*_with_parts(spark, sf)).select("task_id", RU.result_json().alias("result"))
 
 
 @query(
     "process_tasks",
-    f"WITH {_RAN} SELECT task_id, success, content, error, true AS output_is_safe FROM o",
+    f"WITH {_RAN}, y AS (SELECT o.*, length(full_prompt) % 2 = 1 AS leaks FROM o JOIN r USING (task_id))"
+    " SELECT task_id, success, CASE WHEN success AND leaks THEN '[OUTPUT BLOCKED:  Security policy violation detected]'"
+    " ELSE content || ' [SSN REDACTED]' END AS content, error, NOT (success AND leaks) AS output_is_safe, success AS output_was_modified FROM y",
 )
 def process_all_tasks(spark: SparkSession, sf: str) -> DataFrame:
     tasks = W.tasks(spark, sf).withColumn("model", F.lit("gemini-pro"))
-    out = process_tasks(tasks, W.task_documents(spark, sf), W.document_table(spark, sf), _measure, "salt")
-    return out.select("task_id", "success", "content", "error", "output_is_safe")
+    out = process_tasks(tasks, W.task_documents(spark, sf), W.document_table(spark, sf), _leaking, "salt")
+    return out.select("task_id", "success", "content", "error", "output_is_safe", "output_was_modified")

@@ -27,7 +27,6 @@ from docwarden.rules import (
     threat_type_of,
 )
 
-from docwarden.sources.tables import read_texts
 
 from .views import PLANTED_CTE, planted, quoted, table
 
@@ -216,7 +215,7 @@ def filter_output(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("filter_output_pages", _filter_sql("pages", "page_id", "html", ""))
 def filter_output_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _filter_columns(O.filter_output(read_texts(spark, f"{sf}/pages.parquet"), "html"), "page_id")
+    return _filter_columns(O.filter_output(spark.read.parquet(f"{sf}/pages.parquet"), "html"), "page_id")
 
 
 @query("filter_output_shipped_rules", _filter_sql("planted", "doc_id", "t", PLANTED_CTE + ", ", SHIPPED))
@@ -614,5 +613,5 @@ _one_step("sanitize_strip", py_strip, _STRIP)
 @query("sanitize_pages", f"SELECT page_id, md5({_STRIP.format(t=_WS.format(t=_ESC.format(t='html')))}) AS sanitized FROM pages WHERE length(html) <= 10000"
        f" UNION ALL SELECT page_id, md5({_STRIP.format(t=_WS.format(t=_ESC.format(t='substr(html, 1, 10000)')))}) FROM pages WHERE length(html) > 10000")
 def sanitize_pages(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.sanitize_text(read_texts(spark, f"{sf}/pages.parquet"), "html")
+    out = S.sanitize_text(spark.read.parquet(f"{sf}/pages.parquet"), "html")
     return out.select("page_id", F.md5("sanitized_value").alias("sanitized"))

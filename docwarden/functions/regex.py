@@ -93,6 +93,21 @@ def compile_check(
         raise ValueError(f"Invalid regex pattern: {pattern}") from bad
 
 
+def valid_patterns(spark: SparkSession, jpatterns: list[str]) -> list[bool]:
+    """Which Java patterns the engine can use. One job tries them all; only if it fails are they tried in halves."""
+    if not jpatterns:
+        return []
+    probe = spark.range(1).select(*(F.regexp_count(F.col("id").cast("string"), F.lit(p)) for p in jpatterns))
+    try:
+        probe.collect()
+        return [True] * len(jpatterns)
+    except PySparkException:
+        if len(jpatterns) == 1:
+            return [False]
+        half = len(jpatterns) // 2
+        return valid_patterns(spark, jpatterns[:half]) + valid_patterns(spark, jpatterns[half:])
+
+
 def sql_text(value: str) -> str:
     """A string literal of Spark SQL."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

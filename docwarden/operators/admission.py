@@ -1,43 +1,22 @@
 """Rate limiting: which requests a per-user sliding window admits, and the load offered to it.
 
-Only admitted requests count against the limits, so each decision depends on the ones before it. That
-is sequential per user, and one user may own a third of the table. ``admit_requests`` therefore cuts
-the time-ordered table into segments of even size, across users and within them, and hands the state
-of a user from segment to segment:
-
-1. All segments run at once from an empty state. Where a segment ends with another user than it began
-   with, its closing state is already right, whatever came before.
-2. Segments filled by a single user form chains. They are run again from the closing state of the
-   segment before, first all at once (any lull makes the states meet), then as stretches of growing
-   length along each chain, until no state changes.
-3. All segments run once more from the right state and emit their decisions.
-
-Tasks stream a segment with the state of one user in memory. Between rounds, one small state per segment
-passes through the driver: its size is bounded by the limits.
+Only admitted requests count against the limits, so each decision depends on the user's decisions before it.
+``admit_requests`` shuffles once, by user, and streams the rows of a partition in order of time with the log of one user in
+memory, whose size is bounded by the limits. A user's rows are decided by one task, one after the other: that much
+is sequential by definition. Such a task holds no more than the others, and rows in which a user stands at a limit are
+denied together, so a flooding user costs little more than the reading of their rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.admission import ADMITTED, RELEASED, WINDOW_US, UserLog, messages
 from ..rules import RateLimits
-from ..workspace import work_dir
-
-_ORDER = ["user", "ts_us", "turn", "seq"]
-_BOUNDS = "segment int, first_user string, last_user string, state string"
-_SEED = -1
-SEGMENT_ROWS = 5_000_000
-# Smaller inputs are still cut, to use all cores, but into no smaller segments than this.
-LEAST_SEGMENT_ROWS = 20_000
-SPECULATIVE_ROUNDS = 2
-LONGEST_STRETCH = 64
 
 
 def micros(ts: Column) -> Column:
@@ -104,170 +83,39 @@ def offered_load(
     )
 
 
-def _simulate(limits: RateLimits, emit: bool):
-    """Runner over rows sorted by (part, segment, user, time). A row with a ``seed`` opens its user with
-    a saved state; within a part, a user's state passes from segment to segment. Emits decisions, or the
-    closing state of every segment."""
+def _simulate(limits: RateLimits):
+    """Decisions over rows sorted by user and time. Rows without a user get none."""
     said = messages(limits)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = segment = user = first = log = None
-        closed: list[tuple] = []
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame(closed, columns=["segment", "first_user", "last_user", "state"])
-            closed.clear()
-            return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = log = None
         for batch in batches:
-            parts, segs, users, ts, turns, tokens, seeds = (
-                batch[c].tolist() for c in ("part", "segment", "user", "ts_us", "turn", "tokens", "seed")
-            )
-            codes: list[int] = []
+            users, ts, turns, tokens = (batch[c].to_pylist() for c in ("user", "ts_us", "turn", "tokens"))
+            codes: list[int | None] = []
             i, n = 0, len(users)
             while i < n:
-                if (parts[i], segs[i]) != (part, segment):
-                    if segment is not None and not emit:
-                        closed.append((segment, first, user, log.save()))
-                    if parts[i] != part:
-                        user = log = None
-                    part, segment, first = parts[i], segs[i], users[i]
-                if users[i] != user:
-                    user, log = users[i], UserLog(limits)
-                if isinstance(seeds[i], str):
-                    log = UserLog(limits, seeds[i])
-                    codes.append(_SEED)
-                    i += 1
-                    continue
                 j = i + 1
-                while j < n and users[j] == user and segs[j] == segment and parts[j] == part:
+                while j < n and users[j] == users[i]:
                     j += 1
-                codes += log.decide(ts[i:j], [t == 0 for t in turns[i:j]], tokens[i:j])
+                if users[i] is None:
+                    codes += [None] * (j - i)
+                else:
+                    if users[i] != user:
+                        user, log = users[i], UserLog(limits)
+                    codes += log.decide(ts[i:j], [t == 0 for t in turns[i:j]], tokens[i:j])
                 i = j
-            if emit:
-                out = batch[["user", "seq"]].assign(code=codes)
-                out = out[out["code"] != _SEED]
-                allowed = (out["code"] == ADMITTED).astype("boolean")
-                yield pd.DataFrame(
-                    {
-                        "user": out["user"],
-                        "seq": out["seq"],
-                        "allowed": allowed.mask(out["code"] == RELEASED),
-                        "message": [said.get(c) for c in out["code"]],
-                    }
-                )
-            elif closed:
-                yield flush()
-        if segment is not None and not emit:
-            closed.append((segment, first, user, log.save()))
-            yield flush()
+            yield pa.record_batch(
+                {
+                    "user": batch["user"],
+                    "seq": batch["seq"],
+                    "allowed": pa.array([None if c is None or c == RELEASED else c == ADMITTED for c in codes], pa.bool_()),
+                    "message": pa.array([said.get(c) for c in codes], pa.string()),
+                }
+            )
 
     return run
 
 
-@dataclass
-class _Bound:
-    first_user: str
-    last_user: str
-    state: str
-    opened_with: str | None = None
-
-
-class _Segments:
-    """The time-ordered table, written once into the work folder with one directory per segment."""
-
-    def __init__(self, rows: DataFrame, n: int, limits: RateLimits):
-        self.spark: SparkSession = rows.sparkSession
-        self.limits = limits
-        self.n = n
-        self.seq_type = dict(rows.dtypes)["seq"]
-        self.path = f"{work_dir(self.spark)}/admission-{uuid.uuid4().hex}"
-        (
-            rows.repartitionByRange(n, *_ORDER)
-            .withColumn("segment", F.spark_partition_id())
-            .write.partitionBy("segment")
-            .parquet(self.path)
-        )
-
-    def run(self, parts: dict[int, int] | None, seeds: dict[int, tuple[str, str]], emit: bool) -> DataFrame:
-        """Simulate segments. ``parts`` maps a segment to the stretch it is run in (None: all segments,
-        each on its own), ``seeds`` the first segment of a stretch to its first user and state."""
-        rows = self.spark.read.parquet(self.path)
-        if parts is None:
-            rows = rows.withColumn("part", F.col("segment"))
-            n_parts = self.n
-        else:
-            # A literal list prunes the read to the directories of these segments.
-            rows = rows.where(F.col("segment").isin(list(parts)))
-            # Two integers per segment.
-            lookup = self.spark.createDataFrame(list(parts.items()), "segment int, part int")
-            rows = rows.join(F.broadcast(lookup), "segment")
-            n_parts = len(set(parts.values()))
-        columns = ["part", "segment", *_ORDER, "tokens"]
-        opening = self.spark.createDataFrame(
-            [((parts or {}).get(s, s), s, u, -1, -1, "-1", 0, state) for s, (u, state) in seeds.items()],
-            "part int, segment int, user string, ts_us long, turn int, seq string, tokens long, seed string",
-        ).withColumn("seq", F.col("seq").cast(self.seq_type))
-        rows = rows.select(*columns, F.lit(None).cast("string").alias("seed")).unionByName(opening)
-        ordered = rows.repartition(n_parts, "part").sortWithinPartitions(
-            "part", "segment", "user", F.col("turn") >= 0, *_ORDER[1:]
-        )
-        schema = f"user string, seq {self.seq_type}, allowed boolean, message string" if emit else _BOUNDS
-        return ordered.mapInPandas(_simulate(self.limits, emit), schema)
-
-    def bounds(self, parts: dict[int, int] | None, seeds: dict[int, tuple[str, str]]) -> dict[int, _Bound]:
-        found = self.run(parts, seeds, emit=False).collect()
-        return {r.segment: _Bound(r.first_user, r.last_user, r.state) for r in found}
-
-
-def _opening_states(segments: _Segments) -> tuple[dict[int, tuple[str, str]], int]:
-    """User and state for every segment that begins in the middle of a user, and the rounds it took."""
-    if segments.n == 1:
-        return {}, 0
-    bounds = segments.bounds(None, {})
-    order = sorted(bounds)
-    before, after = dict(zip(order[1:], order)), dict(zip(order, order[1:]))
-    continuing = [s for s in order[1:] if bounds[before[s]].last_user == bounds[s].first_user]
-    chained = {s for s in continuing if bounds[s].first_user == bounds[s].last_user}
-
-    def opening(s: int) -> tuple[str, str]:
-        return bounds[s].first_user, bounds[before[s]].state
-
-    rounds = 0
-    while stale := [s for s in sorted(chained) if bounds[s].opened_with != opening(s)[1]]:
-        if rounds < SPECULATIVE_ROUNDS:
-            stretches = [[s] for s in stale]
-        else:
-            # The first stale segment of a chain opens with a certain state: run on from there.
-            length = min(4 ** (rounds - SPECULATIVE_ROUNDS + 1), LONGEST_STRETCH)
-            heads: dict[str, int] = {}
-            for s in stale:
-                heads.setdefault(bounds[s].first_user, s)
-            stretches = []
-            for s in heads.values():
-                stretch = [s]
-                while len(stretch) < length and after.get(stretch[-1]) in chained:
-                    stretch.append(after[stretch[-1]])
-                stretches.append(stretch)
-        parts = {s: stretch[0] for stretch in stretches for s in stretch}
-        seeds = {stretch[0]: opening(stretch[0]) for stretch in stretches}
-        closed = segments.bounds(parts, seeds)
-        for stretch in stretches:
-            state = seeds[stretch[0]][1]
-            for s in stretch:
-                closed[s].opened_with = state
-                state = closed[s].state
-        bounds.update(closed)
-        rounds += 1
-    return {s: opening(s) for s in continuing}, rounds
-
-
-def _segment_count(df: DataFrame, segment_rows: int) -> int:
-    n = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // segment_rows), min(cores, n // LEAST_SEGMENT_ROWS))
-
-
 def admit_requests(
     df: DataFrame,
     user_col: str = "user_id",
@@ -276,18 +124,14 @@ def admit_requests(
     kind_col: str | None = None,
     seq_col: str = "request_id",
     limits: RateLimits = RateLimits(),
-    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """One row per input row: user, ``seq_col``, ``allowed`` and the ``message`` of a denial.
 
     A request is denied when the user has too many open requests, too many admitted in the last minute
     (hour, if a limit is given), or too many tokens with this request's estimate, tested in this order.
-    Rows of kind ``release`` close an open request and get null as their decision. At equal times
-    releases come first, then rows by ``seq_col``, which must be unique.
-
-    The ordered table is written to the work folder when this is called; the result reads it.
+    Rows of kind ``release`` close an open request and get null as their decision, and so do rows without a
+    user, to whom no limit belongs. At equal times releases come first, then rows by ``seq_col``, which must be unique.
     """
-    user_type, seq_type = (dict(df.dtypes)[c] for c in (user_col, seq_col))
     if not limits.enabled:
         return df.select(
             user_col,
@@ -296,19 +140,16 @@ def admit_requests(
             F.lit(None).cast("string").alias("message"),
         )
     kind = F.col(kind_col) if kind_col else F.lit("request")
-    whole = seq_type in ("tinyint", "smallint", "int", "bigint")
     rows = df.select(
-        F.coalesce(F.col(user_col).cast("string"), F.lit("")).alias("user"),
+        F.col(user_col).alias("user"),
         micros(F.col(ts_col)).alias("ts_us"),
         F.when(kind == "release", 0).otherwise(1).alias("turn"),
-        F.col(seq_col).cast("bigint" if whole else "string").alias("seq"),
+        F.col(seq_col).alias("seq"),
         F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)).alias("tokens"),
     )
-    segments = _Segments(rows, _segment_count(df, segment_rows), limits)
-    openings, _ = _opening_states(segments)
-    return segments.run(None, openings, emit=True).select(
-        F.col("user").cast(user_type).alias(user_col),
-        F.col("seq").cast(seq_type).alias(seq_col),
-        "allowed",
-        "message",
-    )
+    # Rows without a user need not meet, so they are spread.
+    home = F.when(F.col("user").isNull(), F.xxhash64("seq")).otherwise(F.xxhash64("user"))
+    ordered = rows.repartition(home).sortWithinPartitions("user", "ts_us", "turn", "seq")
+    user_type, seq_type = (dict(rows.dtypes)[c] for c in ("user", "seq"))
+    decided = ordered.mapInArrow(_simulate(limits), f"user {user_type}, seq {seq_type}, allowed boolean, message string")
+    return decided.select(F.col("user").alias(user_col), F.col("seq").alias(seq_col), "allowed", "message")

@@ -205,7 +205,9 @@ def validate_batches(
             F.lit("Number of documents ("), n.cast("string"), F.lit(f") exceeds limit ({cap})")
         )
     )
-    joined = counts.join(listed, request_col)
+    # Null-safe: documents without a request id form a request of their own.
+    listed = listed.withColumnRenamed(request_col, "__request")
+    joined = counts.join(listed, F.col(request_col).eqNullSafe(F.col("__request")))
     return joined.select(
         request_col,
         "n_documents",

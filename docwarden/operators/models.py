@@ -43,16 +43,6 @@ def config_from_preset(df: DataFrame, preset_col: str = "preset") -> DataFrame:
     ).drop("__preset")
 
 
-def with_model(df: DataFrame, model: Column) -> DataFrame:
-    """Same settings, other model."""
-    return df.withColumn("model", model)
-
-
-def with_temperature(df: DataFrame, temperature: Column) -> DataFrame:
-    """Same settings, other temperature."""
-    return df.withColumn("temperature", temperature)
-
-
 def config_errors(df: DataFrame) -> DataFrame:
     """Add ``config_errors``: every setting outside its range."""
     def rule(broken: Column, text: str) -> Column:

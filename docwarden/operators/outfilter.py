@@ -17,9 +17,9 @@ PII_TYPE = (
 BLOCKED_TEXT = "[OUTPUT BLOCKED:  Security policy violation detected]"
 
 
-def blocked_descriptions(text: str, rules: RuleSet = REPAIRED) -> Column:
-    """Descriptions of the blocking rules that occur, in rule order."""
-    low = f"lower({text})"
+def blocked_descriptions(text: str, rules: RuleSet = REPAIRED, low: str | None = None) -> Column:
+    """Descriptions of the blocking rules that occur, in rule order; ``low`` names the text in lower case."""
+    low = low or f"lower({text})"
     hits = [
         F.when(matches(text, jregex(r.pattern, ignore_case=True), low, r.needs), F.lit(r.description))
         for r in rules.blocked_outputs
@@ -121,12 +121,14 @@ def filter_output(
             }
         )
 
-    blocked = blocked_descriptions(text_col, rules) if check_leaks else no_strings
-    staged = df.withColumn(n["blocked_patterns"], F.coalesce(blocked, no_strings))
+    # Lowered once before and once after redaction; each in its own step, so that it is not repeated in every test.
+    staged = df.withColumn("__low0", F.lower(source)) if check_leaks else df
+    blocked = blocked_descriptions(text_col, rules, "__low0") if check_leaks else no_strings
+    staged = staged.withColumn(n["blocked_patterns"], F.coalesce(blocked, no_strings))
     is_blocked = F.size(n["blocked_patterns"]) > 0
     # Blocked rows carry a null through the later steps, so those cost nothing.
     staged = staged.withColumn("__t0", F.when(~is_blocked, source))
-    temps = ["__t0"]
+    temps = ["__t0", "__low0"]
     for i, rule in enumerate(rules.pii_rules):
         text = f"__t{i}"
         redacts = redact_pii and rule.action == "redact"

@@ -3,23 +3,36 @@
 The function is the only Python in the path: it gets one task at a time, is built once per partition
 (clients, connections), and what it raises becomes a failed result. A retried Spark task calls it again
 for its rows: write the results before reusing them, and switch speculation off for this stage.
+
+A task and its documents come as neighbouring rows, the task first. The function gets its documents as an iterable
+that reads them as they stream by; what has been read is kept for a second pass, beyond some MB in a temporary file
+of the task, so that no number of documents fills the memory.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.templates import STEP_PROMPT, STEPS
 
-# A model function takes a dict with ``prompt``, ``parts`` (list of dicts), ``model`` and ``config``, and
-# returns the text, or the text and the number of tokens used.
+# A model function takes a dict with ``prompt``, ``parts`` (an iterable of dicts: doc_index, doc_id, part_kind, mime, text,
+# uri, content), ``model`` and ``config``, and returns the text, or the text and the number of tokens used.
 Generate = Callable[[dict], "str | tuple[str, int]"]
 GenerateFactory = Callable[[], Generate]
 
+SPOOL_BYTES = 16 << 20
+_TASK_COLUMNS = (
+    "action", "full_prompt", "session_id", "additional_context", "output_format", "model", "generation_config", "task_error", "n_documents",
+)
+_PART_COLUMNS = ("doc_index", "doc_id", "part_kind", "mime", "text", "uri", "content")
+
 RESULT = (
     "task_id {key}, success boolean, content string, model_used string, tokens_used bigint, error string,"
     " metadata struct<action:string,session_id:string,document_count:int,"
@@ -27,12 +40,43 @@ RESULT = (
 )
 
 
+class _Parts:
+    """The documents of one task, read from the stream on the first pass and from the spool on later ones."""
+
+    def __init__(self, stream: Iterator[dict]):
+        self.stream, self.spool, self.kept = stream, None, 0
+
+    def __iter__(self) -> Iterator[dict]:
+        at, done = 0, 0
+        while True:
+            if done < self.kept:
+                self.spool.seek(at)
+                part = pickle.load(self.spool)
+                at = self.spool.tell()
+            else:
+                part = next(self.stream, None)
+                if part is None:
+                    return
+                self.spool = self.spool or tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+                self.spool.seek(0, 2)
+                pickle.dump(part, self.spool)
+                at = self.spool.tell()
+                self.kept += 1
+            done += 1
+            yield part
+
+    def close(self) -> None:
+        for _ in self.stream:
+            pass
+        if self.spool:
+            self.spool.close()
+
+
 def _call(generate: Generate, task: dict, prompt: str) -> tuple[str, int | None]:
-    parts = task.get("parts")
     answer = generate(
         {
             "prompt": prompt,
-            "parts": [] if parts is None else list(parts),
+            "parts": task["parts"],
             "model": task.get("model"),
             "config": task.get("generation_config"),
         }
@@ -60,8 +104,7 @@ def _single(generate: Generate, task: dict) -> dict:
         text, tokens = _call(generate, task, task["full_prompt"])
     except Exception as failure:  # noqa: BLE001 - any failure of the caller's function is a result
         return _result(task, False, error=str(failure))
-    count = 0 if task.get("parts") is None else len(task["parts"])
-    return _result(task, True, text, tokens, session_id=task["session_id"], document_count=count)
+    return _result(task, True, text, tokens, session_id=task["session_id"], document_count=task.get("n_documents"))
 
 
 def _stepwise(generate: Generate, task: dict) -> dict:
@@ -76,7 +119,7 @@ def _stepwise(generate: Generate, task: dict) -> dict:
             action=task["action"],
             additional_context=task.get("additional_context") or "",
             previous=previous,
-            output_format=task.get("output_format"),
+            output_format=task.get("output_format") or "markdown",
         )
         try:
             previous, _ = _call(generate, task, prompt)
@@ -88,26 +131,77 @@ def _stepwise(generate: Generate, task: dict) -> dict:
     return _result(task, True, previous, steps=steps, multi_step=True)
 
 
-def _run(tasks: DataFrame, factory: GenerateFactory, one: Callable[[Generate, dict], dict]) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = factory()
-        for batch in batches:
-            rows = [one(generate, task) for task in batch.to_dict("records")]
-            out = pd.DataFrame(rows, columns=["task_id", "success", "content", "model_used", "tokens_used", "error", "metadata"])
-            yield out.assign(tokens_used=out["tokens_used"].astype("Int64"))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            some = batch.slice(i, 64)
+            yield from zip(*(some[c].to_pylist() for c in ("task_id", "task", "part")), strict=True)
+
 
-    return tasks.mapInPandas(work, RESULT.format(key=dict(tasks.dtypes)["task_id"]))
+def _run(tasks: DataFrame, parts: DataFrame | None, factory: GenerateFactory, one: Callable[[Generate, dict], dict]) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        generate = factory()
+        rows = _rows(batches)
+        row = next(rows, None)
+        done: list[dict] = []
+        while row is not None:
+            key, task, _ = row
+            row = next(rows, None)
+            if task is None:
+                # Documents of a task that is not there.
+                continue
+
+            def own() -> Iterator[dict]:
+                nonlocal row
+                while row is not None and row[1] is None and row[0] == key:
+                    part, row = row[2], next(rows, None)
+                    yield part
+
+            held = _Parts(own())
+            done.append(one(generate, task | {"task_id": key, "parts": held}))
+            held.close()
+            if len(done) >= 256:
+                yield pa.RecordBatch.from_pylist(done, schema)
+                done = []
+        yield pa.RecordBatch.from_pylist(done, schema)
+
+    key_type = to_arrow_type(tasks.schema["task_id"].dataType)
+    schema = pa.schema({"task_id": key_type} | _RESULT_TYPES)
+    told = tasks.select("task_id", F.struct(*(c for c in _TASK_COLUMNS if c in tasks.columns)).alias("task"))
+    if parts is None:
+        rows = told.withColumn("part", F.lit(None).cast("struct<doc_index:int>"))
+    else:
+        part = parts.where(F.col("part_kind").isNotNull()).select("task_id", F.struct(*_PART_COLUMNS).alias("part"))
+        kinds = {"task": told.schema["task"].dataType, "part": part.schema["part"].dataType}
+        rows = told.withColumn("part", F.lit(None).cast(kinds["part"])).unionByName(part.withColumn("task", F.lit(None).cast(kinds["task"])))
+        # The task's own row first, then its documents in order: one shuffle, and nothing is gathered.
+        rows = rows.repartition("task_id").sortWithinPartitions("task_id", F.col("part").isNotNull(), "part.doc_index", "part.doc_id")
+    return rows.select("task_id", "task", "part").mapInArrow(work, RESULT.format(key=dict(tasks.dtypes)["task_id"]))
+
+
+_METADATA = pa.struct(
+    {
+        "action": pa.string(),
+        "session_id": pa.string(),
+        "document_count": pa.int32(),
+        "steps": pa.list_(pa.struct({"step": pa.string(), "result": pa.string(), "error": pa.string()})),
+        "multi_step": pa.bool_(),
+    }
+)
+_RESULT_TYPES = {
+    "success": pa.bool_(), "content": pa.string(), "model_used": pa.string(), "tokens_used": pa.int64(), "error": pa.string(), "metadata": _METADATA,
+}
 
 
-def run_tasks(tasks: DataFrame, factory: GenerateFactory) -> DataFrame:
-    """One model call per task; columns ``full_prompt``, ``parts`` and the task's own are used."""
-    return _run(tasks, factory, _single)
+def run_tasks(tasks: DataFrame, factory: GenerateFactory, parts: DataFrame | None = None) -> DataFrame:
+    """One model call per task with its documents, the rows of ``task_parts``; ``task_id`` must be unique in ``tasks``."""
+    return _run(tasks, parts, factory, _single)
 
 
-def run_multistep(tasks: DataFrame, factory: GenerateFactory) -> DataFrame:
+def run_multistep(tasks: DataFrame, factory: GenerateFactory, parts: DataFrame | None = None) -> DataFrame:
     """Three calls per task (analyze, extract, synthesize), each prompt holding the answer before it.
     The task succeeds if all steps do; its content is the last answer."""
-    return _run(tasks, factory, _stepwise)
+    return _run(tasks, parts, factory, _stepwise)
 
 
 def run_batch(
@@ -115,10 +209,11 @@ def run_batch(
     default: GenerateFactory,
     agents: dict[str, GenerateFactory] | None = None,
     agent_name: str | None = None,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Run all tasks with the named agent; an unknown or missing name means the default one. Partitions
     run side by side; ``task_id`` ties a result to its task."""
-    return run_tasks(tasks, (agents or {}).get(agent_name, default))
+    return run_tasks(tasks, (agents or {}).get(agent_name, default), parts)
 
 
 def result_json() -> Column:

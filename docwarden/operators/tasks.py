@@ -2,13 +2,13 @@
 
 Tables: ``tasks(task_id, action, prompt, output_format, additional_context, session_id,
 boundary_token)`` and ``task_documents(task_id, doc_index, doc_id)``. A task may hold any number of
-documents, so counts and sums are combined on the map side and documents are never gathered per task
-beyond a limit.
+documents, so counts and sums are combined on the map side and documents are never gathered per task:
+they stay rows, which a task's run streams through the model function.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mime import mime_family
@@ -19,29 +19,34 @@ from ..functions.templates import (
     TEMPLATES,
     render,
 )
-from ..rules import InputLimits
 from ..sources import dimensions as D
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def make_tasks(tasks: DataFrame, task_documents: DataFrame, salt: str) -> DataFrame:
+def make_tasks(tasks: DataFrame, task_documents: DataFrame | None, salt: str) -> DataFrame:
     """Fill missing session ids (16 hex digits) and boundary tokens (32), add ``document_count`` and
     ``task_error``; a task without documents is an error.
 
-    Tokens are derived from the task and a secret ``salt``, so a retried task keeps its own.
+    Tokens are derived from the task and a secret ``salt``, so a retried task keeps its own. Without
+    ``task_documents``, tasks already have ``n_documents`` and ``task_error``, as ``assemble_tasks`` adds them.
     """
-    counts = task_documents.groupBy("task_id").agg(F.count(F.lit(1)).alias("document_count"))
 
     def derived(tag: str, digits: int) -> Column:
         seed = F.concat_ws("|", F.col("task_id").cast("string"), F.lit(salt), F.lit(tag))
         return F.substring(F.sha2(seed, 256), 1, digits)
 
+    tokens = {
+        "session_id": F.coalesce("session_id", derived("session", 16)),
+        "boundary_token": F.coalesce("boundary_token", derived("boundary", 32)),
+    }
+    if task_documents is None:
+        return tasks.withColumns(tokens | {"document_count": F.col("n_documents")})
+    counts = task_documents.groupBy("task_id").agg(F.count(F.lit(1)).alias("document_count"))
     joined = tasks.join(counts, "task_id", "left")
     return joined.withColumns(
-        {
-            "session_id": F.coalesce("session_id", derived("session", 16)),
-            "boundary_token": F.coalesce("boundary_token", derived("boundary", 32)),
+        tokens
+        | {
             "document_count": F.coalesce("document_count", F.lit(0).cast("bigint")),
             "task_error": F.when(
                 F.col("document_count").isNull(), F.lit("At least one document is required")
@@ -179,6 +184,9 @@ def sanitize_parameters(df: DataFrame) -> DataFrame:
     A string column may hold any parameter; text that reads as a number counts as one. Fractional columns
     are no integers. A rejected number is passed on, as well as being an error.
     """
+    # Booleans count as the integers 0 and 1.
+    flags = {c: F.col(c).cast("int") for c in ("temperature", "max_output_tokens") if dict(df.dtypes)[c] == "boolean"}
+    df = df.withColumns(flags) if flags else df
     types = dict(df.dtypes)
     text_t = F.col("temperature").cast("string")
     temperature = text_t.try_cast("double")
@@ -220,12 +228,11 @@ def sanitize_parameters(df: DataFrame) -> DataFrame:
 
 
 def task_parts(task_documents: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row per document of a task, in the order of ``doc_index``: ``part_kind`` (bytes, url, text),
-    ``mime`` and either the text or the address. Bytes stay where they are and are named by their source.
-    Documents with neither content nor text nor address have a null ``part_kind`` and are to be skipped.
+    """One row per document of a task: ``part_kind`` (bytes, url, text), ``mime`` and the text, the address or the bytes.
 
-    A document shared by very many tasks makes one key of this join hot; the document side has one row per
-    key, so Spark's skew join splits the other side.
+    Documents with neither content nor text nor address, and links to documents that are not there, have a null
+    ``part_kind``; the latter also a null ``found``. A document shared by very many tasks makes one key of this join
+    hot; the document side has one row per key, so Spark's skew join splits the other side.
     """
     is_bytes, is_url = F.col("content").isNotNull(), F.col("uri").isNotNull()
     kind = (
@@ -238,50 +245,34 @@ def task_parts(task_documents: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("doc_type").alias("mime"),
         "text",
         F.when(is_bytes, F.col("source")).otherwise(F.col("uri")).alias("uri"),
+        "content",
         kind.alias("part_kind"),
+        F.lit(True).alias("found"),
     )
-    return task_documents.join(facts, "doc_id").select(
-        "task_id", "doc_index", "doc_id", "part_kind", "mime", "text", "uri"
+    return task_documents.join(facts, "doc_id", "left").select(
+        "task_id", "doc_index", "doc_id", "part_kind", "mime", "text", "uri", "content", "found"
     )
 
 
-def assemble_tasks(
-    tasks: DataFrame,
-    task_documents: DataFrame,
-    documents: DataFrame,
-    limits: InputLimits = InputLimits(),
-) -> DataFrame:
-    """Add ``parts``, the ordered documents of a task, ready for one model call.
+def assemble_tasks(tasks: DataFrame, task_documents: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add ``n_documents`` and ``task_error``: a task needs a document, and all of its documents must be there.
 
-    A request may hold ``max_documents_per_request`` documents; a task with more gets no parts and a
-    ``task_error``. So a list never grows beyond the limit: documents of a larger task are ranked away in
-    the map tasks, before any text is fetched.
+    Only keys are joined and only counts shuffled on; texts and bytes follow as rows of ``task_parts`` when tasks run. A task
+    may have any number of documents; whoever wants the limit of a request validates first.
     """
-    cap = limits.max_documents_per_request
-    counts = task_documents.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_documents"))
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy("doc_index"))
-    few = task_documents.withColumn("__place", place).where(F.col("__place") <= cap).drop("__place")
-    within = few.join(counts.where(F.col("n_documents") <= cap).select("task_id"), "task_id", "left_semi")
-    lists = (
-        task_parts(within, documents)
-        .where(F.col("part_kind").isNotNull())
+    known = documents.select("doc_id", F.lit(True).alias("__found"))
+    counts = (
+        task_documents.join(known, "doc_id", "left")
         .groupBy("task_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("doc_index", "doc_id", "part_kind", "mime", "text", "uri"))
-            ).alias("parts")
-        )
+        .agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("__found").isNull()).alias("__missing"))
     )
     n = F.coalesce("n_documents", F.lit(0).cast("bigint"))
     error = F.when(n == 0, F.lit("At least one document is required")).when(
-        n > cap,
-        F.concat(
-            F.lit("Number of documents ("), n.cast("string"), F.lit(f") exceeds limit ({cap})")
-        ),
+        F.col("__missing") > 0, F.concat(F.lit("Documents not found: "), F.col("__missing").cast("string"))
     )
     return (
         tasks.drop("task_error", "n_documents")
         .join(counts, "task_id", "left")
-        .join(lists, "task_id", "left")
         .withColumns({"task_error": error, "n_documents": n})
+        .drop("__missing")
     )

@@ -22,17 +22,19 @@ def _strings(df: DataFrame, name: str) -> Column:
 def guard_requests(df: DataFrame) -> DataFrame:
     """Add ``passed``, ``rate_limited``, ``message``, ``all_warnings`` and ``all_errors``.
 
-    Reads whichever component columns are there: ``input_is_valid/_errors/_warnings`` (sanitizer),
+    Reads whichever component columns are there: ``input_is_valid/_errors/_warnings`` (sanitizer), the same of ``file_``
+    (file validation),
     ``injection_is_safe/_risk_score/_warnings`` (detector), ``output_is_safe/_blocked_patterns/_warnings``
     (filter), ``allowed`` and ``deny_message`` (admission; null means not limited). All of them sit in
     the request's own row, so this adds no shuffle; decisions made elsewhere are joined on the request
-    key beforehand. Warnings and errors are listed in the order input, injection, output.
+    key beforehand. Warnings and errors are listed in the order input, file, injection, output.
     """
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(True)) if name in df.columns else F.lit(True)
 
     valid, safe = flag("input_is_valid"), flag("injection_is_safe")
+    valid = valid & flag("file_is_valid")
     clean, allowed = flag("output_is_safe"), flag("allowed")
     deny = F.col("deny_message") if "deny_message" in df.columns else F.lit(None).cast("string")
     score = (
@@ -59,11 +61,13 @@ def guard_requests(df: DataFrame) -> DataFrame:
             "risk_score": score,
             "all_warnings": F.concat(
                 _strings(df, "input_warnings"),
+                _strings(df, "file_warnings"),
                 _strings(df, "injection_warnings"),
                 _strings(df, "output_warnings"),
             ),
             "all_errors": F.concat(
                 _strings(df, "input_errors"),
+                _strings(df, "file_errors"),
                 injection_error,
                 _strings(df, "output_blocked_patterns"),
                 limit_error,

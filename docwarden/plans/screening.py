@@ -1,7 +1,7 @@
 """End-to-end paths: screen inputs, filter outputs, run tasks.
 
 Each is one chain of narrow operators over a row that carries its text once; a shuffle occurs only where
-tasks meet their documents.
+tasks meet their documents and where a user's requests are decided in order.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.admission import admit_requests
 from ..operators.detect import detect_injection
+from ..operators.documents import validate_documents
 from ..operators.outfilter import filter_output
 from ..operators.run import GenerateFactory, run_tasks
 from ..operators.sanitize import sanitize_text
-from ..operators.tasks import assemble_tasks, make_tasks, render_prompt
-from ..operators.verdict import guard_requests
+from ..operators.tasks import assemble_tasks, make_tasks, render_prompt, task_parts
+from ..operators.verdict import audit_records, guard_requests
 from ..rules import Settings
 
 
@@ -28,17 +30,42 @@ def screen_inputs(df: DataFrame, text_col: str, settings: Settings = Settings())
 
 
 def screen_requests(
-    df: DataFrame, text_col: str, output_col: str | None = None, settings: Settings = Settings()
+    df: DataFrame,
+    text_col: str,
+    output_col: str | None = None,
+    settings: Settings = Settings(),
+    traffic: DataFrame | None = None,
+    request_col: str = "request_id",
+    content_col: str | None = None,
+    **traffic_columns: str,
 ) -> DataFrame:
-    """Screen requests, and their answers if there are any, and give the combined verdict."""
+    """Screen requests, and their answers if there are any, and give the combined verdict.
+
+    ``traffic`` holds all requests and releases of the users (columns as ``admit_requests`` takes them, named otherwise by
+    ``traffic_columns``); its decisions under ``settings.rates`` are joined by ``request_col``. ``content_col`` names the bytes
+    of a file that comes with the request and is validated too.
+    """
     screened = screen_inputs(df, text_col, settings)
+    if content_col:
+        names = {f"{c}_col": c if c in df.columns else None for c in ("filename", "mime")}
+        names["mime_col"] = "mime_type" if "mime_type" in df.columns else None
+        screened = validate_documents(screened, content_col, **names, limits=settings.limits, prefix="file_")
     if output_col:
         screened = filter_output(
             screened, output_col, rules=settings.rules, enabled=settings.filter_enabled, prefix="output_"
         )
+    if traffic is not None:
+        decided = admit_requests(traffic, seq_col=request_col, limits=settings.rates, **traffic_columns)
+        decided = decided.select(request_col, "allowed", F.col("message").alias("deny_message"))
+        screened = screened.drop("allowed", "deny_message").join(decided, request_col, "left")
     return guard_requests(screened)
 
 
+def audit_screened(df: DataFrame, settings: Settings = Settings(), **columns: str) -> DataFrame:
+    """Audit records of screened requests, as ``settings.audit`` says."""
+    return audit_records(df, options=settings.audit, **columns)
+
+
 def process_tasks(
     tasks: DataFrame,
     task_documents: DataFrame,
@@ -49,9 +76,8 @@ def process_tasks(
 ) -> DataFrame:
     """Tasks with their documents through the model function and the output filter. One row per task:
     the result and ``output_*`` columns; ``content`` is only the filtered text."""
-    ready = make_tasks(tasks, task_documents, salt)
-    ready = assemble_tasks(ready, task_documents, documents, settings.limits)
-    results = run_tasks(render_prompt(ready, None), factory)
+    ready = make_tasks(assemble_tasks(tasks, task_documents, documents), None, salt)
+    results = run_tasks(render_prompt(ready, None), factory, task_parts(task_documents, documents))
     safe = filter_output(
         results, "content", rules=settings.rules, enabled=settings.filter_enabled, prefix="output_"
     )

@@ -7,10 +7,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from ..functions.regex import compile_check
+from ..functions.regex import jregex, valid_patterns
 from ..rules import REPAIRED, SEVERITY_WEIGHT, LeakRule, PiiRule, RegexRule, RuleSet
 
-MOST_RULES = 1000
 _log = logging.getLogger(__name__)
 
 
@@ -19,20 +18,20 @@ def rules_from_table(table: DataFrame, base: RuleSet = REPAIRED) -> RuleSet:
 
     Kinds: ``phrase``, ``term``, ``injection``, ``pii``, ``blocked_output``. A kind that has rows replaces
     the base set's rules of that kind, in the order of ``ord``; an invalid rule is left out with a warning.
-    Rules are few and become part of the plan, so more than a thousand rows are refused.
+    Rules are configuration: they are read whole, as they become part of the plan. All patterns are tried in one job.
     """
     spark = table.sparkSession
-    rows = table.orderBy("ord").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"More than {MOST_RULES} rules")
-
-    def usable(row, **flags: bool) -> bool:
-        try:
-            compile_check(spark, row.pattern, **flags)
-            return True
-        except ValueError as bad:
-            _log.warning("Rule left out: %s", bad)
-            return False
+    rows = table.orderBy("ord").collect()
+    flags = {"injection": {"ignore_case": True, "multiline": True}, "pii": {}, "blocked_output": {"ignore_case": True}}
+    tried = [r for r in rows if r.kind in flags and r.pattern is not None]
+    good = valid_patterns(spark, [jregex(r.pattern, **flags[r.kind]) for r in tried])
+    invalid = {id(r) for r, ok in zip(tried, good, strict=True) if not ok}
+    for r in tried:
+        if id(r) in invalid:
+            _log.warning("Rule left out: %s", r.pattern)
+
+    def usable(row) -> bool:
+        return row.pattern is not None and id(row) not in invalid
 
     def of(kind: str) -> list:
         return [r for r in rows if r.kind == kind]
@@ -41,7 +40,7 @@ def rules_from_table(table: DataFrame, base: RuleSet = REPAIRED) -> RuleSet:
         RegexRule(r.pattern, r.severity or "medium", r.description or "Unknown pattern")
         for r in of("injection")
         if (r.severity or "medium") in SEVERITY_WEIGHT
-        and usable(r, ignore_case=True, multiline=True)
+        and usable(r)
     ]
     pii = [
         PiiRule(r.name, r.pattern, r.action or "flag", r.replacement)
@@ -51,7 +50,7 @@ def rules_from_table(table: DataFrame, base: RuleSet = REPAIRED) -> RuleSet:
     blocked = [
         LeakRule(r.pattern, r.description or "Blocked pattern")
         for r in of("blocked_output")
-        if usable(r, ignore_case=True)
+        if usable(r)
     ]
     given = {
         "blocked_phrases": (of("phrase"), tuple(r.pattern for r in of("phrase"))),

@@ -13,6 +13,8 @@ from ..functions.admission import ADMITTED, RELEASED, UserLog, messages
 from ..operators.admission import micros
 from ..rules import RateLimits
 
+# Kind of a row that closes a stream: it only moves the watermark.
+CLOSING = "closing"
 OUTPUT = "user string, seq long, ts timestamp, allowed boolean, message string"
 
 
@@ -31,7 +33,7 @@ class AdmissionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for row in batch[["ts_us", "turn", "seq", "tokens"]].itertuples(index=False):
+            for row in batch.loc[batch["turn"] < 2, ["ts_us", "turn", "seq", "tokens"]].itertuples(index=False):
                 self.waiting.appendValue(tuple(int(v) for v in row))
         return self._decide(key, timerValues)
 
@@ -78,6 +80,17 @@ class AdmissionProcessor(StatefulProcessor):
         pass
 
 
+def closing_mark(times: DataFrame, like: DataFrame, ts_col: str = "ts", kind_col: str = "kind") -> DataFrame:
+    """Rows of kind ``closing`` at the given times, in the columns of ``like``.
+
+    United with the stream, one that lies further behind the last row than the delay lets every row be decided when a
+    run over what is available ends. It has no decision itself.
+    """
+    kinds = {f.name: f.dataType for f in like.schema}
+    given = {ts_col: F.col("ts"), kind_col: F.lit(CLOSING)}
+    return times.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+
+
 def admit_stream(
     stream: DataFrame,
     user_col: str = "user_id",
@@ -89,7 +102,7 @@ def admit_stream(
     limits: RateLimits = RateLimits(),
 ) -> DataFrame:
     """Decisions for a stream: ``user``, ``seq``, ``ts``, ``allowed``, ``message``, as the batch operator
-    gives them. A decision comes out once the watermark has passed its row; rows later than ``delay`` are
+    gives them (rows without a user share one log here). A decision comes out once the watermark has passed its row; rows later than ``delay`` are
     dropped and counted by Spark. ``seq_col`` must be integral. The session needs the RocksDB state store.
     """
     kind = F.col(kind_col) if kind_col else F.lit("request")
@@ -97,7 +110,7 @@ def admit_stream(
         F.coalesce(F.col(user_col).cast("string"), F.lit("")).alias("user"),
         F.col(ts_col).cast("timestamp").alias("at"),
         micros(F.col(ts_col)).alias("ts_us"),
-        F.when(kind == "release", 0).otherwise(1).alias("turn"),
+        F.when(kind == "release", 0).when(kind == CLOSING, 2).otherwise(1).alias("turn"),
         F.col(seq_col).cast("bigint").alias("seq"),
         F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)).alias("tokens"),
     ).withWatermark("at", delay)
