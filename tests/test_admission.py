@@ -39,28 +39,43 @@ def traffic(seed, n=3000, span=1_500, hot=0.5, releases=0.4):
 
 
 @pytest.mark.parametrize(
-    "seed,limits,segment_rows",
+    "seed,limits",
     [
-        (1, RateLimits(requests_per_minute=12, tokens_per_minute=900, concurrent_requests=6), 100),
-        (2, RateLimits(requests_per_minute=5, tokens_per_minute=10_000, concurrent_requests=10**6), 150),
-        (3, RateLimits(requests_per_minute=9, tokens_per_minute=300, concurrent_requests=10**6, requests_per_hour=40), 200),
-        (4, RateLimits(), 10**6),
+        (1, RateLimits(requests_per_minute=12, tokens_per_minute=900, concurrent_requests=6)),
+        (2, RateLimits(requests_per_minute=5, tokens_per_minute=10_000, concurrent_requests=10**6)),
+        (3, RateLimits(requests_per_minute=9, tokens_per_minute=300, concurrent_requests=10**6, requests_per_hour=40)),
+        (4, RateLimits()),
     ],
 )
-def test_batch_equals_sequential_model(spark, seed, limits, segment_rows):
+def test_batch_equals_sequential_model(spark, seed, limits):
     rows = traffic(seed)
-    assert decisions(table(spark, rows).repartition(5), limits=limits, segment_rows=segment_rows) == expected(rows, limits)
+    assert decisions(table(spark, rows).repartition(5), limits=limits) == expected(rows, limits)
 
 
-def test_saturated_hot_user_crosses_many_segments(spark):
-    """A user always at the limit: states of neighbouring segments never meet by chance."""
+def test_saturated_hot_user(spark):
+    """A user always at the limit, decided in one stream over many batches."""
     limits = RateLimits(requests_per_minute=7, tokens_per_minute=10**9, concurrent_requests=10**9)
     rows = [("hot", i * 900_001, "request", i, 1) for i in range(2400)]
-    df = table(spark, rows).repartition(4)
-    assert decisions(df, limits=limits, segment_rows=100) == expected(rows, limits)
-    keyed = df.select(F.col("user_id").alias("user"), F.col("us").alias("ts_us"), F.lit(1).alias("turn"), F.col("request_id").alias("seq"), "tokens")
-    openings, rounds = A._opening_states(A._Segments(keyed, 24, limits))
-    assert len(openings) >= 15 and rounds < len(openings)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert decisions(table(spark, rows).repartition(4), limits=limits) == expected(rows, limits)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_without_a_user_and_keys_in_their_own_type(spark):
+    rows = [(7, 0, "request", 1, 0), (None, 0, "request", 2, 0), (None, 1, "release", 3, 0), (8, 0, None, 4, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("user_id string", "user_id bigint")).withColumn("ts", F.timestamp_micros("us"))
+    out = A.admit_requests(df, kind_col="kind")
+    assert dict(out.dtypes)["user_id"] == "bigint"
+    assert {r.request_id: (r.user_id, r.allowed) for r in out.collect()} == {1: (7, True), 2: (None, None), 3: (None, None), 4: (8, True)}
+    assert A.admit_requests(df.limit(0), kind_col="kind").count() == 0
+
+
+def test_one_shuffle(spark):
+    df = table(spark, [("a", 0, "request", 1, 0)])
+    plan = A.admit_requests(df, kind_col="kind")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_limits_at_their_edges(spark):

@@ -22,3 +22,15 @@ def test_flagship(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_round_robin_exchange(spark):
+    for name, query in entry.queries().items():
+        if name.startswith("op") or name in ("pipeline", "admit_stream"):
+            continue
+        assert "RoundRobinPartitioning" not in query(spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_texts_are_lowered_twice_at_most(spark):
+    plan = entry.queries()["filter_output"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") <= 2

@@ -104,27 +104,27 @@ def test_model_tables(spark):
     code = {r.model_name: r.cost_tier for r in MO.with_capabilities(names, "model_name").collect()}
     conf = {r.model_name: r.cost_tier for r in MO.with_capabilities(names, "model_name", "config").collect()}
     assert (code["gemini-ultra"], conf["gemini-ultra"], code["other"]) == ("medium", "high", "medium")
-    hot = MO.with_temperature(MO.with_model(MO.config_from_preset(pre), F.lit("m")), F.lit(1.5)).first()
-    assert (hot.model, hot.temperature) == ("m", 1.5)
 
 
 def sample(spark):
     docs = spark.createDataFrame(
         [(1, "text/plain", "one", None, None, "text"), (2, "text/html", None, "http://x", None, "http://x"),
          (3, "image/png", None, None, bytearray(b"\x89PNG"), "/f.png"), (4, "text/plain", None, None, None, None)], DOCS)
-    links = spark.createDataFrame([(10, 2, 1), (10, 1, 2), (10, 3, 3), (10, 4, 4)] + [(11, i, 1) for i in range(21)] + [(13, 0, 1)], LINK)
-    tasks = tasks_df(spark, [(10, "ocr"), (11, "ocr"), (12, "ocr"), (13, "analyze", None, None, "fail")])
+    links = spark.createDataFrame([(10, 2, 1), (10, 1, 2), (10, 3, 3), (10, 4, 4)] + [(11, i, 1) for i in range(21)] + [(13, 0, 1), (14, 0, 1), (14, 1, 99)], LINK)
+    tasks = tasks_df(spark, [(10, "ocr"), (11, "ocr"), (12, "ocr"), (13, "analyze", None, None, "fail"), (14, "ocr")])
     return tasks, links, docs
 
 
-def test_parts_and_limits(spark):
+def test_parts_and_missing_documents(spark):
     tasks, links, docs = sample(spark)
     parts = TA.task_parts(links, docs).where("task_id = 10").orderBy("doc_index").collect()
     assert [(p.part_kind, p.uri, p.text) for p in parts] == [("url", "http://x", None), ("text", None, "one"), ("bytes", "/f.png", None), (None, None, None)]
+    assert bytes(parts[2].content) == b"\x89PNG" and parts[2].mime == "image/png"
     out = {r.task_id: r for r in TA.assemble_tasks(tasks, links, docs).collect()}
-    assert [p.doc_id for p in out[10].parts] == [2, 1, 3] and out[10].task_error is None
-    assert out[11].parts is None and out[11].task_error == "Number of documents (21) exceeds limit (20)"
+    assert (out[10].n_documents, out[10].task_error) == (4, None)
+    assert (out[11].n_documents, out[11].task_error) == (21, None)
     assert out[12].task_error == "At least one document is required"
+    assert out[14].task_error == "Documents not found: 1"
 
 
 def echo():
@@ -133,26 +133,31 @@ def echo():
             raise RuntimeError("boom")
         if "fail" in task["prompt"] and "Step:" not in task["prompt"]:
             raise RuntimeError("boom")
-        return f"{len(task['parts'])} parts, ssn 123-45-6789", 7
+        once, again = [p["doc_id"] for p in task["parts"]], list(task["parts"])
+        assert once == [p["doc_id"] for p in again]
+        assert all(p["part_kind"] != "bytes" or p["content"] == b"\x89PNG" for p in again)
+        return f"{len(once)} parts, ssn 123-45-6789", 7
 
     return generate
 
 
 def test_runs(spark):
     tasks, links, docs = sample(spark)
-    ready = TA.render_prompt(TA.assemble_tasks(TA.make_tasks(tasks, links, "s"), links, docs), None).withColumn("model", F.lit("m"))
-    out = {r.task_id: r for r in run_tasks(ready, echo).collect()}
+    ready = TA.make_tasks(TA.assemble_tasks(tasks, links, docs), None, "s")
+    ready, parts = TA.render_prompt(ready, None).withColumn("model", F.lit("m")), TA.task_parts(links, docs)
+    out = {r.task_id: r for r in run_tasks(ready, echo, parts).collect()}
     assert out[10].success and out[10].content.startswith("3 parts") and out[10].tokens_used == 7
-    assert out[10].metadata.document_count == 3 and len(out[10].metadata.session_id) == 16
-    assert not out[11].success and "exceeds limit" in out[11].error
+    assert out[10].metadata.document_count == 4 and len(out[10].metadata.session_id) == 16
+    assert out[11].success and out[11].content.startswith("21 parts")
+    assert not out[14].success and out[14].error == "Documents not found: 1"
     assert (out[13].success, out[13].content, out[13].error, out[13].metadata.session_id) == (False, None, "boom", None)
-    multi = {r.task_id: r for r in run_multistep(ready, echo).collect()}
+    multi = {r.task_id: r for r in run_multistep(ready, echo, parts).collect()}
     assert multi[10].success and [s.step for s in multi[10].metadata.steps] == ["analyze", "extract", "synthesize"]
     assert not multi[13].success and multi[13].metadata.steps[-1].error == "boom" and multi[13].content is None
-    named = run_batch(ready, echo, {"quiet": lambda: lambda t: "q"}, "quiet").where("task_id = 10").first()
+    named = run_batch(ready, echo, {"quiet": lambda: lambda t: "q"}, "quiet", parts).where("task_id = 10").first()
     assert named.content == "q"
-    assert run_batch(ready, echo, {}, "nobody").where("task_id = 10").first().content.startswith("3 parts")
-    js = json.loads(run_tasks(ready, echo).where("task_id = 13").select(result_json()).first()[0])
+    assert run_batch(ready, echo, {}, "nobody", parts).where("task_id = 10").first().content.startswith("3 parts")
+    js = json.loads(run_tasks(ready, echo, parts).where("task_id = 13").select(result_json()).first()[0])
     assert js["content"] is None and js["error"] == "boom" and js["metadata"]["action"] == "analyze"
     flow = {r.task_id: r for r in process_tasks(tasks.withColumn("model", F.lit("m")), links, docs, echo, "s").collect()}
     assert flow[10].content == "3 parts, ssn [SSN REDACTED]" and flow[10].output_was_modified

@@ -1,10 +1,11 @@
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from docwarden.operators.verdict import audit_records, audit_summary, guard_requests, mask_user
-from docwarden.plans.screening import screen_requests
-from docwarden.rules import AuditOptions
+from docwarden.plans.screening import audit_screened, screen_requests
+from docwarden.rules import AuditOptions, RateLimits, Settings
 from docwarden.sources.audit import audit_retention, stream_audit, write_audit
 
 
@@ -28,6 +29,20 @@ def test_verdicts(spark):
     assert out[5].all_errors == ["Input must be a string"]
 
 
+def test_admission_and_files_in_one_guard(spark):
+    df = requests(spark).drop("allowed", "deny_message").withColumn("content", F.expr("CASE WHEN request_id = 1 THEN binary('%PDF-1') WHEN request_id = 2 THEN binary('MZ') END"))
+    traffic = spark.createDataFrame(
+        [(1, "alice", 0, "request"), (2, "alice", 1, "request"), (4, "dave", 0, "request"), (9, "zoe", 0, "request")], "request_id long, user_id string, s int, kind string"
+    ).selectExpr("*", "timestamp_seconds(s) AS ts", "1 AS tokens")
+    settings = Settings(rates=RateLimits(requests_per_minute=1))
+    out = {r.request_id: r for r in screen_requests(df.where("request_id < 5"), "text", "answer", settings, traffic, content_col="content", kind_col="kind").collect()}
+    assert sorted(out) == [1, 2, 3, 4]
+    assert out[1].passed and not out[1].rate_limited
+    assert out[2].rate_limited and out[2].message == "Rate limit (1/min) exceeded" and not out[3].rate_limited
+    records = audit_screened(screen_requests(df, "text", None, settings, traffic, kind_col="kind"), replace(settings, audit=AuditOptions(enabled=False)))
+    assert records.count() == 0
+
+
 def test_audit(spark, tmp_path):
     guarded = screen_requests(requests(spark), "text", "answer").withColumn("passed", F.when(F.col("request_id") != 5, F.col("passed")))
     audit = audit_records(guarded)
