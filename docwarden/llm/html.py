@@ -358,7 +358,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
         rows = [h for b in batches for h in b["html"].to_pylist()]
         yield pa.record_batch({"model": [fitted(rows).to_bytes()]})
 
-    return chosen.repartition(1).sortWithinPartitions("h", "html").mapInArrow(train, "model binary").first()["model"]
+    made = chosen.repartition(1).sortWithinPartitions("h", "html").mapInArrow(train, "model binary").first()
+    return made["model"] if made else fitted([]).to_bytes()
 
 
 def main_texts(pages: list[str | None], model: Labeller, together: int = 32) -> list[str]:

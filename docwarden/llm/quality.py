@@ -97,7 +97,7 @@ class FactorisationMachine:
         size = (1 << WORD_BITS) + len(STRUCTURE)
         model = FactorisationMachine(0.0, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)))
         if not len(rows):
-            return model
+            return FactorisationMachine(0.0, model.w, np.zeros_like(model.v))
         share = float(np.clip(labels.mean(), 0.01, 0.99))
         model.w0 = float(np.log(share / (1 - share)))
         seen_w, seen_v, seen_0 = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.record_batch({"model": [FactorisationMachine.fitted(rows, np.array(labels, float)).to_bytes()]})
 
     prepared = sample.mapInArrow(prepare, "id long, label double, i array<long>, x array<double>")
-    return prepared.repartition(1).sortWithinPartitions("id", "label", "i").mapInArrow(train, "model binary").first()["model"]
+    made = prepared.repartition(1).sortWithinPartitions("id", "label", "i").mapInArrow(train, "model binary").first()
+    return made["model"] if made else FactorisationMachine.fitted([], np.zeros(0)).to_bytes()
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text", length_col: str = "n_chars", to: str = "score") -> DataFrame:
