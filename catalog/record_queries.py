@@ -356,6 +356,15 @@ def audit_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("audit_written", f"{_GUARD_CTES} SELECT doc_id AS request_id, passed, n_warnings AS warnings_count, strftime(ts, '%Y-%m-%d') AS day FROM x")
+def audit_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit records written by day and read back."""
+    path = work_folder(spark, "audit")
+    AU.write_audit(_audited(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.select("request_id", "passed", "warnings_count", F.col("audit_date").cast("string").alias("day"))
+
+
 @query(
     "audit_summary",
     f"{_GUARD_CTES} SELECT strftime(ts, '%Y-%m-%d') AS audit_date, action, CASE WHEN passed THEN 'REQUEST' ELSE 'BLOCKED' END AS level,"

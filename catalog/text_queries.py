@@ -26,9 +26,9 @@ from docwarden.rules import (
     WARNING_TERMS,
     threat_type_of,
 )
+from docwarden.sources.rules import rules_from_table
 
-
-from .views import PLANTED_CTE, planted, quoted, table
+from .views import FRONT, PLANTED, PLANTED_CTE, documents, planted, quoted, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -245,21 +245,61 @@ def filter_custom_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pii_table_sql() -> str:
+    def start(i: int) -> str:
+        # The k-th match from the left, as the lists hold the last match first.
+        pieces, k = f"string_split_regex(t{i}, {re2(PII_RULES[i].pattern)})", f"(len(m{i}) - generate_subscripts(m{i}, 1) + 1)"
+        return (
+            f"CAST(list_sum(list_transform({pieces}[1:{k}], lambda s: length(s)))"
+            f" + coalesce(list_sum(list_transform(list_reverse(m{i})[1:{k} - 1], lambda s: length(s))), 0) AS BIGINT)"
+        )
+
     parts = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS rule, {quoted(r.name)} AS pii_type, {quoted(r.action)} AS action,"
-        f" unnest(m{i}) AS value, generate_subscripts(m{i}, 1) AS pos FROM p5"
+        f" unnest(m{i}) AS value, generate_subscripts(m{i}, 1) AS pos, {start(i)} AS start FROM p5"
         for i, r in enumerate(PII_RULES)
     )
     return (
         f"{CTE}, {_pii_stages('t')} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) AS match_no,"
-        f" pii_type, action, value FROM ({parts})"
+        f" pii_type, action, value, start, start + length(value) AS stop FROM ({parts})"
     )
 
 
 @query("pii_table", _pii_table_sql())
 def pii_table(spark: SparkSession, sf: str) -> DataFrame:
     out = O.filter_output(planted(spark, sf), "t", check_leaks=False)
-    return O.pii_table(out, ["doc_id"]).select("doc_id", "match_no", "pii_type", "action", "value")
+    rows = O.pii_table(out, ["doc_id"])
+    return rows.select("doc_id", "match_no", "pii_type", "action", "value", "start", F.col("end").alias("stop"))
+
+
+@query(
+    "rules_from_table",
+    f"{CTE}, d AS (SELECT doc_id, t, regexp_extract_all(t, ' de ') AS a, replace(t, ' de ', ' [de] ') AS t1 FROM planted),"
+    " e AS (SELECT *, regexp_extract_all(t1, ' en ') AS b, replace(t1, ' en ', ' [en] ') AS t2 FROM d),"
+    " f AS (SELECT *, regexp_extract_all(t2, ' es ') AS c, replace(t2, ' es ', ' [es] ') AS t3 FROM e),"
+    " g AS (SELECT *, regexp_extract_all(t3, ' fr ') AS f, replace(t3, ' fr ', ' [fr] ') AS t4 FROM f)"
+    " SELECT doc_id, len(a) + len(b) + len(c) + len(f) AS n_found, md5(t4) AS redacted,"
+    " contains(lower(t), 'instruction')::INT AS n_phrases FROM g",
+)
+def rules_from_table_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules made from the languages of the documents: each language's name is redacted where it stands as a word."""
+    names = table(spark, sf, "documents").select("lang").distinct()
+    more = names.agg(F.max("lang").alias("lang")).selectExpr(
+        "'phrase' AS kind", "'instruction' AS pattern", "NULL AS severity", "NULL AS description", "NULL AS name", "NULL AS action",
+        "NULL AS replacement", "'0' AS ord",
+    )
+    pii = names.selectExpr(
+        "'pii' AS kind", "' ' || lang || ' ' AS pattern", "NULL AS severity", "NULL AS description", "lang AS name", "'redact' AS action",
+        "' [' || lang || '] ' AS replacement", "lang AS ord",
+    )
+    broken = names.selectExpr(
+        "'pii' AS kind", "'(' || lang AS pattern", "NULL AS severity", "NULL AS description", "lang AS name", "'flag' AS action", "NULL AS replacement",
+        "'z' AS ord",
+    )
+    rules = rules_from_table(pii.union(more).union(broken), REPAIRED)
+    out = O.filter_output(planted(spark, sf), "t", check_leaks=False, rules=rules)
+    return out.select(
+        "doc_id", F.size("pii").alias("n_found"), F.md5("filtered_output").alias("redacted"), F.size(D.phrase_threats(F.lower("t"), rules)).alias("n_phrases")
+    )
 
 
 # ---------------------------------------------------------------- detector
@@ -458,6 +498,28 @@ for _level, _block, _warn in (("low", 0.8, 0.6), ("medium", 0.6, 0.4), ("high",
     _one_sensitivity(_level, _block, _warn)
 
 
+# An unknown name counts as medium.
+def _unknown_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdict_columns(D.detect_injection(planted(spark, sf), "t", sensitivity="paranoid"))
+
+
+query("detect_verdict_unknown", _verdict_sql(0.6, 0.4))(_unknown_sensitivity)
+
+
+@query(
+    "detect_extra_threats",
+    f"{_detect_ctes()} SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 1 - (1 - score) * exp(-0.35::DOUBLE) ELSE score END, 6) AS risk_score,"
+    " n_threats + (doc_id % 3 = 0)::INT AS n_threats, CASE WHEN doc_id % 3 = 0 THEN 'model_judgement' END AS last FROM s",
+)
+def detect_extra_threats(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents bring a threat that another model found, of weight 0.7 and confidence a half."""
+    found = "named_struct('threat_type', 'model_judgement', 'severity', 'high', 'pattern_matched', 'm', 'description', 'found elsewhere', 'start', 0, 'end', 1, 'confidence', 0.5D)"
+    more = planted(spark, sf).withColumn("more", F.expr(f"CASE WHEN doc_id % 3 = 0 THEN array({found}) END"))
+    out = D.detect_injection(more, "t", extra_threats="more")
+    last = F.when(F.col("more").isNotNull(), F.element_at("threats", -1)["threat_type"])
+    return out.select("doc_id", F.round("risk_score", 6).alias("risk_score"), F.size("threats").alias("n_threats"), last.alias("last"))
+
+
 @query("detect_risk_score", f"{_detect_ctes()} SELECT doc_id, round(score, 6) AS risk_score FROM s")
 def detect_risk_score(spark: SparkSession, sf: str) -> DataFrame:
     out = D.detect_injection(planted(spark, sf), "t")
@@ -549,9 +611,9 @@ _WS = (
 _STRIP = "trim({t}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
-def _sanitize_sql(limit: int) -> str:
+def _sanitize_sql(limit: int, text: str = PLANTED) -> str:
     return (
-        f"{CTE}, a AS (SELECT doc_id, t, substr(t, 1, {limit}) AS cut FROM planted), b AS (SELECT *, {_NFKC.format(t='cut')} AS nf FROM a),"
+        f"WITH planted AS (SELECT doc_id, {text} AS t FROM documents), a AS (SELECT doc_id, t, substr(t, 1, {limit}) AS cut FROM planted), b AS (SELECT *, {_NFKC.format(t='cut')} AS nf FROM a),"
         f" c AS (SELECT *, {_CTRL.format(t='nf')} AS cl FROM b), d AS (SELECT *, {_ESC.format(t='cl')} AS es FROM c),"
         f" e AS (SELECT *, {_WS.format(t='es')} AS ws FROM d), r AS (SELECT doc_id, t, {_STRIP.format(t='ws')} AS v,"
         f" list_filter([CASE WHEN length(t) > {limit} THEN 'Truncated from ' || length(t) || ' to {limit} characters' END,"
@@ -578,20 +640,22 @@ def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("sanitize_modifications", f"{_sanitize_sql(500)} SELECT doc_id, len(mods) AS n, array_to_string(mods, '|') AS modifications FROM r")
+@query("sanitize_modifications", f"{_sanitize_sql(500, FRONT)} SELECT doc_id, len(mods) AS n, array_to_string(mods, '|') AS modifications FROM r")
 def sanitize_modifications(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.sanitize_text(planted(spark, sf), "t", max_length=500)
+    front = documents(spark, sf).selectExpr("doc_id", f"{FRONT} AS t")
+    out = S.sanitize_text(front, "t", max_length=500)
     return out.select("doc_id", F.size("modifications").alias("n"), F.array_join("modifications", "|").alias("modifications"))
 
 
 @query(
     "sanitize_type_check",
-    "SELECT doc_id, lang = 'en' AS is_valid, CASE WHEN lang = 'en' THEN '' ELSE 'Input must be a string' END AS errors FROM documents",
+    "SELECT doc_id, doc_id % 7 <> 3 AS is_valid, CASE WHEN doc_id % 7 = 3 THEN 'Input must be a string' ELSE '' END AS errors,"
+    " doc_id % 7 = 3 AS is_null FROM documents",
 )
 def sanitize_type_check(spark: SparkSession, sf: str) -> DataFrame:
-    some = table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN lang = 'en' THEN text END AS t")
+    some = documents(spark, sf).selectExpr("doc_id", "CASE WHEN doc_id % 7 <> 3 THEN text END AS t")
     out = S.sanitize_text(some, "t")
-    return out.select("doc_id", "is_valid", F.array_join("errors", "|").alias("errors"))
+    return out.select("doc_id", "is_valid", F.array_join("errors", "|").alias("errors"), F.col("sanitized_value").isNull().alias("is_null"))
 
 
 def _one_step(name: str, make, sql: str) -> None:

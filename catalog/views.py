@@ -40,6 +40,8 @@ PLANTED = (
     + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PLANTS))
     + " ELSE '' END)"
 )
+# The same plants in front of the text, for steps that cut its end off.
+FRONT = "(CASE doc_id % 31 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PLANTS)) + " ELSE '' END || text)"
 # Bytes with a type mark in front, and what a caller says about them.
 _MARKS = (
     "'%PDF-1.7 '", "'GIF87a'", "'GIF89a'", "'RIFF'", "'ID3'", "'{\"a\": 1} '", "'{\"a\": '",
