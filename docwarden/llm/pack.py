@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from docwarden.llm.common import blocks, written
 from docwarden.llm.tokens import encoder
 
-BLOCK_PIECES = 32_768
-BLOCK_BYTES = 64 << 20
+BLOCK_PIECES = 16_384
+BLOCK_BYTES = 32 << 20
 #: Bins less full than this are packed again, together with those of other blocks.
 UNDERFULL = 0.98
+#: Bins of a block whose exchanges are looked for, one after the other; it bounds the effort, not what is packed.
+LOOKS = 300
 PIECES = "id long, piece int, start long, length int, ids binary"
 PACKED = PIECES + ", sequence_id long, offset int, fill int"
 
@@ -68,8 +70,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, bound: int) -> list[list[int]]:
     """Exchanges between underfull bins, each raising the sum of squared fills, until bins are emptied or none is left.
 
-    Of a bin that could be spared, an item is moved to another bin, an item exchanged for a smaller one, or two for one.
-    What can be spared are the emptiest bins beyond ``bound``; the search ends when none of these has an exchange left.
+    Of an underfull bin, emptiest first, an item is moved to another bin, an item exchanged for a smaller one, or two for one.
+    The search ends at ``bound`` bins, when no such bin, nor any that could be spared, has an exchange left, or after ``LOOKS``.
     """
     fill = np.array([int(lengths[b].sum()) for b in bins])
     stuck: set[int] = set()
@@ -81,12 +83,15 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, boun
     item = np.array([x for b in open_bins for x in bins[b]] + [-1] * len(open_bins))
     size = np.where(item >= 0, lengths[item], 0)
     n_bins = len(bins)
-    while n_bins > bound:
+    for _ in range(LOOKS):
+        if n_bins <= bound:
+            break
         left = np.array([b for b in open_bins if fill[b] > 0])
-        spare = [int(b) for b in left[np.argsort(fill[left], kind="stable")[: n_bins - bound]] if int(b) not in stuck]
-        if not spare:
+        left = left[np.argsort(fill[left], kind="stable")]
+        sources = left[: max(n_bins - bound, int((fill[left] < UNDERFULL * capacity).sum()))].tolist()
+        a = next((b for b in sources if b not in stuck), None)
+        if a is None:
             break
-        a = spare[0]
         mine = np.flatnonzero((where == a) & (item >= 0))
         room = capacity - fill[where]
         others = (where != a) & (fill[where] > 0)
@@ -109,7 +114,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, boun
         fill[a] -= moved
         fill[b] += moved
         n_bins -= int(fill[a] == 0)
-        stuck.discard(b)
+        stuck.clear()
     result = {i: b for i, b in enumerate(bins) if fill[i] and i not in set(open_bins)}
     for b, x in zip(where.tolist(), item.tolist(), strict=True):
         if x >= 0:
@@ -126,7 +131,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins if len(bins) == bound else local_search(bins, lengths, capacity, bound)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(path: str, capacity: int, end_id: int):
     """Each document's ids and an end id, cut into pieces of ``capacity`` ids from its end; the first may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +153,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
                     yield _batch(rows, PIECES_ARROW)
                     rows, held = [], 0
             yield _batch(rows, PIECES_ARROW)
+        encoder(path).rest()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return cut
 
 
 PIECES_ARROW = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
@@ -212,8 +218,9 @@ def pack_documents(
     Null and empty texts are the end id alone. Null and repeated ids are carried along, each row packed for itself;
     an empty table gives no rows; other columns are ignored.
     """
-    first = pieces(docs, path, capacity, end_id, id_col, text_col).mapInArrow(_pack_blocks(capacity, False), PACKED)
-    first = written(first, "packed")
+    cut, packed = pieces(path, capacity, end_id), _pack_blocks(capacity, False)
+    first = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    first = written(first.mapInArrow(lambda batches: packed(cut(batches)), PACKED), "packed")
     full = F.col("fill") >= int(UNDERFULL * capacity)
     left = first.where(~full)
     n = blocks(left.count(), BLOCK_PIECES)

@@ -10,10 +10,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
-#: Words remembered per Python worker; a full memory is emptied, which costs time and changes no result.
+#: Words remembered per Python worker; a full memory keeps those of the texts at hand, which changes no result.
 REMEMBERED = 500_000
+REMEMBERED_PIECES = 400_000
 #: Characters of text that are encoded together.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 # Fixed value: what byte-level tokenizers with the usual pattern cut a text into before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,11 +52,12 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Put new words together from their pieces; pieces not met before are encoded as lines of one text."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        # A piece may be cut further by the library itself, so a word of letters need not be looked into.
         findall = self.pattern.findall
-        cut = [findall(w if w[0] == "\n" else " " + w) for w in words]
+        cut = [(" " + w,) if w.isalpha() else findall(w if w[0] == "\n" else " " + w) for w in words]
         known = self.pieces
+        if len(known) > REMEMBERED_PIECES:
+            known = self.pieces = {p: known[p] for pieces in cut for p in pieces if p in known}
         new = list({p for pieces in cut for p in pieces if p not in known and p != "\n"})
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -71,14 +73,17 @@ class Encoder:
         words = set().union(*texts)
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(words)
+            self.words = {w: self.words[w] for w in words.difference(new)}
         if new:
             self._learn(new)
         get = self.words.__getitem__
         # Each text was given a line end before it.
         return [b"".join(map(get, parts))[4:] for parts in texts]
 
+    def rest(self) -> None:
+        """Forget all words, where other work follows in the same Python workers: idle ones keep their memory."""
+        self.words, self.pieces = {}, {}
+
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn. Null is empty."""
         block: list[str | list[str]] = []
@@ -91,10 +96,13 @@ class Encoder:
 
         for text in texts:
             text = text or ""
-            # Other white space than single spaces and line ends between words makes these differ.
-            if text and self.by_word and text.replace("\n", " ").split(" ") == text.split():
-                block.append(text.replace("\n", " \n").split(" "))
-                block[-1][0] = "\n" + block[-1][0]
+            words = text.split() if self.by_word else []
+            parts = text.replace("\n", " \n").split(" ") if words else []
+            # As many parts as words, and one character of white space less: nothing but single spaces and line ends
+            # between words.
+            if words and len(parts) == len(words) == len(text) - sum(map(len, words)) + 1:
+                parts[0] = "\n" + parts[0]
+                block.append(parts)
             else:
                 block.append(text)
             size += len(text)
