@@ -193,7 +193,7 @@ def write_tokens(
 ) -> DataFrame:
     """Write shard files in ascending order of id (nulls first); the manifest: ``shard``, ``file``, ``n_docs``, ``n_tokens``, ``start``.
 
-    One shuffle, by range of id; rows that share an id are ordered by text. Each task streams its documents to its file.
+    One shuffle, by range of id; rows that share an id are in order of a hash of their text. Each task streams its documents to its file.
     ``folder`` is any place that tasks reach by URI; a cluster needs a shared one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -214,7 +214,9 @@ def write_tokens(
                 "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([total], pa.int64()),
             })
 
-    ordered = docs.repartitionByRange(n, F.col("id").asc_nulls_first(), "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # A hash stands for the text in the range, whose bounds the driver samples.
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     manifest = written(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long"), "manifest")
     # One row per shard: small enough for a running sum in one place.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -252,7 +254,7 @@ def stored_documents(docs: DataFrame, path: str, end_id: int = 2, id_col: str =
     """Write ``docs`` as token files in the shared folder and read them back: ``id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
     ``start`` counts the ids of all documents before. Null and empty texts are the end id alone; null ids come first;
-    rows that repeat an id follow each other by text; an empty table gives no rows; other columns are ignored.
+    rows that repeat an id follow each other in order of a hash of the text; an empty table gives no rows; other columns are ignored.
     """
     folder = new_folder(docs.sparkSession, "tokens")
     return read_documents(write_tokens(docs, folder, path, end_id, id_col=id_col, text_col=text_col))
