@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.llm import pack, pii, quality, simhash
-from docwarden.llm.common import table, written
+from docwarden.llm.common import free_name, table, written
 
 #: Null: no stage is expressible in SQL as a whole (a fitted model, text fingerprints, tokens).
 ORACLE_SQL = None
@@ -20,10 +20,9 @@ CAPACITY, END_ID = 2048, 0
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine does not reject, unchanged. It is fitted on rows of ``labels``."""
-    columns = docs.columns
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, to="_score")
-    return scored.where(quality.predicted("_score") == 1).select(*columns)
+    mark = free_name(docs, "score")
+    return quality.score(docs, model, to=mark).where(quality.predicted(mark) == 1).drop(mark)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +32,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data gives way to labels, disclosing terms to their class or to nothing."""
-    found = pii.find_personal_data(docs).withColumn("_new", pii.sanitised("text", "spans"))
-    changed = F.size("spans") > 0
-    new = {"text": F.col("_new"), "n_chars": F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
+    spans = free_name(docs, "spans")
+    text = free_name(docs, "clean")
+    found = pii.find_personal_data(docs, to=spans).withColumn(text, pii.sanitised("text", spans))
+    length = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col(text), "n_chars": length}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -18,8 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.llm.common import free_name
+
 #: Pre-tokens remembered per Python worker; a full memory is emptied, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -147,4 +149,6 @@ def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> D
         rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(pairs.decode(ids)).hexdigest()) for ids in pairs.encode(texts)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn("_d", of(F.col(text_col))).select(*(F.col(f"`{c}`") for c in df.columns), "_d.*")
+    made = free_name(df, "digests")
+    kept = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    return df.withColumn(made, of(F.col(text_col))).select(*(F.col(f"`{c}`") for c in kept), f"{made}.*")

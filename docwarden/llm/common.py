@@ -50,6 +50,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def finite(vector: Column) -> Column:
     """True for a vector that is not null and holds only finite components."""
     good = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) <= F.lit(LARGEST), F.lit(False)))

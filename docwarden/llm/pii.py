@@ -171,8 +171,9 @@ def find_personal_data(
     support: int = SUPPORT,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
+    to: str = "spans",
 ) -> DataFrame:
-    """``docs`` with ``spans``: array of (kind, start, end, value), by kind (email, ip, card, phone, general, removed), then start.
+    """``docs`` with ``to`` (in the place of a column of that name): array of (kind, start, end, value), by kind (email, ip, card, phone, general, removed), then start.
 
     Offsets are code points, ends exclusive. Base spans come from patterns alone; general and removed ones are words that
     disclose a base entity of the corpus. A term inside a base span is not listed again. Null and empty texts have no
@@ -188,13 +189,15 @@ def find_personal_data(
     marks = written(
         standing.join(flagged, "term").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("_terms")), "pii-marks"
     )
-    out = base_spans(docs.withColumns({"_key": key, "_text": F.coalesce(text_col, F.lit(""))}), "_text").withColumn("_spans", all_base())
-    out = out.join(marks, "_key", "left")
+    # Columns of the caller go by numbers meanwhile, so that none is taken for one of ours.
+    kept = [c for c in docs.columns if c != to]
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), key.alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    out = base_spans(out, "_text").withColumn("_spans", all_base()).join(marks, "_key", "left")
     terms = F.expr(
         f"""CASE WHEN _terms IS NULL THEN cast(array() AS {ANY_SPAN}) ELSE
         array_sort(filter({_term_spans('_text', '_terms')}, t -> NOT exists(_spans, s -> t.start < s.`end` AND s.start < t.`end`))) END"""
     )
-    return out.withColumn("spans", F.concat("_spans", terms)).select(*(F.col(f"`{c}`") for c in docs.columns if c != "spans"), "spans")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.concat("_spans", terms).alias(to))
 
 
 def listed(spans: str, base_only: bool = False) -> Column:
