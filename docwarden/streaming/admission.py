@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,26 +16,34 @@ from ..rules import RateLimits
 
 # Kind of a row that closes a stream: it only moves the watermark.
 CLOSING = "closing"
+#: Width of a bucket of waiting rows.
+BUCKET_US = 5_000_000
 OUTPUT = "user string, seq long, ts timestamp, allowed boolean, message string"
 
 
 class AdmissionProcessor(StatefulProcessor):
     """Holds a user's rows until the watermark has passed them, then decides them in time order, so that
-    rows may come in any order within the watermark delay. State: the rows waiting, and a log bounded by
-    the limits, which is dropped once it is blank."""
+    rows may come in any order within the watermark delay. State: the rows waiting, by buckets of time, of which a trigger
+    reads those that are due or get rows and no others; and a log bounded by the limits, dropped once it is blank."""
 
     def __init__(self, limits: RateLimits):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_us long, turn int, seq long, tokens long")
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows string")
         self.log = handle.getValueState("log", "state string")
 
+    def _held(self, bucket: int) -> list[list[int]]:
+        return json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[list[int]]] = {}
         for batch in rows:
             for row in batch.loc[batch["turn"] < 2, ["ts_us", "turn", "seq", "tokens"]].itertuples(index=False):
-                self.waiting.appendValue(tuple(int(v) for v in row))
+                new.setdefault(int(row[0]) // BUCKET_US, []).append([int(v) for v in row])
+        for bucket, some in new.items():
+            self.waiting.updateValue((bucket,), (json.dumps(self._held(bucket) + some),))
         return self._decide(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -42,16 +51,25 @@ class AdmissionProcessor(StatefulProcessor):
 
     def _decide(self, key, timer_values) -> Iterator[pd.DataFrame]:
         mark = timer_values.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in rows if r[0] < mark]
-        later = rows[len(due) :]
+        buckets = sorted(k[0] for k in self.waiting.keys())
+        due: list[list[int]] = []
+        next_at = None
+        for bucket in buckets:
+            if bucket * BUCKET_US >= mark:
+                next_at = bucket * BUCKET_US if next_at is None else next_at
+                break
+            rows = sorted(self._held(bucket))
+            later = [r for r in rows if r[0] >= mark]
+            due += rows[: len(rows) - len(later)]
+            if not later:
+                self.waiting.removeKey((bucket,))
+            else:
+                next_at = later[0][0] if next_at is None else next_at
+                if len(later) < len(rows):
+                    self.waiting.updateValue((bucket,), (json.dumps(later),))
         saved = self.log.get()
         log = UserLog(self.limits, saved[0] if saved else None)
         codes = log.decide([r[0] for r in due], [r[1] == 0 for r in due], [r[3] for r in due])
-        if due:
-            self.waiting.clear()
-            if later:
-                self.waiting.put(later)
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         log.forget(mark)
@@ -59,7 +77,7 @@ class AdmissionProcessor(StatefulProcessor):
             self.log.clear()
         else:
             self.log.update((log.save(),))
-        wake = later[0][0] if later else (0 if log.is_blank() else log.expires_at())
+        wake = (0 if log.is_blank() else log.expires_at()) if next_at is None else max(next_at, 1)
         if wake:
             self.handle.registerTimer(max(wake, mark) // 1000 + 1)
         if due:
