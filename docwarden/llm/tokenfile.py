@@ -143,7 +143,11 @@ class ShardWriter:
         self.out.write(index)
         self.out.write(struct.pack("<Q", total * self.width) + MARK)
         self.out.close()
-        self.fs.move(self.temporary, self.path)
+        if self.fs.get_file_info(self.path).type == pyarrow.fs.FileType.NotFound:
+            self.fs.move(self.temporary, self.path)
+        else:
+            # Another attempt at the same task was first; its file is the same.
+            self.fs.delete_file(self.temporary)
         return total
 
 
