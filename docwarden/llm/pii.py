@@ -28,7 +28,7 @@ NEEDS = {"email": "contains({0}, '@')", "ip": "contains({0}, '.')", "phone": "co
 
 #: Words that can be disclosing terms.
 TERM = r"[\p{L}\p{N}]{3,}"
-#: An entity or a pair counts as known from so many different surroundings.
+#: An entity or a pair counts as known from so many different texts.
 SUPPORT = 3
 GENERALISE_AT = 0.95
 REMOVE_AT = 0.99
@@ -76,40 +76,31 @@ def words(text: Column) -> Column:
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """``h`` (hash of the text), ``entity``, ``context``: each entity of each different text, with one hash of its surroundings.
-
-    Copies of a text count once, and so does an entity that a text repeats. A context is the 24 characters on either
-    side (of several, the one with the smallest hash), so near copies rarely add one.
-    """
-    spans = F.explode("_spans").alias("s")
-    around = F.xxhash64(
-        F.expr("substr(_text, greatest(1, s.start - 23), s.start - greatest(0, s.start - 24))"), F.expr("substr(_text, s.`end` + 1, 24)")
-    )
+    """``h`` (hash of the text), ``entity``: each entity of each different text, once."""
     return (
         found.where(F.size("_spans") > 0)
-        .select("_text", "_h", spans)
-        .select(F.col("_h").alias("h"), F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), around.alias("context"))
-        .groupBy("h", "entity")
-        .agg(F.min("context").alias("context"))
+        .select(F.col("_h").alias("h"), F.explode("_spans").alias("s"))
+        .select("h", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"))
+        .distinct()
     )
 
 
 def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remove_at: float) -> tuple[DataFrame, DataFrame]:
     """Terms that disclose an entity (``term``, ``removed``), and where candidates stand (``term``, ``_key``).
 
-    For an entity c and a term t of the same texts: PMI(c, t) = ln(co N / (n_c n_t)) and IC(c) = ln(N / n_c). Occurrences of
-    c, alone and with t, are counted in different contexts, n_t and N in different texts, so copies do not raise a
-    ratio. Pairs of fewer than ``support`` contexts are left unestimated.
+    For an entity c and a term t of the same texts: PMI(c, t) = ln(co N / (n_c n_t)) and IC(c) = ln(N / n_c). All four
+    are counted in different texts, so exact copies count once and a term never seen without c scores 1, however alike
+    the texts are. Pairs of fewer than ``support`` texts are left unestimated.
     """
     seen = occurrences(found)
-    entities = seen.groupBy("entity").agg(F.count_distinct("context").alias("n_entity")).where(F.col("n_entity") >= support)
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     known = seen.join(entities, "entity")
     texts = found.where(F.size("_spans") > 0).groupBy("_h").agg(F.min("_text").alias("_text"))
     pairs = (
         known.join(texts.withColumnRenamed("_h", "h"), "h")
-        .select("entity", "n_entity", "context", F.explode(words(F.col("_text"))).alias("term"))
+        .select("entity", "n_entity", F.explode(words(F.col("_text"))).alias("term"))
         .groupBy("entity", "n_entity", "term")
-        .agg(F.count_distinct("context").alias("n_both"))
+        .agg(F.count("*").alias("n_both"))
         .where((F.col("n_both") >= support) & ~F.contains("entity", "term"))
     )
     # A term stands in at least as many texts as in those with base spans; by this bound alone, common words drop out.
@@ -117,11 +108,11 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
     seldom = texts.select(F.explode(words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
     content = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
 
-    def pmi(both: Column, n_term: str) -> Column:
-        return F.log(both * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col(n_term)))
+    def pmi(n_term: str) -> Column:
+        return F.log(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col(n_term)))
 
     pairs = pairs.join(seldom, "term").where(
-        (F.col("n_entity") < total) & (pmi(F.least("n_both", "n_least"), "n_least") >= generalise_at * content)
+        (F.col("n_entity") < total) & (pmi("n_least") >= generalise_at * content)
     )
     pairs = written(pairs, "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
@@ -142,7 +133,7 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
     frequency = standing.groupBy("term").agg(F.count_distinct("_h").alias("n_term"))
     flagged = (
         pairs.join(frequency, "term")
-        .withColumn("disclosed", pmi(F.least("n_both", "n_term"), "n_term") / content)
+        .withColumn("disclosed", pmi("n_term") / content)
         .groupBy("term")
         .agg(F.max("disclosed").alias("disclosed"))
         .where(F.col("disclosed") >= generalise_at)

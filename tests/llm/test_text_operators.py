@@ -306,6 +306,23 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert "[EMAIL]" in out[told[1]].clean and "bob0" not in out[told[1]].clean
 
 
+def test_terms_behind_one_template_and_in_near_copies(spark):
+    fill = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod".split()
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choices(fill, k=n))
+    plain = [f"{said(20)} nr{i}" for i in range(300)]
+    # Different texts, the same 24 characters on either side of the address.
+    footer = [f"{said(15)} Quizzard {said(9)} nr{i} -- for questions write to the desk at help@mail.example or come to the office at noon" for i in range(20)]
+    near = [f"Brimwald {said(12)} {w} tell ann@corp.example about it" for w in ("alpha", "beta", "gamma", "delta")]
+    near.append(f"{near[0]} again")
+    texts = plain + footer + near + ["a Quizzard alone"]
+    found = pii.find_personal_data(documents(spark, texts + near * 3)).collect()
+    kinds = {s.value: s.kind for r in found for s in r.spans}
+    # In 20 of 21 texts: ln(20 N / (20 * 21)) / ln(N / 20) of N = 326 is 0.983; always together is 1.
+    assert kinds.get("Quizzard") == "general" and kinds.get("Brimwald") == "removed"
+    assert "lorem" not in kinds and "alpha" not in kinds
+
+
 # ------------------------------------------------------------------ quality
 
 
