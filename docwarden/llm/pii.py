@@ -75,6 +75,15 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def bare(text: str, spans: str) -> str:
+    """SQL: ``text`` with blanks for each character of ``spans``, so that words keep their place and none begins in a span."""
+    return f"""CASE WHEN size({spans}) = 0 THEN {text} ELSE aggregate(
+        array_sort(transform({spans}, s -> struct(s.start AS start, s.`end` AS `end`))), struct(0 AS pos, '' AS done),
+        (a, s) -> struct(greatest(a.pos, s.`end`) AS pos, concat(a.done, substr({text}, a.pos + 1, greatest(0, s.start - a.pos)),
+                         repeat(' ', greatest(0, s.`end` - greatest(a.pos, s.start)))) AS done),
+        a -> concat(a.done, substr({text}, a.pos + 1))) END"""
+
+
 def occurrences(found: DataFrame) -> DataFrame:
     """``h`` (hash of the text), ``entity``: each entity of each different text, once."""
     return (
@@ -90,22 +99,23 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
 
     For an entity c and a term t of the same texts: PMI(c, t) = ln(co N / (n_c n_t)) and IC(c) = ln(N / n_c). All four
     are counted in different texts, so exact copies count once and a term never seen without c scores 1, however alike
-    the texts are. Pairs of fewer than ``support`` texts are left unestimated.
+    the texts are. Terms are those of texts whose base spans are blank (``_bare``): a word inside a span does not count, the
+    same word outside one is scored like any other, also if the entity's own value has it. Pairs of fewer than ``support`` texts are left unestimated.
     """
     seen = occurrences(found)
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     known = seen.join(entities, "entity")
-    texts = found.where(F.size("_spans") > 0).groupBy("_h").agg(F.min("_text").alias("_text"))
+    texts = found.where(F.size("_spans") > 0).groupBy("_h").agg(F.min("_bare").alias("_bare"))
     pairs = (
         known.join(texts.withColumnRenamed("_h", "h"), "h")
-        .select("entity", "n_entity", F.explode(words(F.col("_text"))).alias("term"))
+        .select("entity", "n_entity", F.explode(words(F.col("_bare"))).alias("term"))
         .groupBy("entity", "n_entity", "term")
         .agg(F.count("*").alias("n_both"))
-        .where((F.col("n_both") >= support) & ~F.contains("entity", "term"))
+        .where(F.col("n_both") >= support)
     )
     # A term stands in at least as many texts as in those with base spans; by this bound alone, common words drop out.
     total = found.select(F.count_distinct("_h").alias("n")).first()["n"]
-    seldom = texts.select(F.explode(words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    seldom = texts.select(F.explode(words(F.col("_bare"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
     content = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
 
     def pmi(n_term: str) -> Column:
@@ -121,7 +131,7 @@ def disclosing_terms(found: DataFrame, support: int, generalise_at: float, remov
     bit = lambda h: F.expr("shiftleft(1L, cast(pmod(shiftright({h}, 17), 64) AS int))".format(h=h))
     bits = terms.select(F.xxhash64("term").alias("th")).groupBy(slot(F.col("th")).alias("slot")).agg(F.bit_or(bit("th")).alias("bits"))
     standing = (
-        found.select("_key", "_h", F.explode(words(F.col("_text"))).alias("term"))
+        found.select("_key", "_h", F.explode(words(F.col("_bare"))).alias("term"))
         .withColumn("wh", F.xxhash64("term"))
         .withColumn("slot", slot(F.col("wh")))
         .join(F.broadcast(bits), "slot")
@@ -167,13 +177,13 @@ def find_personal_data(
     """``docs`` with ``to`` (in the place of a column of that name): array of (kind, start, end, value), by kind (email, ip, card, phone, general, removed), then start.
 
     Offsets are code points, ends exclusive. Base spans come from patterns alone; general and removed ones are words that
-    disclose a base entity of the corpus. A term inside a base span is not listed again. Null and empty texts have no
+    disclose a base entity of the corpus, words of its own value included, outside base spans. Null and empty texts have no
     spans; null and repeated ids and all other columns are kept as they are; an empty table gives no rows.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     found = base_spans(
         docs.select(key.alias("_key"), F.xxhash64(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text")), "_text"
-    ).select("_key", "_h", "_text", all_base().alias("_spans"))
+    ).select("_key", "_h", "_text", all_base().alias("_spans")).withColumn("_bare", F.expr(bare("_text", "_spans")))
     flagged, standing = disclosing_terms(found, support, generalise_at, remove_at)
     # Only texts in which a flagged term stands are in this table. Terms are looked up in the row's own text, so rows
     # that share a key do not disturb each other.
@@ -183,10 +193,11 @@ def find_personal_data(
     # Columns of the caller go by numbers meanwhile, so that none is taken for one of ours.
     kept = [c for c in docs.columns if c != to]
     out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), key.alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    out = base_spans(out, "_text").withColumn("_spans", all_base()).join(marks, "_key", "left")
+    out = base_spans(out, "_text").withColumn("_spans", all_base()).withColumn("_bare", F.expr(bare("_text", "_spans")))
+    out = out.join(marks, "_key", "left")
     terms = F.expr(
         f"""CASE WHEN _terms IS NULL THEN cast(array() AS {ANY_SPAN}) ELSE
-        array_sort(filter({_term_spans('_text', '_terms')}, t -> NOT exists(_spans, s -> t.start < s.`end` AND s.start < t.`end`))) END"""
+        array_sort({_term_spans('_bare', '_terms')}) END"""
     )
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.concat("_spans", terms).alias(to))
 

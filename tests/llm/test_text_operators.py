@@ -323,6 +323,26 @@ def test_terms_behind_one_template_and_in_near_copies(spark):
     assert "lorem" not in kinds and "alpha" not in kinds
 
 
+def test_words_of_the_entity_outside_its_span_are_terms(spark):
+    fill = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod".split()
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choices(fill, k=n))
+    plain = [f"{said(20)} nr{i}" for i in range(300)]
+    told = [f"😀 {said(9)} Jane Doe {said(5)} jane.doe@corp.example, nr{i}" for i in range(10)]
+    bare = "Jane Doe was at the corp"
+    found = pii.find_personal_data(documents(spark, plain + told + [bare])).withColumn("clean", pii.sanitised("text", "spans"))
+    out = {r.text: r for r in found.collect()}
+    assert [(s.kind, s.value, s.start, s.end) for s in out[bare].spans] == [("general", "Jane", 0, 4), ("general", "Doe", 5, 8)]
+    assert out[bare].clean == "[NAME] [NAME] was at the corp"
+    for t in told:
+        assert [s.value for s in sorted(out[t].spans, key=lambda s: s.start)] == ["Jane", "Doe", "jane.doe@corp.example"]
+        assert out[t].clean == t.replace("Jane Doe", "[NAME] [NAME]").replace("jane.doe@corp.example", "[EMAIL]")
+    odd = "x 1.2.3.4.5.6.7.8 +1 (234) 567-8901 4111 1111-1111 1111 😀a@b.co é"
+    row = pii.base_spans(documents(spark, [odd]), "text").withColumn("s", pii.all_base()).select("s", F.expr(pii.bare("text", "s")).alias("b")).first()
+    inside = {i for s in row.s for i in range(s.start, s.end)}
+    assert row.b == "".join(" " if i in inside else c for i, c in enumerate(odd))
+
+
 # ------------------------------------------------------------------ quality
 
 
