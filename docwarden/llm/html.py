@@ -33,6 +33,10 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head iframe math noembed noframes noscript object script style svg template textarea title".split())
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
+#: What can stand in a head; any other element ends an open one, as text does.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of other vocabularies, which "/>" closes.
+FOREIGN = frozenset({"svg", "math"})
 #: An element of the first kind ends open ones of the second, up to the nearest of the third.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -44,6 +48,8 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+#: Attributes whose last slash belongs to a value without quotes, and does not close the element.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"']*/\Z")
 
 
 def _path_words(name: str, attributes: str) -> tuple[str, ...]:
@@ -88,7 +94,11 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def text_to(end: int) -> None:
         nonlocal linked
-        if end > at and not hidden:
+        if end <= at:
+            return
+        if hidden and stack[-1][0] == "head" and not page[at:end].isspace():
+            pop(len(stack) - 1)
+        if not hidden:
             said = html_lib.unescape(page[at:end])
             parts.append(said)
             if any(name == "a" for name, _ in stack):
@@ -115,6 +125,11 @@ def blocks_of(page: str | None) -> list[Block]:
                 if name == "p":
                     flush()
             continue
+        if stack and stack[-1][0] == "head":
+            if name in ("html", "head"):
+                continue
+            if name not in IN_HEAD:
+                pop(len(stack) - 1)
         if name == "br":
             if not hidden:
                 parts.append(" ")
@@ -131,6 +146,9 @@ def blocks_of(page: str | None) -> list[Block]:
             flush()
         if name in VOID:
             continue
+        closed = m["attributes"].endswith("/") and not _VALUE_SLASH.search(m["attributes"])
+        if closed and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+            continue
         if name in RAW:
             if low is None:
                 low = page.lower()

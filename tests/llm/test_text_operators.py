@@ -403,6 +403,20 @@ def test_pages(spark):
     assert html.extract(df.drop("text").limit(0), model).count() == 0
 
 
+def test_hidden_elements_end_where_they_must():
+    texts = lambda p: [b.text for b in html.blocks_of(p)]
+    assert texts("<html><head><title>x</title><meta charset=u><script>a</script>\n<body><p>one<p>two</body>") == ["one", "two"]
+    assert texts("<head><title>x</title><div>one</div>") == texts("<head><title>x</title>one") == ["one"]
+    assert texts("<head><head><html><style>s</style></head>one") == ["one"] and texts("<head><title>x</title><img src=i>one") == ["one"]
+    assert texts("<head><template><p>no</template><noscript><p>no</noscript></head><p>one") == ["one"]
+    assert [b.path for b in html.blocks_of("<html><head><title>x</title><body><p>one")] == [("html", "body", "p")]
+    for name in ("svg", "math"):
+        for a in ("/", " /", " width='1'/", " a=b /", " a/"):
+            assert texts(f"<body><p>one<{name}{a}> two<p>three") == ["one two", "three"], a
+        assert texts(f"<div>one<{name} a=b/>no</{name}></div>") == ["one"]
+        assert texts(f"<div>one<{name}><script/><style/><g/>no</{name}> two</div>") == ["one two"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(3)
     m = html.Labeller.new(rng)
