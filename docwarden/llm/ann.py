@@ -4,6 +4,8 @@ Inserting a batch of nodes, a greedy search over the graph so far proposes neigh
 keeps the nearest and drops what a kept neighbour is closer to by a factor, so that edges stay diverse; edges
 are put in both ways and pruned again where a node has too many. A query walks every shard's graph with a beam.
 Largest inner products become smallest distances by one more component, the root of M^2-|x|^2 (M: largest norm).
+Vectors of a shard whose norms are far apart have graphs of their own, each with its own M: beside one very long vector,
+all distances of the others would cancel.
 """
 
 from __future__ import annotations
@@ -136,6 +138,43 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))[:, None]]).astype(np.float32)
 
 
+def norm_classes(x: np.ndarray) -> np.ndarray:
+    """The class of each row (not zero) by its norm, rounded to a power of 4; norms of one class differ by a factor of 4 at most."""
+    most = np.abs(x).max(1)
+    unit = x / most[:, None]
+    return np.rint((np.log2(most) + 0.5 * np.log2(np.einsum("nd,nd->n", unit, unit))) / 2).astype(np.int64)
+
+
+def build_graphs(x: np.ndarray, degree: int = 32, width: int = 64, relax: float = 1.2):
+    """Edges of one graph per class of norms, and for each node the one where searches of its graph start."""
+    n, of = len(x), norm_classes(x)
+    edges, start = np.full((n, 2 * degree), -1, np.int32), np.zeros(n, np.int32)
+    for c in np.unique(of):
+        own = np.flatnonzero(of == c).astype(np.int32)
+        near, first = build_graph(lifted(x[own] / np.abs(x[own]).max()), degree, width, relax)
+        edges[own] = np.where(near >= 0, own[near], -1)
+        start[own] = own[first]
+    return edges, start
+
+
+def search_graphs(x: np.ndarray, edges: np.ndarray, start: np.ndarray, queries: np.ndarray, width: int) -> np.ndarray:
+    """For each query the nodes found in the graphs, up to ``width`` of each (-1: none)."""
+    unit = queries / np.abs(queries).max(1, keepdims=True)
+    unit = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32)
+    found = []
+    for first in np.unique(start):
+        own = np.flatnonzero(start == first).astype(np.int32)
+        place = np.full(len(x), -1, np.int32)
+        place[own] = np.arange(len(own))
+        graph = lifted(x[own] / np.abs(x[own]).max())
+        inner = np.where(edges[own] >= 0, place[edges[own]], -1)
+        square = np.einsum("nd,nd->n", graph, graph)
+        near = [beam_search(graph, square, inner, place[first], unit[i : i + 256], width)[0] for i in range(0, len(unit), 256)]
+        near = np.concatenate(near)
+        found.append(np.where(near >= 0, own[near], -1))
+    return np.hstack(found)
+
+
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id``, ``v`` (doubles) of rows with an id and a vector that is finite and not zero."""
     some = F.exists(vector_col, lambda x: x != 0)
@@ -145,7 +184,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, n_shards: int, degree: int = 32, width: int = 64, relax: float = 1.2) -> DataFrame:
-    """One row per different vector of a shard: the ids that have it, the vector, its edges, the shard's start node.
+    """One row per different vector of a shard: the ids that have it, the vector, its edges, its graph's start node.
 
     Input: ``id``, ``v``. A shard is a hash of the id, so copies of a vector spread over all shards.
     """
@@ -158,8 +197,7 @@ def build_index(vectors: DataFrame, n_shards: int, degree: int = 32, width: int
         new[1:] = (x[1:] != x[:-1]).any(1)
         first = np.flatnonzero(new)
         x = x[first]
-        scale = np.abs(x).max()
-        edges, start = build_graph(lifted(x / scale), degree, width, relax)
+        edges, start = build_graphs(x, degree, width, relax)
         n = len(x)
         at = np.append(first, len(ids)).astype(np.int32)
         kept = edges >= 0
@@ -169,7 +207,7 @@ def build_index(vectors: DataFrame, n_shards: int, degree: int = 32, width: int
             "ids": pa.ListArray.from_arrays(at, ids),
             "v": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], x.ravel()),
             "neighbours": pa.ListArray.from_arrays(np.append(0, kept.sum(1).cumsum()).astype(np.int32), edges[kept]),
-            "start": pa.array(np.full(n, start, np.int32)),
+            "start": pa.array(start),
         })
 
     return vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(build, INDEX)
@@ -181,17 +219,14 @@ def search_shard(query_ids, queries, index: pa.Table, k: int, width: int):
     x = matrix(index["v"])
     wide = max(x.shape[1], queries.shape[1])
     x, queries = widened(x, wide), widened(queries, wide)
-    graph = lifted(x / np.abs(x).max())
-    square = np.einsum("nd,nd->n", graph, graph)
     edges = matrix_of_nodes(index["neighbours"])
-    owners, start = index["ids"].to_pylist(), index["start"][0].as_py()
+    owners, start = index["ids"].to_pylist(), index["start"].to_numpy()
     out = []
+    near = search_graphs(x, edges, start, queries, width)
     for i in range(0, len(queries), 256):
         q = queries[i : i + 256]
-        unit = q / np.abs(q).max(1, keepdims=True)
-        near, _ = beam_search(graph, square, edges, start, np.hstack([unit, np.zeros((len(q), 1))]).astype(np.float32), width)
         for j, own in enumerate(query_ids[i : i + 256]):
-            nodes = near[j][near[j] >= 0]
+            nodes = near[i + j][near[i + j] >= 0]
             # Sums along each row: equal vectors get equal scores in every shard.
             score = (x[nodes] * q[j]).sum(1)
             listed = [(-s, d) for s, node in zip(score, nodes, strict=True) for d in [d for d in owners[node][: k + 1] if d != own][:k]]
@@ -221,7 +256,7 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` largest inner products found, ties to smaller ids.
 
-    Every row is indexed. Copies of a vector share a node that lists their ids, so ties are whole. Shards and
+    Every row is indexed, whatever its norm: a shard has a graph per class of norms, and all are searched. Copies of a vector share a node that lists their ids, so ties are whole. Shards and
     blocks of queries form a grid; each cell is one group of bounded size.
 
     Rows with a null id, or a vector that is null, zero, or has null or non-finite components take no part; shorter

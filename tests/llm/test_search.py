@@ -85,6 +85,22 @@ def test_neighbours_recall_ties_and_scores(spark, shard_rows):
     assert hit / total >= 0.95
 
 
+@pytest.mark.parametrize("low, high", [(1, 1), (0.51, 1.99), (1e3, 1e3), (1e3, 1e6), (1e-12, 1e12)])
+def test_recall_beside_vectors_of_other_norms(low, high):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[1000:1100].copy()
+    x[:5] *= np.geomspace(low, high, 5)[:, None]
+    edges, start = ann.build_graphs(x)
+    near = ann.search_graphs(x, edges, start, q, 128)
+    score, hit = q @ x.T, 0
+    for j, best in enumerate(np.argsort(-score, axis=1)[:, :20]):
+        nodes = near[j][near[j] >= 0]
+        hit += len(set(best) & set(nodes[np.argsort(-score[j, nodes])[:20]]))
+    assert hit / 2000 >= 0.98
+
+
 def test_pruned_edges_are_diverse():
     x = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 1], [5, 5]], np.float32)
     square = (x**2).sum(1)
