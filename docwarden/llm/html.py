@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 PATH_SIZE, WORD_SIZE, FIGURES = 256, 64, 8
 HIDDEN = 24
-#: Pages that a labeller is fitted on at most, chosen by a hash of the id, and how many blocks of each.
-FIT_PAGES, FIT_BLOCKS = 400, 160
+#: Different pages that mark their main text, chosen by a hash of the page, that a labeller is fitted on at most.
+FIT_PAGES = 400
+#: Longer pages are learnt in windows of so many blocks.
+WINDOW = 160
+#: Blocks whose vectors are kept between the rounds of a fit; of more, they are made again each time.
+KEPT_BLOCKS = 100_000
 
 # Element names of the markup language by what they do to blocks of text.
 BLOCK = frozenset(
@@ -166,8 +170,9 @@ def _hash(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, figures."""
+def vectors(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """One row per block: hashed path, hashed words, figures. ``blocks`` begin at ``first`` in a page of ``of`` blocks."""
+    of = len(blocks) if of is None else of
     x = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + FIGURES), np.float32)
     for i, b in enumerate(blocks):
         for w in b.path:
@@ -179,7 +184,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
             x[i, PATH_SIZE : PATH_SIZE + WORD_SIZE] = counts / np.sqrt((counts**2).sum())
         x[i, PATH_SIZE + WORD_SIZE :] = (
             np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked / max(1, n), sum(map(b.text.count, ".,;:")) / max(1, len(words)),
-            n / max(1, len(words)) / 20, i / max(1, len(blocks)), len(b.path) / 16, float(b.text[-1:] in ".!?"),
+            n / max(1, len(words)) / 20, (first + i) / max(1, of), len(b.path) / 16, float(b.text[-1:] in ".!?"),
         )
     return x
 
@@ -335,10 +340,13 @@ def varied(blocks: list[Block], labels: list[bool], said: list[str], rng: np.ran
 
 
 def fitted(pages: list[str], epochs: int = 8, batch: int = 16, rate: float = 0.01) -> Labeller:
-    """A labeller taught by pages that mark their article; the same for the same pages in the same order."""
+    """A labeller taught by pages that mark their article; the same for the same pages in the same order.
+
+    Without any such page nothing can be taught, and the labeller keeps every block.
+    """
     rng = np.random.default_rng(0)
     model = Labeller.new(rng)
-    parsed = [b[:FIT_BLOCKS] for b in map(blocks_of, pages) if b]
+    parsed = [b for b in map(blocks_of, pages) if b]
     said = [b.text for page in parsed for b in page]
     shown = []
     for page in parsed:
@@ -346,7 +354,11 @@ def fitted(pages: list[str], epochs: int = 8, batch: int = 16, rate: float = 0.0
         if any(labels):
             shown.append((page, labels))
             shown += [varied(page, labels, said, rng) for _ in range(2)]
-    shown = [(vectors(b), np.array(m, np.float32)) for b, m in shown]
+    if not shown:
+        return Labeller({k: np.ones_like(v) if k == "o0" else np.zeros_like(v) for k, v in model.p.items()})
+    # Where a block stands is told by the whole page, also in a window.
+    shown = [(b[i : i + WINDOW], i, len(b), np.array(m[i : i + WINDOW], np.float32)) for b, m in shown for i in range(0, len(b), WINDOW)]
+    kept = [vectors(*s[:3]) for s in shown] if sum(len(s[3]) for s in shown) <= KEPT_BLOCKS else None
     mean = {k: np.zeros_like(v) for k, v in model.p.items()}
     square = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
@@ -355,10 +367,10 @@ def fitted(pages: list[str], epochs: int = 8, batch: int = 16, rate: float = 0.0
         order = sorted(rng.permutation(len(shown)).tolist(), key=lambda i: len(shown[i][0]) // 8)
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         for g in rng.permutation(len(groups)):
-            x, mask = padded([shown[i][0] for i in groups[g]])
+            x, mask = padded([kept[i] if kept else vectors(*shown[i][:3]) for i in groups[g]])
             y = np.zeros_like(mask)
             for r, i in enumerate(groups[g]):
-                y[r, : len(shown[i][1])] = shown[i][1]
+                y[r, : len(shown[i][3])] = shown[i][3]
             step += 1
             for k, d in model.gradients(x, mask, y).items():
                 d = np.clip(d, -1, 1)
@@ -368,16 +380,41 @@ def fitted(pages: list[str], epochs: int = 8, batch: int = 16, rate: float = 0.0
     return model
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> bytes:
-    """A labeller fitted in one task on up to ``fit_pages`` pages, chosen by a hash of the id; only the model comes to the driver."""
-    chosen = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).orderBy("h", "html").limit(fit_pages)
+def marked(page: str | None) -> bool:
+    return any(map(taught, blocks_of(page)))
+
+
+def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> bytes:
+    """A labeller fitted in one task on up to ``fit_pages`` different pages of those that mark their main text; only the model comes to the driver.
+
+    They are those of smallest hash among all marked pages of the table, whatever share of it they are; copies of a page are
+    one. If no page is marked, the labeller keeps every block.
+    """
+    able = pages.where(F.col(html_col).rlike("(?i)<(article|main)")).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+
+    def chosen(hashes: DataFrame) -> DataFrame:
+        least = hashes.select("h").distinct().orderBy("h").limit(fit_pages)
+        return able.join(F.broadcast(least), "h").groupBy("h").agg(F.min("html").alias("html"))
+
+    def train(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [h for b in batches for h in b["html"].to_pylist()]
+            done = last or all(map(marked, rows))
+            yield pa.record_batch({"model": pa.array([fitted(rows).to_bytes() if done else None], pa.binary())})
+
+        return run
+
+    def trained(hashes: DataFrame, last: bool) -> bytes | None:
+        made = chosen(hashes).repartition(1).sortWithinPartitions("h", "html").mapInArrow(train(last), "model binary").first()
+        return made["model"] if made else fitted([]).to_bytes()
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [h for b in batches for h in b["html"].to_pylist()]
-        yield pa.record_batch({"model": [fitted(rows).to_bytes()]})
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([marked(h) for h in b["html"].to_pylist()], pa.bool_())).select(["h"])
 
-    made = chosen.repartition(1).sortWithinPartitions("h", "html").mapInArrow(train, "model binary").first()
-    return made["model"] if made else fitted([]).to_bytes()
+    # A tag may stand in a comment, or in a part named otherwise. Where the first pages all mark main text, they are the
+    # first that do; else all pages with such a tag are looked at.
+    return trained(able, False) or trained(able.mapInArrow(telling, "h long"), True)
 
 
 def main_texts(pages: list[str | None], model: Labeller, together: int = 32) -> list[str]:

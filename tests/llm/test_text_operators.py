@@ -417,6 +417,28 @@ def test_hidden_elements_end_where_they_must():
         assert texts(f"<div>one<{name}><script/><style/><g/>no</{name}> two</div>") == ["one two"]
 
 
+def test_marked_pages_are_found_wherever_they_stand(spark, monkeypatch):
+    rng = random.Random(6)
+    words = "calm text goes on here and then some more words follow".split()
+    few = [page([" ".join(rng.choices(words, k=20)) for _ in range(3)]) for _ in range(6)]
+    plain = [f"<body><div>{i} no mark<!-- <article> --></div><p>{i}</p></body>" for i in range(300)]
+    plain += [f"<body><aside><main>{i} named otherwise</main></aside></body>" for i in range(100)]
+    seen = spark.createDataFrame([(i, h) for i, h in enumerate(plain + few + few[:1] * 200)], "page_id long, html string").repartition(3)
+    only = spark.createDataFrame([(0, h) for h in few], "page_id long, html string")
+    assert html.fit(seen, fit_pages=5) == html.fit(only, fit_pages=5) != html.fit(only, fit_pages=4)
+    # Without any marked page all is kept.
+    none = seen.where("page_id < 400")
+    model = html.fit(none)
+    assert html.main_texts([plain[0], few[0], None], html.Labeller.from_bytes(model))[0] == "0 no mark\n\n0"
+    assert html.fit(none.limit(0)) == model
+    # Blocks beyond the first window are learnt, and the same whether vectors are kept or not.
+    nav = "".join(f"<div class='nav'>{i}</div>" for i in range(200))
+    model = html.fitted([page(["late text."] * 3, nav)])
+    assert model.to_bytes() != html.fitted([]).to_bytes()
+    monkeypatch.setattr(html, "KEPT_BLOCKS", 0)
+    assert model.to_bytes() == html.fitted([page(["late text."] * 3, nav)]).to_bytes()
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(3)
     m = html.Labeller.new(rng)
