@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import ann, bpe, chat, html, pack, pii, quality, simhash, tokenfile, topk, treebpe
+from docwarden.llm import align, ann, bpe, chat, html, pack, pii, quality, simhash, tokenfile, topk, treebpe
 from docwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_treebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return treebpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_align")
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(docs, a, b, id_col="doc_id")
