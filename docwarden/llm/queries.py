@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm import align, ann, bpe, chat, html, pack, pii, quality, simhash, tokenfile, topk, treebpe
+from docwarden.llm import align, ann, bpe, chat, html, pack, phrases, pii, quality, simhash, tokenfile, topk, treebpe
 from docwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,33 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return align.align(docs, a, b, id_col="doc_id")
+
+
+@query(
+    "op12_phrases",
+    r"""
+    WITH d AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+    s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+    g AS (SELECT lang, w[i : i + k - 1] AS words, k FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, array_to_string(words, ' ') AS phrase, any_value(words) AS words, any_value(k) AS k, count(*) AS f FROM g GROUP BY 1, 2
+      HAVING count(*) >= 100),
+    t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY 1),
+    held AS (
+      SELECT lang, array_to_string(words[i : i + m - 1], ' ') AS phrase, max(f) AS more
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY 1, 2),
+    kept AS (SELECT f.* FROM f LEFT JOIN held USING (lang, phrase) WHERE k > 1 AND (more IS NULL OR 100 * more < 100 * f.f)),
+    c AS (
+      SELECT kept.lang, kept.phrase, cut, kept.f::HUGEINT AS a, l.f::HUGEINT AS l, r.f::HUGEINT AS r, n, (1000 * kept.f::HUGEINT * n) // (l.f::HUGEINT * r.f) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) kept JOIN t USING (lang)
+      JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(kept.words[1 : cut], ' ')
+      JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(kept.words[cut + 1 :], ' ')),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+    """,
+)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
