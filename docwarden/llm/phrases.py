@@ -21,126 +21,155 @@ from pyspark.sql import functions as F
 
 from docwarden.llm.common import written
 
-#: Characters of texts (of one language) that share a list of words.
-BLOCK_CHARS = 1 << 22
+#: Bytes of texts (of one language) that share a list of words.
+BLOCK_BYTES = 1 << 24
 #: Phrases in a container before it bursts, and in all containers of a task before subtrees leave.
 BURST, HELD = 1 << 12, 1 << 19
 #: Bits of a bitmap of frequent phrases: 2 MB. Results do not depend on it; more data are counted faster with more.
 BITS = 24
+#: Parts to which words are dealt by hash to be counted and numbered.
+PARTS = 4096
 #: The language of rows without one.
 NO_LANGUAGE = "und"
 
-# Where pieces end, and what separates words.
-PIECE_END = ".,;:!?\x0a\x0b\x0c\x0d"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-# A line end stands for any piece end once texts are prepared; it is a word of its own.
-PREPARED = LOWER | {ord(c): "\x20\x0a\x20" for c in PIECE_END} | {9: "\x20"}
+# Where pieces end, what separates words, and the letters that are lower-cased. All are single bytes in UTF-8.
+PIECE_END = b".,;:!?\x0a\x0b\x0c\x0d"
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+#: Stands for any piece end once texts are prepared; no text in UTF-8 holds this byte. It is a word of its own.
+END = b"\xff"
+PREPARED = bytes.maketrans(PIECE_END + UPPER + b"\t", END * len(PIECE_END) + LOWER + b" ")
 
 
 # ------------------------------------------------------------------ texts as ids
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as bytes; the most frequent are the smallest, so their upper bytes are mostly zero."""
+    return pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, many: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * many, codec="zstd"), "<i4")
+
+
 class WordBlock:
-    """Texts of one language as places in a list of their different words; 0 ends a piece."""
+    """Texts of one language as places in a list of their different words, the most frequent first; 0 ends a piece."""
 
     def __init__(self):
-        self.place: dict[str, int] = {"\n": 0, "": 0}
+        self.place: dict[bytes, int] = {END: 0}
         self.codes: list[np.ndarray] = []
-        self.chars = 0
+        self.size = 0
 
-    def add(self, text: str) -> None:
-        words = [w for w in text.translate(PREPARED).split(" ") if w]
+    def add(self, text: bytes) -> None:
+        words = text.translate(PREPARED).replace(END, b" \xff ").split()
+        words.append(END)
         place = self.place
         for w in set(words).difference(place):
-            place[w] = len(place) - 1
-        words.append("\n")
+            place[w] = len(place)
         self.codes.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-        self.chars += len(text)
+        self.size += len(text)
 
     def out(self, lang: str, name: str) -> pa.RecordBatch:
         codes = np.concatenate(self.codes)
-        words = list(self.place)[2:]
-        many = np.bincount(codes, minlength=len(words) + 1)[1:]
+        words = list(self.place)
+        many = np.bincount(codes, minlength=len(words))
+        order = np.concatenate([[0], 1 + np.argsort(-many[1:], kind="stable")])
+        new = np.empty_like(order)
+        new[order] = np.arange(len(order))
+        in_order = [words[i] for i in order[1:].tolist()]
         return pa.record_batch({
-            "block": pa.array([name]), "lang": pa.array([lang]), "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-            "words": pa.array([words], pa.list_(pa.string())), "many": pa.array([many], pa.list_(pa.int64())),
+            "block": pa.array([name]), "lang": pa.array([lang]), "size": pa.array([len(codes)], pa.int64()), "codes": pa.array([packed(new[codes])], pa.binary()),
+            "words": pa.array([in_order], pa.list_(pa.binary())).cast(pa.list_(pa.string())), "many": pa.array([many[order[1:]]], pa.list_(pa.int64())),
         })
 
 
 def word_blocks(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """Blocks of texts of a language: ``block``, ``lang``, ``codes``, ``words``, ``many`` (occurrences of each word)."""
+    """Blocks of texts of a language: ``block``, ``lang``, ``size``, ``codes``, ``words``, ``many`` (occurrences of each word)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, WordBlock] = {}
-        n, chars = 0, 0
+        n, size = 0, 0
 
         def done(lang: str) -> pa.RecordBatch:
-            nonlocal n, chars
+            nonlocal n, size
             block = blocks.pop(lang)
-            n, chars = n + 1, chars - block.chars
+            n, size = n + 1, size - block.size
             return block.out(lang, f"{TaskContext.get().partitionId()}-{n}")
 
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
                 if text:
                     block = blocks.setdefault(lang, WordBlock())
-                    before = block.chars
                     block.add(text)
-                    chars += block.chars - before
-                    if block.chars >= BLOCK_CHARS:
+                    size += len(text)
+                    if block.size >= BLOCK_BYTES:
                         yield done(lang)
-                    elif chars >= 2 * BLOCK_CHARS:
-                        yield done(max(blocks, key=lambda x: blocks[x].chars))
+                    elif size >= 2 * BLOCK_BYTES:
+                        yield done(max(blocks, key=lambda x: blocks[x].size))
         for lang in list(blocks):
             yield done(lang)
 
     texts = df.select(F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
-    blocks = texts.mapInArrow(make, "block string, lang string, codes binary, words array<string>, many array<bigint>")
+    blocks = texts.mapInArrow(make, "block string, lang string, size bigint, codes binary, words array<string>, many array<bigint>")
     return written(blocks, "words")
 
 
-def id_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Blocks whose frequent words have their ids: ``ids`` (64-bit, of the block's list) and ``codes`` into it; 0 for all else."""
-    asked = blocks.select(F.col("block").alias("asker"), "lang", F.posexplode("words").alias("place", "word"))
-    answers = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select("asker", "place", "id")
+def frequent_words(blocks: DataFrame, least: int, parts: int = PARTS) -> tuple[DataFrame, int]:
+    """The frequent words of each block: ``asker``, ``place``, ``lang``, ``word``, ``n`` in the language, ``id``, and ``first`` in one
+    row of each word; written. And the bytes that hold an id.
+
+    One shuffle, to parts by hash of the word, counts words and numbers the frequent ones from 1 on without gaps; of it
+    only the parts' sizes reach the driver.
+    """
+    named = blocks.select(F.col("block").alias("asker"), "lang", F.posexplode(F.arrays_zip("words", "many")).alias("place", "w"))
+    named = named.select("asker", "lang", "place", F.col("w.words").alias("word"), F.col("w.many").alias("many"))
+    named = named.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts)).cast("int")).repartition("part")
+    same = Window.partitionBy("part", "lang", "word")
+    counts = named.withColumn("n", F.sum("many").over(same)).where(F.col("n") >= least).withColumns({
+        "first": F.row_number().over(same.orderBy("asker", "place")) == 1,
+        "id": F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")).cast("long"),
+    })
+    found = written(counts.drop("many"), "frequent")
+    before, rows = 0, []
+    for row in found.groupBy("part").agg(F.max("id").alias("words")).orderBy("part").collect():
+        rows.append((row.part, before))
+        before += row.words
+    offsets = blocks.sparkSession.createDataFrame(rows, "part int, before long")
+    found = found.join(F.broadcast(offsets), "part").withColumn("id", F.col("id") + F.col("before")).drop("part", "before")
+    return found, max(1, (before.bit_length() + 7) // 8)
+
+
+def id_blocks(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Blocks whose frequent words have their ids: ``ids`` (64-bit, of the block's list) and ``size`` ``codes`` into it; 0 for all else."""
 
     def recode(block: pa.Table, found: pa.Table) -> pa.Table:
-        n = found.num_rows
-        codes = np.frombuffer(block["codes"][0].as_py(), "<i4")
-        to = np.zeros(max(int(codes.max(initial=0)), int(found["place"].to_numpy().max(initial=0)) + 1) + 1, np.int32)
-        to[found["place"].to_numpy() + 1] = np.arange(1, n + 1)
+        codes = unpacked(block["codes"][0].as_py(), block["size"][0].as_py())
+        found = found.sort_by("place")
+        to = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+        to[found["place"].to_numpy() + 1] = np.arange(1, found.num_rows + 1)
         ids = np.concatenate([[-1], found["id"].to_numpy()]).astype("<i8")
-        return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([to[codes].astype("<i4").tobytes()], pa.binary())})
+        return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()), "size": block["size"], "codes": pa.array([packed(to[codes])], pa.binary())})
 
-    kept = blocks.select("block", "codes")
-    return written(kept.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(recode, "ids binary, codes binary"), "ids")
+    kept = blocks.select("block", "size", "codes").groupBy("block")
+    answers = frequent.select("asker", "place", "id").groupBy("asker")
+    return written(kept.cogroup(answers).applyInArrow(recode, "ids binary, size bigint, codes binary"), "ids")
 
 
 # ------------------------------------------------------------------ counting
 
 
 class HatTrie:
-    """Counts of phrases of ``length`` word ids, given as bytes of 8 a word, most significant first."""
+    """Counts of phrases of word ids, given as ``width`` bytes a word, most significant first."""
 
-    def __init__(self, length: int, burst: int = BURST, held: int = HELD):
-        self.length, self.burst, self.held = length, burst, held
+    def __init__(self, width: int, burst: int = BURST):
+        self.width, self.burst = width, burst
         #: First word -> container (rest -> count), or a node of the same kind for the next word.
         self.root: dict[bytes, _Container | _Node] = {}
         self.size = 0
 
     def add(self, phrases: list[bytes], counts: list[int]) -> None:
         """Add different phrases in order of their bytes."""
-        i = 0
-        while i < len(phrases):
-            first, j = phrases[i][:8], i + 1
-            while j < len(phrases) and phrases[j].startswith(first):
-                j += 1
-            tree = self.root.get(first) or _Container()
-            before = tree.size
-            tree = tree.add([p[8:] for p in phrases[i:j]], counts[i:j], self.burst)
-            self.root[first] = tree
-            self.size += tree.size - before
-            i = j
+        self.size += _add_below(self.root, phrases, counts, self.width, self.burst)
 
     def spill(self, down_to: int) -> Iterator[tuple[list[bytes], list[int]]]:
         """Whole subtrees, the largest first, as sorted runs, until no more than ``down_to`` phrases are held."""
@@ -156,6 +185,21 @@ class HatTrie:
             yield phrases, counts
 
 
+def _add_below(trees: dict, phrases: list[bytes], counts: list[int], width: int, burst: int) -> int:
+    """Give each run of phrases with the same first word to that word's tree; how many phrases are new."""
+    i = new = 0
+    while i < len(phrases):
+        first, j = phrases[i][:width], i + 1
+        while j < len(phrases) and phrases[j].startswith(first):
+            j += 1
+        tree = trees.get(first) or _Container()
+        before = tree.size
+        tree = trees[first] = tree.add([p[width:] for p in phrases[i:j]], counts[i:j], width, burst)
+        new += tree.size - before
+        i = j
+    return new
+
+
 class _Container:
     def __init__(self):
         self.counts: dict[bytes, int] = {}
@@ -164,17 +208,16 @@ class _Container:
     def size(self) -> int:
         return len(self.counts)
 
-    def add(self, rests: list[bytes], counts: list[int], burst: int) -> _Container | _Node:
+    def add(self, rests: list[bytes], counts: list[int], width: int, burst: int) -> _Container | _Node:
         held = self.counts
         get = held.get
         for r, n in zip(rests, counts, strict=True):
             held[r] = get(r, 0) + n
         # The last word of a phrase is never a node of its own.
-        if len(held) <= burst or len(rests[0]) <= 8:
+        if len(held) <= burst or len(rests[0]) <= width:
             return self
-        node = _Node()
         in_order = sorted(held.items())
-        return node.add([r for r, _ in in_order], [n for _, n in in_order], burst)
+        return _Node().add([r for r, _ in in_order], [n for _, n in in_order], width, burst)
 
     def items(self) -> Iterator[tuple[bytes, int]]:
         return iter(sorted(self.counts.items()))
@@ -185,17 +228,8 @@ class _Node:
         self.trees: dict[bytes, _Container | _Node] = {}
         self.size = 0
 
-    def add(self, rests: list[bytes], counts: list[int], burst: int) -> _Node:
-        i = 0
-        while i < len(rests):
-            first, j = rests[i][:8], i + 1
-            while j < len(rests) and rests[j].startswith(first):
-                j += 1
-            tree = self.trees.get(first) or _Container()
-            before = tree.size
-            tree = self.trees[first] = tree.add([r[8:] for r in rests[i:j]], counts[i:j], burst)
-            self.size += tree.size - before
-            i = j
+    def add(self, rests: list[bytes], counts: list[int], width: int, burst: int) -> _Node:
+        self.size += _add_below(self.trees, rests, counts, width, burst)
         return self
 
     def items(self) -> Iterator[tuple[bytes, int]]:
@@ -204,6 +238,16 @@ class _Node:
                 yield first + rest, n
 
 
+def as_bytes(ids: np.ndarray, width: int) -> bytes:
+    """Word ids as ``width`` bytes each, most significant first."""
+    return ids.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
+def as_ids(data: bytes, width: int) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return np.pad(flat, ((0, 0), (8 - width, 0))).view(">i8").ravel().astype(np.int64)
+
+
 def hashes(ids: np.ndarray, bits: int) -> np.ndarray:
     """A place in a bitmap for each row of word ids."""
     h = np.zeros(len(ids), np.uint64)
@@ -214,14 +258,14 @@ def hashes(ids: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bitmap(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
+def bitmap(frequent: DataFrame, length: int, width: int, bits: int) -> np.ndarray:
     """Bits of the phrases of ``frequent`` (``phrase`` binary): built by tasks, of the same size whatever there is."""
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = np.zeros(1 << bits, bool)
         for batch in batches:
             data = b"".join(batch["phrase"].to_pylist())
-            here[hashes(np.frombuffer(data, ">i8").reshape(-1, length), bits)] = True
+            here[hashes(as_ids(data, width).reshape(-1, length), bits)] = True
         words = np.packbits(here).view(">i8")
         at = np.flatnonzero(words)
         yield pa.record_batch({"at": pa.array(at, pa.int32()), "bits": pa.array(words[at].astype(np.int64), pa.int64())})
@@ -237,12 +281,14 @@ def _has(bits_of: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits_of[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def counted(blocks: DataFrame, shorter: DataFrame, length: int, least: int, bits: int = BITS, burst: int = BURST, held: int = HELD) -> DataFrame:
-    """``phrase`` (8 bytes a word id) and ``n`` of all phrases of ``length`` words with ``n`` of at least ``least``, written.
+def counted(
+    blocks: DataFrame, shorter: DataFrame, length: int, width: int, least: int, bits: int = BITS, burst: int = BURST, held: int = HELD
+) -> DataFrame:
+    """``phrase`` (``width`` bytes a word id) and ``n`` of all phrases of ``length`` words with ``n`` of at least ``least``, written.
 
     ``shorter`` holds the frequent phrases of one word less.
     """
-    known = blocks.sparkSession.sparkContext.broadcast(bitmap(shorter, length - 1, bits))
+    known = blocks.sparkSession.sparkContext.broadcast(bitmap(shorter, length - 1, width, bits))
 
     def different(ids: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[int]]:
         """Different phrases of a block in order of their bytes, and their numbers."""
@@ -258,12 +304,12 @@ def counted(blocks: DataFrame, shorter: DataFrame, length: int, least: int, bits
         first = np.ones(len(words), bool)
         first[1:] = (words[1:] != words[:-1]).any(axis=1)
         start = np.flatnonzero(first)
-        data = words[start].astype(">i8").tobytes()
-        step = 8 * length
+        data = as_bytes(words[start], width)
+        step = width * length
         return [data[i : i + step] for i in range(0, len(data), step)], np.diff(start, append=len(words)).tolist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(length, burst, held)
+        trie = HatTrie(width, burst)
 
         def runs(down_to: int) -> Iterator[pa.RecordBatch]:
             phrases, counts = [], []
@@ -277,18 +323,22 @@ def counted(blocks: DataFrame, shorter: DataFrame, length: int, least: int, bits
                 yield run(phrases, counts)
 
         def run(phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-            return pa.record_batch({"prefix": pa.array([p[:16] for p in phrases], pa.binary()), "phrase": pa.array(phrases, pa.binary()), "n": pa.array(counts, pa.int64())})
+            return pa.record_batch({"phrase": pa.array(phrases, pa.binary()), "n": pa.array(counts, pa.int64())})
 
         for batch in batches:
-            for ids, codes in zip(batch["ids"].to_pylist(), batch["codes"].to_pylist(), strict=True):
-                trie.add(*different(np.frombuffer(ids, "<i8"), np.frombuffer(codes, "<i4")))
+            for ids, size, codes in zip(*(batch[c].to_pylist() for c in ("ids", "size", "codes")), strict=True):
+                trie.add(*different(np.frombuffer(ids, "<i8"), unpacked(codes, size)))
                 if trie.size > held:
                     yield from runs(held // 2)
         yield from runs(0)
 
-    runs = blocks.select("ids", "codes").mapInArrow(count, "prefix binary, phrase binary, n bigint")
-    # One shuffle, by prefix: the whole phrase of two words.
-    merged = runs.repartition("prefix").groupBy("prefix", "phrase")
+    runs = blocks.select("ids", "size", "codes").mapInArrow(count, "phrase binary, n bigint")
+    if length > 2:
+        # One shuffle, by prefix, serves the merge as well.
+        prefix = F.substring("phrase", 1, 2 * width)
+        merged = runs.repartition(prefix).withColumn("prefix", prefix).groupBy("prefix", "phrase")
+    else:
+        merged = runs.groupBy("phrase")
     return written(merged.agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("phrase", "n"), f"phrases-{length}")
 
 
@@ -298,9 +348,9 @@ def counted(blocks: DataFrame, shorter: DataFrame, length: int, least: int, bits
 SCORE = "cast(1000 as decimal(38,0)) * cast(a as decimal(19,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
 
 
-def _words(phrase: Column, first: Column | int, many: Column | int) -> Column:
+def _words(phrase: Column, width: int, first: Column | int, many: Column | int) -> Column:
     """Some of a phrase's words, as bytes."""
-    return F.substring(phrase, 8 * F.lit(first) + 1, 8 * F.lit(many))
+    return F.substring(phrase, width * F.lit(first) + 1, width * F.lit(many))
 
 
 def collocations(
@@ -315,32 +365,31 @@ def collocations(
     then the phrase's bytes. Null texts are empty, null languages ``und``; every row counts, repeated ones too; other columns are not used.
     """
     blocks = word_blocks(df, lang_col, text_col)
-    named = blocks.select("lang", F.explode(F.arrays_zip("words", "many")).alias("w"))
-    all_words = written(named.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.many").alias("n")), "all-words")
-    totals = all_words.groupBy("lang").agg(F.sum("n").alias("total"))
-    # Ids are given once and written: the same in all that follows.
-    words = written(all_words.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
-    ids = id_blocks(blocks, words)
-    level = words.select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("phrase"), "n")
+    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("many", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total"))
+    frequent, width = frequent_words(blocks, least)
+    words = frequent.where("first")
+    ids = id_blocks(blocks, frequent)
+    one = F.unhex(F.lpad(F.hex("id"), 2 * width, "0"))
+    level = words.select(one.alias("phrase"), "n")
     levels = [level]
     for length in range(2, longest + 1):
-        level = counted(ids, level, length, least, **sizes)
+        level = counted(ids, level, length, width, least, **sizes)
         levels.append(level)
     known = levels[0]
     for more in levels[1:]:
         known = known.union(more)
 
     # A longer phrase that takes the place of a shorter one is found among those of one word more: those between are at least as frequent.
-    size = (F.length("phrase") / 8).cast("int")
+    size = (F.length("phrase") / width).cast("int")
     found = written(known.where(size > 1), "found")
     longer = found.where(size > 2).select(
-        F.explode(F.array(_words(F.col("phrase"), 0, size - 1), _words(F.col("phrase"), 1, size - 1))).alias("phrase"), F.col("n").alias("more")
+        F.explode(F.array(_words(F.col("phrase"), width, 0, size - 1), _words(F.col("phrase"), width, 1, size - 1))).alias("phrase"), F.col("n").alias("more")
     )
     longer = longer.groupBy("phrase").agg(F.max("more").alias("more"))
     kept = found.join(longer, "phrase", "left").where(F.col("more").isNull() | (100 * F.col("more") < percent * F.col("n"))).drop("more")
 
-    spelled = kept.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: _words(F.col("phrase"), i, 1))).alias("place", "one"))
-    names = words.select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("one"), "lang", "word")
+    spelled = kept.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: _words(F.col("phrase"), width, i, 1))).alias("place", "one"))
+    names = words.select(one.alias("one"), "lang", "word")
     spelled = spelled.join(names, "one").groupBy("phrase").agg(
         F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("text")
     )
@@ -349,7 +398,7 @@ def collocations(
         return known.select(F.col("phrase").alias(name), F.col("n").alias(n))
 
     cuts = kept.join(spelled, "phrase").join(totals, "lang").select("lang", "phrase", "text", F.col("n").alias("a"), F.col("total").alias("n"), F.explode(F.sequence(F.lit(1), size - 1)).alias("cut"))
-    cuts = cuts.withColumns({"left": _words(F.col("phrase"), 0, F.col("cut")), "right": _words(F.col("phrase"), F.col("cut"), size - F.col("cut"))})
+    cuts = cuts.withColumns({"left": _words(F.col("phrase"), width, 0, F.col("cut")), "right": _words(F.col("phrase"), width, F.col("cut"), size - F.col("cut"))})
     cuts = cuts.join(counts_of("left", "l"), "left").join(counts_of("right", "r"), "right")
     best = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase", "text", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
     scored = best.select("lang", F.col("text").alias("phrase"), "a", "best.l", "best.r", "n", "best.score")

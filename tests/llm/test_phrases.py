@@ -55,7 +55,7 @@ def rows(seed=1, n=150):
     "args", [{"least": 5, "percent": 100}, {"least": 2, "percent": 60, "top": 40, "longest": 4}, {"least": 9, "percent": 50, "bits": 6, "burst": 3, "held": 20}, {"least": 10**6}]
 )
 def test_equals_brute_force(spark, args, monkeypatch):
-    monkeypatch.setattr(phrases, "BLOCK_CHARS", 700)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 700)
     made = rows()
     df = spark.createDataFrame([(None, lang, text, "clash", "clash") for lang, text in made], SCHEMA).repartition(3)
     got = phrases.collocations(df, **args)
@@ -67,7 +67,7 @@ def test_equals_brute_force(spark, args, monkeypatch):
 
 def test_trie_counts_bursts_and_spills():
     rng, want, got = random.Random(3), Counter(), Counter()
-    trie = phrases.HatTrie(4, burst=5, held=10)
+    trie = phrases.HatTrie(8, burst=5)
     for _ in range(60):
         block = Counter(tuple(rng.randrange(4) for _ in range(4)) for _ in range(rng.randrange(30)))
         want.update(block)
@@ -85,6 +85,12 @@ def test_trie_counts_bursts_and_spills():
     assert got == {np.array(p, ">i8").tobytes(): n for p, n in want.items()} and trie.size == 0
 
 
+def test_ids_and_bytes():
+    ids = np.array([[1, 255], [256, 70000], [2**39, 0]])
+    assert phrases.as_ids(phrases.as_bytes(ids, 5), 5).reshape(-1, 2).tolist() == ids.tolist()
+    assert phrases.as_bytes(np.array([[258]]), 2) == b"\x01\x02"
+
+
 def test_scores_beyond_64_bits(spark):
     a, n, left, right = 9_000_000_000_000_001, 8_000_000_000_000_003, 9_000_000_000_000_007, 1_000_003
     row = spark.sql(f"SELECT {a}L a, {n}L n, {left}L l, {right}L r").withColumn("score", F.expr(phrases.SCORE)).first()
