@@ -28,12 +28,16 @@ from docwarden.llm.common import free_name, written
 #: Characters of a leaf; texts without a longer run of non-white space are encoded whole where they are read.
 LEAF = 1 << 14
 #: Characters of text that are encoded in one call of the library.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
+#: Words remembered per Python worker; those not met for long are forgotten, which changes no result.
+REMEMBERED = 800_000
 #: Tokens of either side in the first window around a join.
 WINDOW = 4
 
-# Fixed value: a pre-tokenizer's pattern that keeps no white space, so that texts may be cut in front of a space.
+# Fixed value: a pre-tokenizer's pattern that keeps no white space, so that texts may be cut at spaces.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that such a pattern keeps apart from the letters before them.
+MARKS = ".,;:!?"
 PART = "key long, part int, words array<string>, joined boolean, open boolean, special int"
 
 
@@ -67,9 +71,17 @@ class TreePairs:
         self.open_model = Tokenizer.from_str(json.dumps(bare | {"model": model | {"end_of_word_suffix": None}}))
         self.at_spaces = self._cut_at_spaces(told)
         self.token = self.tokenizer.id_to_token
+        # What half of the memory holds becomes the older half when it is full; words met again move back.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = {m: np.array(self._whole([m])[0], "<u4").tobytes() for m in ["", *MARKS]}
+        names = [self.token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array([t.endswith(self.suffix) for t in names])
+        self.at_spaces = self.at_spaces and bool(self.suffix)
 
     def _cut_at_spaces(self, told: dict) -> bool:
-        """True if a text's ids are those of its parts, cut in front of spaces."""
+        """True if a text's ids are those of its words, cut at spaces and line ends."""
         normal = told.get("normalizer") or {"normalizers": []}
         steps = [n["type"] for n in normal.get("normalizers", [normal])]
         split, *_ = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
@@ -85,25 +97,54 @@ class TreePairs:
         size = 0
         for text in texts:
             text = text or ""
-            if len(text) > AT_ONCE and self.at_spaces:
-                yield from (np.array(ids, "<u4") for ids in self._whole(block))
+            if size + len(text) > AT_ONCE and block:
+                yield from self._block(block)
                 block, size = [], 0
-                yield np.concatenate([np.array(self._whole([p])[0], "<u4") for p in self._parts(text)])
-                continue
             block.append(text)
             size += len(text)
-            if size >= AT_ONCE:
-                yield from (np.array(ids, "<u4") for ids in self._whole(block))
-                block, size = [], 0
-        yield from (np.array(ids, "<u4") for ids in self._whole(block))
-
-    def _parts(self, text: str) -> Iterator[str]:
-        at = 0
-        while at < len(text):
-            end = text.find(" ", at + AT_ONCE)
-            end = len(text) if end < 0 else end
-            yield text[at:end]
-            at = end
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Where texts may be cut at spaces, they are put together from their words, and a word is encoded once."""
+        if not self.at_spaces:
+            yield from (np.array(ids, "<u4") for ids in self._whole(texts))
+            return
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        if len(self.words) + len(words) > REMEMBERED // 2:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        new = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
+        self._learn([w for w in new if w not in older])
+        # A dict of the words at hand fits the processor's caches, the memory of all words does not.
+        get = {w: known[w] for w in words}.__getitem__
+        for parts in split:
+            yield np.frombuffer(b"".join(map(get, parts)), "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words. Letters of ASCII, with one mark behind them at most, are lower-cased and split here."""
+        known, plain, other = self.words, [], []
+        for w in words:
+            bare = w[:-1] if w[-1:] in MARKS else w
+            (plain if bare.isalpha() and bare.isascii() else other).append(w)
+        for i in range(0, len(other), 10_000):
+            some = other[i : i + 10_000]
+            known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(some, self._whole(some), strict=True))
+        if len(self.letters) > REMEMBERED:
+            self.letters = {}
+        letters = self.letters
+        cut = [(w[:-1].lower(), w[-1]) if w[-1] in MARKS else (w.lower(), "") for w in plain]
+        new = list({b for b, _ in cut if b not in letters})
+        if new:
+            ids = np.array(self.closed_model.encode(new, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+            # A word ends with the one token that has the ending of words.
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            data = ids.tobytes()
+            letters.update(zip(new, (data[i:j] for i, j in zip([0, *stop.tolist()], stop.tolist())), strict=True))
+        marks = self.marks
+        known.update((w, letters[b] + marks[m]) for w, (b, m) in zip(plain, cut, strict=True))
 
     def leaves(self, text: str, leaf: int) -> Iterator[tuple[list[str] | None, bool, bool, int | None]]:
         """The parts of a text in order: words (in the characters of the vocabulary), whether the first continues the part

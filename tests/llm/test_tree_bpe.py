@@ -73,11 +73,17 @@ def test_joins_encode_windows_not_the_whole(monkeypatch):
     assert max(seen) < 500
 
 
-def test_long_texts_are_cut_at_spaces(plain, monkeypatch):
+def test_texts_are_put_together_from_words(plain, monkeypatch):
     monkeypatch.setattr(treebpe, "AT_ONCE", 50)
+    monkeypatch.setattr(treebpe, "REMEMBERED", 7)
     text = "Some words, and\n\n more  words. " * 40 + "x" * 200 + " ́a  b"
-    (found,) = treebpe.TreePairs(PATH).encode([text])
-    assert found.tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts = [text, *ODD_TEXTS, *unsplit_texts(), "a\x1c \x85b <|endoftext|>x \u2003y\r\n\tz <|end of|>", text]
+    for at_spaces in (True, False):
+        pairs = treebpe.TreePairs(PATH)
+        assert pairs.at_spaces
+        pairs.at_spaces = at_spaces
+        found = [x.tolist() for x in pairs.encode(texts)]
+        assert found == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_query_equals_the_library(spark, plain):
