@@ -118,8 +118,7 @@ def frequent_words(blocks: DataFrame, least: int, parts: int = PARTS) -> tuple[D
     """The frequent words of each block: ``asker``, ``place``, ``lang``, ``word``, ``n`` in the language, ``id``, and ``first`` in one
     row of each word; written. And the bytes that hold an id.
 
-    One shuffle, to parts by hash of the word, counts words and numbers the frequent ones from 1 on without gaps; of it
-    only the parts' sizes reach the driver.
+    One shuffle, to parts by hash of the word, counts words and numbers the frequent ones: place in the part times parts, and the part.
     """
     named = blocks.select(F.col("block").alias("asker"), "lang", F.posexplode(F.arrays_zip("words", "many")).alias("place", "w"))
     named = named.select("asker", "lang", "place", F.col("w.words").alias("word"), F.col("w.many").alias("many"))
@@ -127,16 +126,11 @@ def frequent_words(blocks: DataFrame, least: int, parts: int = PARTS) -> tuple[D
     same = Window.partitionBy("part", "lang", "word")
     counts = named.withColumn("n", F.sum("many").over(same)).where(F.col("n") >= least).withColumns({
         "first": F.row_number().over(same.orderBy("asker", "place")) == 1,
-        "id": F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")).cast("long"),
+        "id": F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")).cast("long") * parts + F.col("part"),
     })
-    found = written(counts.drop("many"), "frequent")
-    before, rows = 0, []
-    for row in found.groupBy("part").agg(F.max("id").alias("words")).orderBy("part").collect():
-        rows.append((row.part, before))
-        before += row.words
-    offsets = blocks.sparkSession.createDataFrame(rows, "part int, before long")
-    found = found.join(F.broadcast(offsets), "part").withColumn("id", F.col("id") + F.col("before")).drop("part", "before")
-    return found, max(1, (before.bit_length() + 7) // 8)
+    found = written(counts.drop("many", "part"), "frequent")
+    highest = found.agg(F.max("id")).first()[0] or 0
+    return found, max(1, (highest.bit_length() + 7) // 8)
 
 
 def id_blocks(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
