@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ WINDOW = 4
 
 # Fixed value: a pre-tokenizer's pattern that keeps no white space, so that texts may be cut at spaces.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Marks that such a pattern keeps apart from the letters before them.
-MARKS = ".,;:!?"
+#: Behind the Latin letters that have no other normal form.
+LATIN_END = "\u0250"
 PART = "key long, part int, words array<string>, joined boolean, open boolean, special int"
 
 
@@ -75,7 +76,8 @@ class TreePairs:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        self.marks = {m: np.array(self._whole([m])[0], "<u4").tobytes() for m in ["", *MARKS]}
+        self.marks = {"": b""}
+        self.mapped = {i: c for i, c in enumerate(alphabet)}
         names = [self.token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.ends = np.array([t.endswith(self.suffix) for t in names])
         self.at_spaces = self.at_spaces and bool(self.suffix)
@@ -124,27 +126,34 @@ class TreePairs:
             yield np.frombuffer(b"".join(map(get, parts)), "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words. Letters of ASCII, with one mark behind them at most, are lower-cased and split here."""
+        """Remember the ids of words. Latin letters with marks behind them are lower-cased here and split from the marks; of them
+        composed letters stay as they are in normal form C."""
         known, plain, other = self.words, [], []
         for w in words:
-            bare = w[:-1] if w[-1:] in MARKS else w
-            (plain if bare.isalpha() and bare.isascii() else other).append(w)
-        for i in range(0, len(other), 10_000):
-            some = other[i : i + 10_000]
-            known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(some, self._whole(some), strict=True))
-        if len(self.letters) > REMEMBERED:
-            self.letters = {}
-        letters = self.letters
-        cut = [(w[:-1].lower(), w[-1]) if w[-1] in MARKS else (w.lower(), "") for w in plain]
-        new = list({b for b, _ in cut if b not in letters})
+            bare = w.rstrip(punctuation)
+            low = bare.lower()
+            if low.isalpha() and (low.isascii() or max(low) < LATIN_END):
+                plain.append((w, low, w[len(bare) :]))
+            else:
+                other.append(w)
+        for some, into in ((other, known), (list({m for _, _, m in plain if m not in self.marks}), self.marks)):
+            for i in range(0, len(some), 10_000):
+                part = some[i : i + 10_000]
+                into.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, self._whole(part), strict=True))
+        letters, marks = self.letters, self.marks
+        if len(letters) > REMEMBERED // 2:
+            letters = self.letters = {}
+        new = list({b for _, b, _ in plain if b not in letters})
         if new:
-            ids = np.array(self.closed_model.encode(new, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+            mapped = [b if b.isascii() else b.encode().decode("latin-1").translate(self.mapped) for b in new]
+            ids = np.array(self.closed_model.encode(mapped, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
             # A word ends with the one token that has the ending of words.
-            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             data = ids.tobytes()
-            letters.update(zip(new, (data[i:j] for i, j in zip([0, *stop.tolist()], stop.tolist())), strict=True))
-        marks = self.marks
-        known.update((w, letters[b] + marks[m]) for w, (b, m) in zip(plain, cut, strict=True))
+            letters.update(zip(new, (data[i:j] for i, j in zip([0, *stop], stop)), strict=True))
+        known.update((w, letters[b] + marks[m]) for w, b, m in plain)
+        if len(marks) > REMEMBERED // 8:
+            self.marks = {"": b""}
 
     def leaves(self, text: str, leaf: int) -> Iterator[tuple[list[str] | None, bool, bool, int | None]]:
         """The parts of a text in order: words (in the characters of the vocabulary), whether the first continues the part

@@ -77,7 +77,7 @@ def test_texts_are_put_together_from_words(plain, monkeypatch):
     monkeypatch.setattr(treebpe, "AT_ONCE", 50)
     monkeypatch.setattr(treebpe, "REMEMBERED", 7)
     text = "Some words, and\n\n more  words. " * 40 + "x" * 200 + " ́a  b"
-    texts = [text, *ODD_TEXTS, *unsplit_texts(), "a\x1c \x85b <|endoftext|>x \u2003y\r\n\tz <|end of|>", text]
+    texts = [text, *ODD_TEXTS, *unsplit_texts(), "İstanbul Straße ŉa ªº µm Ǆabc' x's. don't!? _a_ a._- ÀÉÎõü$$$ e\u0301a ſ K Ω " + "".join(map(chr, range(33, 0x260))) + " " + " ".join(map(chr, range(33, 0x260))) + " a\x1c \x85b <|endoftext|>x \u2003y\r\n\tz <|end of|>", text]
     for at_spaces in (True, False):
         pairs = treebpe.TreePairs(PATH)
         assert pairs.at_spaces
