@@ -21,6 +21,7 @@ from docwarden.sources import audit as AU
 from docwarden.sources import documents as SD
 from docwarden.sources import dimensions as D
 from docwarden.streaming.admission import admit_stream, closing_mark
+from docwarden.streaming.guard import guard_stream
 from docwarden.workspace import work_folder
 
 from . import views as W
@@ -252,6 +253,13 @@ _admission(
 )
 
 
+def _stateful(spark: SparkSession) -> SparkSession:
+    """A session of its own, because state of this kind needs another store than the default."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 @query(
     "admit_stream",
     _admission_sql(TIGHT) + " SELECT request_id, CASE code WHEN 0 THEN NULL ELSE code = 1 END AS allowed FROM s WHERE k > 0",
@@ -259,9 +267,7 @@ _admission(
 def admit_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream, closed by a mark behind the last one, so that every row is decided when the run ends."""
     out = work_folder(spark, "stream")
-    # A session of its own, because state of this kind needs another store than the default.
-    own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = _stateful(spark)
     events = W.table(own, sf, "events")
     W.as_requests(events).agg(F.max("ts").alias("ts")).select(
         (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")
@@ -292,13 +298,17 @@ _FILES_SQL = (
 )
 
 
-def _screened(spark: SparkSession, sf: str) -> DataFrame:
+def _guarded_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as the text and the answer of the event of its number, whose user all events limit; marked bytes come with it."""
-    rows = W.documents(spark, sf).selectExpr(
+    return W.documents(spark, sf).selectExpr(
         "doc_id AS request_id", f"{W.PLANTED} AS t", "source AS user_id", f"{W.ACTION} AS action",
         f"CAST({W.MARKED} AS BINARY) AS content", f"{W.FILENAME} AS filename", f"{W.MIME} AS mime_type",
         "timestamp_micros(1704067200000000 + doc_id * 3600000000) AS ts",
     )
+
+
+def _screened(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _guarded_rows(spark, sf)
     return screen_requests(rows, "t", "t", _GUARD_SETTINGS, W.requests(spark, sf), content_col="content", kind_col="kind")
 
 
@@ -321,19 +331,55 @@ _GUARD_CTES = (
 )
 
 
-@query(
-    "guard_requests",
+_GUARD_SQL = (
     f"{_GUARD_CTES} SELECT doc_id, passed, NOT allowed AS rate_limited, array_to_string(errors, '|') AS errors, n_warnings,"
     " CASE WHEN NOT allowed THEN deny WHEN NOT file_ok THEN 'Input validation failed' WHEN NOT is_safe THEN 'Prompt injection detected'"
-    " WHEN len(blocked) > 0 THEN 'Output blocked' ELSE 'OK' END AS message, risk_score FROM x",
+    " WHEN len(blocked) > 0 THEN 'Output blocked' ELSE 'OK' END AS message, risk_score FROM x"
 )
-def guard_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return _screened(spark, sf).select(
+
+
+def _verdicts(guarded: DataFrame) -> DataFrame:
+    return guarded.select(
         F.col("request_id").alias("doc_id"), F.size("all_warnings").alias("n_warnings"), "passed", "rate_limited", F.array_join("all_errors", "|").alias("errors"), "message",
         F.round("risk_score", 6).alias("risk_score"),
     )
 
 
+@query("guard_requests", _GUARD_SQL)
+def guard_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(_screened(spark, sf))
+
+
+@query("guard_stream", _GUARD_SQL)
+def guard_stream_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests of ``guard_requests`` as they arrive, with all events as their traffic, each stream closed by a mark."""
+    out = work_folder(spark, "guard")
+    own = _stateful(spark)
+    events = W.requests(own, sf)
+    ends = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    ends.write.parquet(f"{out}/closing")
+    # A request comes at the time of its event; those without one before all others.
+    times = events.select("request_id", "ts", "kind")
+    arriving = _guarded_rows(own, sf).drop("ts").join(times, "request_id", "left")
+    first = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    arriving.withColumns({"ts": F.coalesce("ts", first), "kind": F.lit("request")}).write.parquet(f"{out}/requests")
+    requests = own.readStream.schema(own.read.parquet(f"{out}/requests").schema).parquet(f"{out}/requests")
+    source = W.table(own, sf, "events")
+    traffic = W.as_requests(own.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*"))
+    marks = own.readStream.schema("ts timestamp").parquet(f"{out}/closing")
+    guarded = guard_stream(
+        requests.unionByName(closing_mark(marks, requests)), "t", "t", _GUARD_SETTINGS, traffic.unionByName(closing_mark(marks, traffic)),
+        kind_col="kind", content_col="content",
+    )
+    rows = _verdicts(guarded)
+    started = (
+        rows.writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
     return audit_screened(_screened(spark, sf), _GUARD_SETTINGS, input_col="t")
 

@@ -29,6 +29,20 @@ def screen_inputs(df: DataFrame, text_col: str, settings: Settings = Settings())
     )
 
 
+def screen_texts(df: DataFrame, text_col: str, output_col: str | None, settings: Settings, content_col: str | None = None) -> DataFrame:
+    """What the rows of requests tell by themselves: input, injection, file and output checks. Works on streams as well."""
+    screened = screen_inputs(df, text_col, settings)
+    if content_col:
+        names = {f"{c}_col": c if c in df.columns else None for c in ("filename", "mime")}
+        names["mime_col"] = "mime_type" if "mime_type" in df.columns else None
+        screened = validate_documents(screened, content_col, **names, limits=settings.limits, prefix="file_")
+    if output_col:
+        screened = filter_output(
+            screened, output_col, rules=settings.rules, enabled=settings.filter_enabled, prefix="output_"
+        )
+    return screened
+
+
 def screen_requests(
     df: DataFrame,
     text_col: str,
@@ -45,15 +59,7 @@ def screen_requests(
     ``traffic_columns``); its decisions under ``settings.rates`` are joined by ``request_col``. ``content_col`` names the bytes
     of a file that comes with the request and is validated too.
     """
-    screened = screen_inputs(df, text_col, settings)
-    if content_col:
-        names = {f"{c}_col": c if c in df.columns else None for c in ("filename", "mime")}
-        names["mime_col"] = "mime_type" if "mime_type" in df.columns else None
-        screened = validate_documents(screened, content_col, **names, limits=settings.limits, prefix="file_")
-    if output_col:
-        screened = filter_output(
-            screened, output_col, rules=settings.rules, enabled=settings.filter_enabled, prefix="output_"
-        )
+    screened = screen_texts(df, text_col, output_col, settings, content_col)
     if traffic is not None:
         decided = admit_requests(traffic, seq_col=request_col, limits=settings.rates, **traffic_columns)
         decided = decided.select(request_col, "allowed", F.col("message").alias("deny_message"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,11 +55,12 @@ class AdmissionProcessor(StatefulProcessor):
         due: list[list[int]] = []
         next_at = None
         for bucket in buckets:
-            if bucket * BUCKET_US >= mark:
+            if bucket * BUCKET_US > mark:
                 next_at = bucket * BUCKET_US if next_at is None else next_at
                 break
             rows = sorted(self._held(bucket))
-            later = [r for r in rows if r[0] >= mark]
+            # A row at the watermark is due: Spark takes it for late from now on.
+            later = [r for r in rows if r[0] > mark]
             due += rows[: len(rows) - len(later)]
             if not later:
                 self.waiting.removeKey((bucket,))
@@ -79,7 +80,8 @@ class AdmissionProcessor(StatefulProcessor):
             self.log.update((log.save(),))
         wake = (0 if log.is_blank() else log.expires_at()) if next_at is None else max(next_at, 1)
         if wake:
-            self.handle.registerTimer(max(wake, mark) // 1000 + 1)
+            # It fires in the batch in which the watermark reaches ``wake``; what came out later would be late.
+            self.handle.registerTimer(max(-(-wake // 1000) - 1, mark // 1000))
         if due:
             said = messages(self.limits)
             yield pd.DataFrame(
@@ -120,21 +122,33 @@ def admit_stream(
     limits: RateLimits = RateLimits(),
 ) -> DataFrame:
     """Decisions for a stream: ``user``, ``seq``, ``ts``, ``allowed``, ``message``, as the batch operator
-    gives them (rows without a user share one log here). A decision comes out once the watermark has passed its row; rows later than ``delay`` are
-    dropped and counted by Spark. ``seq_col`` must be integral. The session needs the RocksDB state store.
+    gives them; ``user`` is text. A decision comes out once the watermark has passed its row; rows later than ``delay`` are
+    dropped and counted by Spark. Rows without a user belong to no limit: they come out at once, undecided. ``seq_col`` must be
+    integral. The session needs the RocksDB state store. ``ts`` is an event time for operators that follow.
     """
     kind = F.col(kind_col) if kind_col else F.lit("request")
     rows = stream.select(
-        F.coalesce(F.col(user_col).cast("string"), F.lit("")).alias("user"),
+        F.col(user_col).cast("string").alias("user"),
         F.col(ts_col).cast("timestamp").alias("at"),
         micros(F.col(ts_col)).alias("ts_us"),
         F.when(kind == "release", 0).when(kind == CLOSING, 2).otherwise(1).alias("turn"),
         F.col(seq_col).cast("bigint").alias("seq"),
         F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)).alias("tokens"),
     ).withWatermark("at", delay)
-    return rows.groupBy("user").transformWithStateInPandas(
+    # Closing marks of no user go to a user of their own, so that they reach the watermark here as well.
+    owned = rows.withColumn("user", F.when(F.col("turn") == 2, F.coalesce("user", F.lit(""))).otherwise(F.col("user")))
+    decided = owned.where(_not_null("user", "at")).groupBy("user").transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limits),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
+        eventTimeColumnName="ts",
     )
+    unowned = rows.where(F.col("user").isNull() & (F.col("turn") < 2) & F.col("at").isNotNull())
+    none = {"allowed": F.lit(None).cast("boolean"), "message": F.lit(None).cast("string")}
+    return decided.union(unowned.select("user", "seq", F.col("at").alias("ts"), *(c.alias(n) for n, c in none.items())))
+
+
+def _not_null(column: str, event_time: str) -> Column:
+    """A condition that Spark does not move below the watermark on ``event_time``, which all rows must reach."""
+    return F.when(F.col(event_time).isNull(), F.lit(False)).otherwise(F.col(column).isNotNull())
