@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions.regex import py_strip
+from docwarden.operators.phrase_table import find_phrases
 from docwarden.functions.text import char_entropy, special_char_ratio
 from docwarden.functions.unicode import nfkc
 from docwarden.operators import detect as D
@@ -326,6 +327,23 @@ def detect_blocked_phrases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "detect_phrase_table",
+    f"{CTE}, n AS (SELECT doc_id, {_NORM} AS n FROM planted), rules AS (SELECT DISTINCT array_to_string(string_split(lower(text), ' ')[3:4], ' ') AS phrase,"
+    " ['critical', 'high', 'medium'][doc_id % 4 + 1] AS severity FROM documents WHERE doc_id % 4 < 3),"
+    " hits AS (SELECT doc_id, phrase, severity, strpos(n, phrase) - 1 AS pos FROM n JOIN rules ON contains(n, phrase) WHERE phrase <> '')"
+    " SELECT doc_id, count(phrase) AS n_threats, md5(coalesce(string_agg(pos || ':' || phrase || ':' || severity, '|' ORDER BY pos, phrase, severity), '')) AS threats"
+    " FROM n LEFT JOIN hits USING (doc_id) GROUP BY doc_id",
+)
+def detect_phrase_table(spark: SparkSession, sf: str) -> DataFrame:
+    """As many rules as documents: two words of each, a quarter of them of a severity that is none."""
+    severity = "element_at(array('critical', 'HIGH', 'medium', 'none'), cast(doc_id % 4 + 1 AS int))"
+    rules = table(spark, sf, "documents").selectExpr("array_join(slice(split(text, ' '), 3, 2), ' ') AS phrase", f"{severity} AS severity")
+    found = find_phrases(planted(spark, sf), "t", rules)
+    told = F.transform("threats", lambda t: F.concat_ws(":", t["start"].cast("string"), t["pattern_matched"], t["severity"]))
+    return found.select("doc_id", F.size("threats").cast("long").alias("n_threats"), F.md5(F.array_join(told, "|")).alias("threats"))
+
+
 def _one_injection_rule(name: str, rule) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = planted(spark, sf).select("doc_id", D.regex_threats("t", "lower(t)", rule).alias("h"))
