@@ -33,8 +33,10 @@ from .views import quoted
 
 @query("source_files")
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of the tables as documents, read whole and validated; none is of an allowed type."""
-    found = DO.validate_documents(SD.read_files(spark, sf, glob="*.parquet", recursive=True), mime_col=None)
+    """The files of the tables as documents, validated; none is of an allowed type. Those over the limit are not opened."""
+    limits = InputLimits()
+    read = SD.read_files(spark, sf, glob="*.parquet", recursive=True, max_bytes=int(limits.max_document_size_mb * 2**20))
+    found = DO.validate_documents(read, mime_col=None, limits=limits, size_col="size_bytes")
     return found.select("filename", "doc_type", "size_bytes", "is_url", F.md5("content").alias("digest"), "is_valid")
 
 
@@ -70,7 +72,7 @@ _DOCS = (
 
 @query(
     "document_facts",
-    f"WITH {_DOCS} SELECT doc_id, coalesce(strlen(content), strlen(text), strlen(uri), 0) AS document_size, false AS is_url,"
+    f"WITH {_DOCS} SELECT doc_id, coalesce(strlen(content), strlen(text), strlen(uri), 0) AS document_size, doc_id % 5 = 0 AS is_url,"
     " doc_type IN ('text/plain', 'text/markdown', 'text/html', 'text/csv', 'application/json') AS is_text_based,"
     " doc_type IN ('image/png', 'image/jpeg', 'image/webp', 'image/gif') AS is_image,"
     " doc_type IN ('audio/mpeg', 'audio/wav') AS is_audio, doc_type IN ('video/mp4', 'video/webm') AS is_video FROM d",

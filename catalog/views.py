@@ -139,7 +139,7 @@ def document_table(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", f"{DOC_TYPE} AS doc_type", "CASE WHEN doc_id % 5 > 1 THEN text END AS text",
         "CASE WHEN doc_id % 5 = 0 THEN 'http://d/' || doc_id END AS uri",
         "CASE WHEN doc_id % 5 = 1 THEN CAST(text AS BINARY) END AS content",
-        "CASE WHEN doc_id % 5 = 1 THEN 'bytes' END AS source", "n_chars",
+        "CASE WHEN doc_id % 5 = 1 THEN 'bytes' END AS source", "n_chars", "CASE WHEN doc_id % 5 < 2 THEN doc_id % 5 = 0 END AS is_url",
     )
 
 

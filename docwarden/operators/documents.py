@@ -134,27 +134,32 @@ def validate_documents(
     mime_col: str | None = "mime_type",
     limits: InputLimits = InputLimits(),
     prefix: str = "",
+    size_col: str | None = None,
 ) -> DataFrame:
     """Add ``is_valid``, ``resolved_mime``, ``errors`` and ``warnings``. One narrow stage.
 
-    The validated bytes are the input column itself, to be used where ``is_valid``.
+    The validated bytes are the input column itself, to be used where ``is_valid``. ``size_col`` names a size that is known
+    without them: a document of some size whose bytes are null was not opened. It is judged by size and file name, and is
+    never valid.
     """
     content = F.col(content_col)
+    size = f"octet_length({content_col})"
+    unopened = F.lit(False)
+    if size_col:
+        size = f"coalesce({size}, {size_col})"
+        unopened = content.isNull() & (F.coalesce(F.col(size_col), F.lit(0)) > 0)
     none = F.lit(None).cast("string")
     filename = F.col(filename_col) if filename_col else none
     given = F.col(mime_col) if mime_col else none
     mime = F.col(prefix + "resolved_mime")
     staged = df.withColumn(prefix + "resolved_mime", resolve_mime(content, filename, given))
-    staged = staged.withColumns(
-        {
-            prefix + "errors": F.array_compact(
-                F.array(
-                    size_error(f"octet_length({content_col})", limits), mime_error(mime, limits)
-                )
-            ),
-            prefix + "warnings": content_warnings(content, mime),
-        }
-    )
+    too_large = size_error(size, limits)
+    errors, warnings = F.array(too_large, mime_error(mime, limits)), content_warnings(content, mime)
+    if size_col:
+        not_read = F.when(unopened & too_large.isNull(), F.lit("Document was not read"))
+        errors = F.array(too_large, not_read, mime_error(mime, limits))
+        warnings = F.when(unopened, F.array().cast("array<string>")).otherwise(warnings)
+    staged = staged.withColumns({prefix + "errors": F.array_compact(errors), prefix + "warnings": warnings})
     return staged.withColumn(prefix + "is_valid", F.size(prefix + "errors") == 0)
 
 

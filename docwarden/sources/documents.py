@@ -42,21 +42,46 @@ def read_files(
     recursive: bool = False,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per file. A missing path is an error.
+    """One row per file; Spark's readers leave out empty ones. A missing path is an error.
 
-    ``max_bytes`` becomes a filter on the length, which the source applies before it opens a file;
-    queries that do not touch ``content`` never read the bytes.
+    Files of more than ``max_bytes``, or of more than Spark's reader takes, have their size and no ``content``: they are
+    not opened. The length is known before, so the source leaves them out of the scan that reads contents.
+    Queries that do not touch ``content`` open no file.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
+    return _from_files(_reader(spark.read, glob, recursive).load(path), _readable(spark, max_bytes))
+
+
+def stream_files(
+    spark: SparkSession,
+    path: str,
+    glob: str | None = None,
+    recursive: bool = False,
+    max_bytes: int | None = None,
+    max_files_per_trigger: int = 1000,
+) -> DataFrame:
+    """The same for files that arrive in a folder: each once. A file must not change after it has appeared."""
+    reader = _reader(spark.readStream, glob, recursive).option("maxFilesPerTrigger", str(max_files_per_trigger))
+    files = reader.schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return _from_files(files, _readable(spark, max_bytes))
+
+
+def _reader(read, glob: str | None, recursive: bool):
+    reader = read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def _readable(spark: SparkSession, max_bytes: int | None) -> int:
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    return limit if max_bytes is None else min(max_bytes, limit)
+
+
+def _from_files(files: DataFrame, max_bytes: int) -> DataFrame:
+    opened = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    left = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
     name = F.element_at(F.split("path", "/"), -1)
     mime = guess_mime(name)
     return _document(
-        files,
+        opened.union(left),
         ["path"],
         content=F.col("content"),
         doc_type=supported_type(mime),

@@ -42,7 +42,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.json").write_bytes(b"x" * 500)
     df = read_files(spark, str(tmp_path), max_bytes=100)
     rows = {r.filename: r for r in df.collect()}
-    assert set(rows) == {"a.pdf", "b.weird"}
+    assert {n: r.content is None for n, r in rows.items()} == {"a.pdf": False, "b.weird": False, "c.json": True}
+    assert rows["c.json"].size_bytes == 500
     assert rows["a.pdf"].doc_type == "application/pdf" and rows["a.pdf"].size_bytes == 6
     assert rows["b.weird"].doc_type == "text/plain" and rows["b.weird"].guessed_mime is None
     assert bytes(rows["b.weird"].content) == b"hello"
