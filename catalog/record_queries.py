@@ -15,6 +15,7 @@ from docwarden.operators import models as MO
 from docwarden.operators import run as RU
 from docwarden.operators import tasks as TA
 from docwarden.operators import verdict as V
+from docwarden.operators.admission_split import admit_requests_sliced
 from docwarden.plans.screening import audit_screened, process_tasks, screen_requests
 from docwarden.rules import AuditOptions, InputLimits, RateLimits, Settings
 from docwarden.sources import audit as AU
@@ -255,6 +256,19 @@ _admission(
 )
 
 
+_SPLIT = RateLimits(requests_per_minute=30, tokens_per_minute=140_000, concurrent_requests=12)
+
+
+@query(
+    "admit_requests_split",
+    _admission_sql(_SPLIT).replace(W.REQUESTS_CTE, W.BURSTS_CTE) + _ADMISSION_COLUMNS.format(c=12, m=30, h=None, t=140_000),
+)
+def admit_requests_split(spark: SparkSession, sf: str) -> DataFrame:
+    """One user owns nine tenths of the rows, in bursts; the user's slices are decided by tasks of their own."""
+    out = admit_requests_sliced(W.bursts(spark, sf), kind_col="kind", limits=_SPLIT)
+    return out.select("request_id", "allowed", "message")
+
+
 def _stateful(spark: SparkSession) -> SparkSession:
     """A session of its own, because state of this kind needs another store than the default."""
     own = spark.newSession()

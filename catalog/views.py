@@ -143,6 +143,16 @@ def document_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The same with three minutes of quiet behind every one and a half, and nine tenths of the rows owned by one user.
+_QUIET = "{x} + ({x} - " + str(_BASE) + ") {div} 90000000 * 180000000"
+BURST_USER = "CASE WHEN event_id % 10 > 0 THEN 0 ELSE user_id END"
+
+
+def bursts(spark: SparkSession, sf: str) -> DataFrame:
+    quiet = requests(spark, sf).withColumnRenamed("request_id", "event_id").withColumn("us", F.expr(_QUIET.format(x="us", div="DIV")))
+    return quiet.withColumns({"user_id": F.expr(BURST_USER), "ts": F.timestamp_micros("us")}).withColumnRenamed("event_id", "request_id")
+
+
 def as_requests(events: DataFrame) -> DataFrame:
     """Events as requests and releases, 2000 times denser in time so that limits are reached."""
     timed = events.selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS at")
@@ -156,6 +166,9 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 REQUESTS_CTE = f"requests AS ({REQUESTS.format(at=f'{_BASE} + (epoch_us(ts) - {_BASE}) // 2000')})"
 
+_DENSE = f"({_BASE} + (epoch_us(ts) - {_BASE}) // 2000)"
+BURSTS_CTE = f"requests AS ({REQUESTS.format(at=_QUIET.format(x=_DENSE, div='//')).replace('user_id, us', BURST_USER + ' AS user_id, us')})"
+
 
 def quoted(text: str) -> str:
     """SQL string literal for DuckDB."""

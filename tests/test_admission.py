@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docwarden.operators import admission as A
+from docwarden.operators import admission_split as S
 from docwarden.rules import RateLimits
 from docwarden.streaming.admission import admit_stream
 
@@ -52,6 +53,55 @@ def test_batch_equals_sequential_model(spark, seed, limits):
     assert decisions(table(spark, rows).repartition(5), limits=limits) == expected(rows, limits)
 
 
+def bursts(seed, n=4000, releases=0.4, lull=100):
+    """Traffic of a hot user with lulls in it."""
+    return [(u, us + us // 90_000_000 * lull * 1_000_000, *rest) for u, us, *rest in traffic(seed, n, 2_000, 0.9, releases)]
+
+
+@pytest.mark.parametrize(
+    "seed,limits,tries",
+    [
+        (1, RateLimits(requests_per_minute=12, tokens_per_minute=900, concurrent_requests=6), 64),
+        (2, RateLimits(requests_per_minute=5, tokens_per_minute=10_000, concurrent_requests=10**6), 64),
+        (3, RateLimits(requests_per_minute=9, tokens_per_minute=300, concurrent_requests=40), 3),
+        (4, RateLimits(requests_per_minute=9, tokens_per_minute=1000, concurrent_requests=30), 64),
+        (5, RateLimits(requests_per_minute=3, tokens_per_minute=300, concurrent_requests=0), 64),
+        (6, RateLimits(), 64),
+        (7, RateLimits(requests_per_minute=4, tokens_per_minute=300, concurrent_requests=9, requests_per_hour=60), 64),
+    ],
+)
+def test_slices_equal_sequential_model(spark, seed, limits, tries):
+    rows = bursts(seed, releases=0.2 + seed % 3 * 0.15, lull=100 if limits.requests_per_hour is None else 4000)
+    out = S.admit_requests_sliced(table(spark, rows).repartition(5), kind_col="kind", limits=limits, tries=tries, tried_rows=tries * 30)
+    got = {r.request_id: (r.allowed, r.message) for r in out.collect()}
+    assert len(got) == len(rows) and got == expected(rows, limits)
+
+
+def test_maps_of_slices():
+    rng = random.Random(8)
+    for _ in range(200):
+        limits = RateLimits(requests_per_minute=rng.randrange(1, 9), tokens_per_minute=200, concurrent_requests=rng.randrange(0, 9))
+        ts = sorted(rng.randrange(100_000_000) for _ in range(rng.randrange(1, 40)))
+        released, tokens = [rng.random() < 0.5 for _ in ts], [rng.choice([0, 30, 90]) for _ in ts]
+        safe, net, least, tried = S._slice_map(limits, ts, released, tokens)
+        for opening in range(limits.concurrent_requests + 1):
+            log = S.UserLog(limits)
+            log.active = opening
+            log.decide(ts, released, tokens)
+            assert log.active == (max(opening + net, least) if opening <= safe else tried[opening - safe - 1])
+
+
+def test_a_hot_user_is_decided_by_many_tasks(spark):
+    rows = bursts(9)
+    df = table(spark, rows)
+    parts = S.sliced(df.select(F.col("user_id").alias("user"), F.col("us").alias("ts_us")), 60_000_000)
+    assert parts.where("user = 'hot'").select("slice").distinct().count() >= 8
+    odd = [(None, 5, "request", -1, 0), ("u", None, None, -2, None)]
+    out = S.admit_requests_sliced(df.union(table(spark, odd)), kind_col="kind")
+    assert {r.request_id: r.allowed for r in out.where("request_id < 0").collect()} == {-1: None, -2: True}
+    assert S.admit_requests_sliced(df.limit(0), kind_col="kind").count() == 0
+
+
 def test_saturated_hot_user(spark):
     """A user always at the limit, decided in one stream over many batches."""
     limits = RateLimits(requests_per_minute=7, tokens_per_minute=10**9, concurrent_requests=10**9)
