@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -427,18 +428,74 @@ def audit_written(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("request_id", "passed", "warnings_count", F.col("audit_date").cast("string").alias("day"))
 
 
-@query(
-    "audit_summary",
+_SUMMARY_SQL = (
     f"{_GUARD_CTES} SELECT strftime(ts, '%Y-%m-%d') AS audit_date, action, CASE WHEN passed THEN 'REQUEST' ELSE 'BLOCKED' END AS level,"
-    " count(*) AS requests, CAST(sum(n_warnings) AS BIGINT) AS warnings, CAST(sum(len(errors)) AS BIGINT) AS errors, max(risk_score) AS max_risk FROM x GROUP BY ALL",
+    " count(*) AS requests, CAST(sum(n_warnings) AS BIGINT) AS warnings, CAST(sum(len(errors)) AS BIGINT) AS errors, max(risk_score) AS max_risk FROM x GROUP BY ALL"
 )
-def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return V.audit_summary(_audited(spark, sf)).select(
+
+
+def _summary(days: DataFrame) -> DataFrame:
+    return days.select(
         F.col("audit_date").cast("string").alias("audit_date"), "action", "level", "requests", "warnings", "errors",
         F.round("max_risk", 6).alias("max_risk"),
     )
 
 
+@query("audit_summary", _SUMMARY_SQL)
+def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _summary(V.audit_summary(_audited(spark, sf)))
+
+
+def _arriving_audit(spark: SparkSession, sf: str, out: str):
+    """The audit records in two halves: writes the next one, closed by a record far ahead, and gives the stream of all."""
+    _audited(spark, sf).write.parquet(f"{out}/records")
+    records = spark.read.parquet(f"{out}/records")
+    middle = F.timestamp_micros(F.lit(int(records.agg(F.avg(F.unix_micros("ts"))).first()[0] or 0)))
+    for late in (False, True):
+        half = records.where(F.col("ts") >= middle if late else F.col("ts") < middle)
+        if late:
+            ends = half.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"))
+            half = half.unionByName(ends, allowMissingColumns=True)
+        half.write.mode("append").parquet(f"{out}/arriving")
+        yield spark.readStream.schema(half.schema).parquet(f"{out}/arriving")
+
+
+@query("audit_summary_stream", _SUMMARY_SQL)
+def audit_summary_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up of a stream of records that is stopped after the first half and started again."""
+    out = work_folder(spark, "summary")
+    for stream in _arriving_audit(spark, sf, out):
+        days = _summary(AU.summarize_stream(stream))
+        writer = days.writeStream.format("parquet").option("path", f"{out}/days").option("checkpointLocation", f"{out}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(days.schema).parquet(f"{out}/days")
+
+
+@query(
+    "audit_sink",
+    f"{_GUARD_CTES} SELECT doc_id AS request_id, passed, n_warnings AS warnings_count, strftime(ts, '%Y-%m-%d') AS day FROM x",
+)
+def audit_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Records as they arrive, through the sink that writes a batch once however often it is run."""
+    out = work_folder(spark, "sink")
+    for stream in _arriving_audit(spark, sf, out):
+        AU.audit_sink(stream, f"{out}/audit", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = AU.read_audit(spark, f"{out}/audit").where(F.col("request_id").isNotNull())
+    return kept.select("request_id", "passed", "warnings_count", F.col("audit_date").cast("string").alias("day"))
+
+
+@query(
+    "audit_expired",
+    "SELECT event_id, event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events WHERE CAST(ts AS DATE) >= DATE '2024-04-10' - 90",
+)
+def audit_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as an audit table on storage, whose expired days are dropped as folders."""
+    path = work_folder(spark, "expired")
+    AU.write_audit(W.table(spark, sf, "events").select("event_id", "event_type", F.to_date("ts").alias("audit_date")), path)
+    AU.drop_expired_days(spark, path, datetime.date(2024, 4, 10))
+    return AU.read_audit(spark, path).select("event_id", "event_type", F.col("audit_date").cast("string").alias("day"))
+
+
 @query(
     "audit_switches",
     f"{_GUARD_CTES} SELECT doc_id AS request_id, user_id, NULL AS preview, NULL AS block_reasons, passed, len(errors) AS errors_count, n_warnings AS warnings_count FROM x",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules import AuditOptions
@@ -26,6 +29,56 @@ def stream_audit(audit: DataFrame, path: str, checkpoint: str):
     )
 
 
+def audit_sink(audit: DataFrame, path: str, checkpoint: str):
+    """Streaming writer of which a batch that is run again after a failure replaces what its first run wrote; the caller starts it.
+
+    Every batch has a folder of its own in each day (``audit_date``, ``batch_id``). ``read_audit`` reads the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "audit_date")
+        writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("audit_date", "batch_id").parquet(path)
+
+    return audit.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an audit table, however it was written."""
+    return spark.read.parquet(path).drop("batch_id")
+
+
+def summarize_stream(audit: DataFrame, delay: str = "1 day") -> DataFrame:
+    """``audit_summary`` of a stream: a day (UTC) comes out once, when the watermark on ``ts`` has passed its end.
+
+    State is one row for each open day, action and level. Records that come more than ``delay`` late are dropped and counted by Spark.
+    """
+    timed = audit.withWatermark("ts", delay)
+    days = timed.groupBy(F.window("ts", "1 day").alias("day"), "action", "level").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.sum("warnings_count").alias("warnings"),
+        F.sum("errors_count").alias("errors"),
+        F.max("risk_score").alias("max_risk"),
+    )
+    return days.select(F.to_date("day.start").alias("audit_date"), "action", "level", "requests", "warnings", "errors", "max_risk")
+
+
+def drop_expired_days(spark: SparkSession, path: str, today: datetime.date, days: int = AuditOptions().retention_days) -> list[datetime.date]:
+    """Delete the folders of days that ``audit_retention`` would not keep; no record is read. The days dropped, in order."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for status in files.listStatus(place):
+        found = re.fullmatch(r"audit_date=(\d{4}-\d\d-\d\d)", status.getPath().getName())
+        if found and status.isDirectory():
+            day = datetime.date.fromisoformat(found[1])
+            if day < today - datetime.timedelta(days):
+                files.delete(status.getPath(), True)
+                dropped.append(day)
+    return sorted(dropped)
+
+
 def audit_retention(
     audit: DataFrame, today: Column, days: int = AuditOptions().retention_days
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docwarden.operators.verdict import audit_records, audit_summary, guard_requests, mask_user
 from docwarden.plans.screening import audit_screened, screen_requests
 from docwarden.rules import AuditOptions, RateLimits, Settings
-from docwarden.sources.audit import audit_retention, stream_audit, write_audit
+from docwarden.sources.audit import audit_retention, audit_sink, drop_expired_days, read_audit, stream_audit, summarize_stream, write_audit
 
 
 def requests(spark):
@@ -78,3 +78,48 @@ def test_streams_equal_batch(spark, tmp_path):
     got = spark.read.parquet(out).select(*batch.columns)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(got) == key(batch)
+
+
+def test_sink_writes_a_batch_once_however_often_it_runs(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    audit = audit_records(screen_requests(requests(spark), "text", "answer"))
+    audit.write.parquet(src)
+    run = lambda: audit_sink(spark.readStream.schema(audit.schema).parquet(src), out, cp).trigger(availableNow=True).start().awaitTermination(200)
+    run()
+    for name in ("0", ".0.crc"):  # as if the session had ended before the batch was committed
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run()
+    key = lambda df: sorted(map(str, df.select(*audit.columns).collect()))
+    assert key(read_audit(spark, out)) == key(audit)
+    audit.withColumn("request_id", F.col("request_id") + 1000).write.mode("append").parquet(src)
+    run()
+    assert read_audit(spark, out).count() == 2 * audit.count()
+
+
+def test_expired_days_are_dropped_as_folders(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-20')) AS audit_date, 1 AS request_id")
+    write_audit(days, path)
+    (tmp_path / "audit" / "other").mkdir()
+    dropped = drop_expired_days(spark, path, datetime.date(2024, 1, 20), 5)
+    assert dropped == [datetime.date(2024, 1, d) for d in range(1, 15)]
+    assert sorted(p.name for p in (tmp_path / "audit").glob("audit_date=*"))[0] == "audit_date=2024-01-15"
+    assert drop_expired_days(spark, path, datetime.date(2024, 1, 20), 5) == [] and (tmp_path / "audit" / "other").exists()
+
+
+def test_days_come_out_once_the_watermark_has_passed(spark, tmp_path):
+    src = str(tmp_path / "in")
+    audit = audit_records(screen_requests(requests(spark), "text", "answer"))
+    run_no = iter(range(9))
+
+    def run():
+        days = summarize_stream(spark.readStream.schema(audit.schema).parquet(src), "1 hour")
+        writer = days.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        writer.queryName(f"days{next(run_no)}").trigger(availableNow=True).start().awaitTermination(200)
+        return spark.read.schema(days.schema).parquet(str(tmp_path / "out"))
+
+    audit.write.parquet(src)
+    assert run().count() == 0
+    audit.limit(1).withColumn("ts", F.to_timestamp(F.lit("2031-01-01"))).write.mode("append").parquet(src)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(run()) == key(audit_summary(audit).select("audit_date", "action", "level", "requests", "warnings", "errors", "max_risk"))
