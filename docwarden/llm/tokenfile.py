@@ -250,7 +250,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         "id": pa.array(ids, pa.int64()), "start": pa.array(offset + base), "n_tokens": pa.array(length), "ids_crc32": pa.array(crcs, pa.int64()),
                     })
 
-    spread = manifest.select("shard", "file", "start").repartition("shard")
+    # A number of partitions that is given is kept: by its few bytes alone the manifest would be one task that reads all files.
+    spread = manifest.select("shard", "file", "start").repartition(max(1, manifest.count()), "shard")
     return spread.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
