@@ -21,6 +21,7 @@ from docwarden.plans.screening import audit_screened, process_tasks, screen_requ
 from docwarden.rules import AuditOptions, InputLimits, RateLimits, Settings
 from docwarden.sources import audit as AU
 from docwarden.sources import documents as SD
+from docwarden.sources.contents import store_contents
 from docwarden.sources import dimensions as D
 from docwarden.streaming.admission import admit_stream, closing_mark
 from docwarden.streaming.guard import guard_stream
@@ -819,9 +820,13 @@ def _leaking():
     return generate
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return store_contents(W.document_table(spark, sf), work_folder(spark, "contents"))
+
+
 def _ready(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tasks = W.tasks(spark, sf).withColumn("model", F.lit("gemini-pro"))
-    links, docs = W.task_documents(spark, sf), W.document_table(spark, sf)
+    links, docs = W.task_documents(spark, sf), _stored(spark, sf)
     return TA.render_prompt(TA.assemble_tasks(tasks, links, docs), None), TA.task_parts(links, docs)
 
 
@@ -847,6 +852,61 @@ def run_tasks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _measure_all():
+    """The same for a list of requests; refusals stand among the answers."""
+    one = _measure()
+
+    def generate(requests: list[dict]) -> list:
+        answers = []
+        for r in requests:
+            try:
+                answers.append(one(r))
+            except RuntimeError as refusal:
+                answers.append(refusal)
+        return answers
+
+    return generate
+
+
+@query(
+    "run_batched",
+    f"WITH {_RAN} SELECT hook, task_id, success, content, CASE WHEN success THEN 5 END AS tokens_used, error"
+    " FROM o, (SELECT unnest(['lists', 'threads']) AS hook)",
+)
+def run_batched(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight calls in flight: as lists of requests, and side by side in threads."""
+    ready, parts = _ready(spark, sf)
+    columns = ("task_id", "success", "content", "tokens_used", "error")
+    lists = RU.run_tasks(ready, RU.Batched(_measure_all), parts, window=8).select(F.lit("lists").alias("hook"), *columns)
+    return lists.unionByName(RU.run_tasks(ready, _measure, parts, window=8).select(F.lit("threads").alias("hook"), *columns))
+
+
+def _half():
+    """A model that answers every other task."""
+    inner = _measure()
+
+    def generate(task: dict):
+        if len(task["prompt"]) % 2:
+            raise RuntimeError("model is down")
+        return inner(task)
+
+    return generate
+
+
+@query(
+    "run_resumed",
+    f"WITH {_RAN} SELECT task_id, success, content, error, CASE WHEN success AND length(full_prompt) % 2 = 0 THEN 1 ELSE 2 END AS n_asked FROM o JOIN r USING (task_id)",
+)
+def run_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that is down for half of the tasks, then a run that asks for the rest only."""
+    ready, parts = _ready(spark, sf)
+    folder = work_folder(spark, "answers")
+    RU.run_saved(ready, _half, folder, parts)
+    out = RU.run_saved(ready, _measure, folder, parts)
+    asked = RU.saved_answers(ready, folder).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_asked"))
+    return out.join(asked, "task_id").select("task_id", "success", "content", "error", "n_asked")
+
+
 def _step_length(i: int, previous: str) -> str:
     name, instruction = STEPS[i]
     fixed = len(STEP_PROMPT.format(step=name, instruction=instruction, action="", additional_context="", previous="", output_format=""))
@@ -895,5 +955,5 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
 )
 def process_all_tasks(spark: SparkSession, sf: str) -> DataFrame:
     tasks = W.tasks(spark, sf).withColumn("model", F.lit("gemini-pro"))
-    out = process_tasks(tasks, W.task_documents(spark, sf), W.document_table(spark, sf), _leaking, "salt")
+    out = process_tasks(tasks, W.task_documents(spark, sf), _stored(spark, sf), _leaking, "salt")
     return out.select("task_id", "success", "content", "error", "output_is_safe", "output_was_modified")
