@@ -12,6 +12,7 @@ from docwarden.functions.unicode import nfkc
 from docwarden.operators import detect as D
 from docwarden.operators import outfilter as O
 from docwarden.operators import sanitize as S
+from docwarden.operators.scorer import fit_words, model_threats
 from docwarden.rules import (
     BLOCKED_OUTPUTS,
     BLOCKED_PHRASES,
@@ -697,3 +698,27 @@ _one_step("sanitize_strip", py_strip, _STRIP)
 def sanitize_pages(spark: SparkSession, sf: str) -> DataFrame:
     out = S.sanitize_text(spark.read.parquet(f"{sf}/pages.parquet"), "html")
     return out.select("page_id", F.md5("sanitized_value").alias("sanitized"))
+
+
+_TELLING = (
+    "known AS (SELECT toxic = 1 AS hit, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda w: lower(w))) AS ws"
+    " FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)),"
+    " n AS (SELECT count(*) FILTER (hit) AS all_hits, count(*) FILTER (NOT hit) AS all_others FROM known),"
+    " w AS (SELECT word, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS others FROM (SELECT unnest(ws) AS word, hit FROM known) GROUP BY 1),"
+    " telling AS (SELECT list(word) AS ws FROM (SELECT word FROM w, n WHERE hits >= 5 AND hits * all_others >= 8 * others * all_hits ORDER BY hits DESC, word LIMIT 5000)),"
+    " c AS (SELECT doc_id, least(len(list_intersect(list_distinct(list_transform(regexp_extract_all(t, '[A-Za-z]+'), lambda w: lower(w))), coalesce(ws, []))), 4) / 4.0::DOUBLE AS conf"
+    " FROM planted, telling)"
+)
+
+
+@query(
+    "detect_model_threats",
+    f"{_detect_ctes()}, {_TELLING} SELECT doc_id, CASE WHEN conf >= 0.5 THEN conf END AS confidence, n_threats + (conf >= 0.5)::INT AS n_threats,"
+    " round(CASE WHEN conf >= 0.5 THEN 1 - (1 - score) * exp(-0.7::DOUBLE * conf) ELSE score END, 6) AS risk_score FROM s JOIN c USING (doc_id)",
+)
+def detect_model_threats(spark: SparkSession, sf: str) -> DataFrame:
+    """A word model fitted on the texts that are labelled toxic or not; what it finds is scored along with the rules' threats."""
+    known = documents(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    found = model_threats(planted(spark, sf), "t", fit_words(known, "text", "toxic"), "toxic_language", to="more")
+    out = D.detect_injection(found, "t", extra_threats="more")
+    return out.select("doc_id", F.get("more", F.lit(0))["confidence"].alias("confidence"), F.size("threats").alias("n_threats"), F.round("risk_score", 6).alias("risk_score"))
