@@ -6,7 +6,6 @@ meet in fewer blocks and are packed once more.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,6 @@ BLOCK_PIECES = 16_384
 BLOCK_BYTES = 32 << 20
 #: Bins less full than this are packed again, together with those of other blocks.
 UNDERFULL = 0.98
-#: Bins of a block whose exchanges are looked for, one after the other; it bounds the effort, not what is packed.
-LOOKS = 300
 PIECES = "id long, piece int, start long, length int, ids binary"
 PACKED = PIECES + ", sequence_id long, offset int, fill int"
 
@@ -67,59 +64,100 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different sums of one or two of ``sizes``, each with the numbers of the sizes it is made of (the same twice for one)."""
+    i, j = np.triu_indices(len(sizes))
+    sums, first = np.unique(np.where(i == j, sizes[i], sizes[i] + sizes[j]), return_index=True)
+    return sums, i[first], j[first]
+
+
+class _OpenBins:
+    """Sizes of the items of underfull bins, in order of bin and size, for finding the best exchange of a sum by bisection."""
+
+    def __init__(self, bins: dict[int, list[int]], fill: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.fill, self.lengths, self.capacity, self.stride = fill, lengths, capacity, capacity + 1
+        # A size of 0 in every bin stands for giving nothing back, and the last key is above all.
+        self.keys = np.concatenate([*(self._own(b, bins[b]) for b in sorted(bins)), [len(fill) * self.stride + 2 * self.stride]])
+
+    def _own(self, b: int, items: list[int]) -> np.ndarray:
+        return b * self.stride + np.sort(np.append(self.lengths[items], 0))
+
+    def changed(self, b: int, items: list[int]) -> None:
+        low, high = np.searchsorted(self.keys, [b * self.stride, (b + 1) * self.stride])
+        self.keys = np.concatenate([self.keys[:low], self._own(b, items), self.keys[high:]])
+
+    def gains(self, sums: np.ndarray, source_fill: np.ndarray | int, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each sum and target the rise of the squared fills by its best exchange (0: none), and the size given back.
+
+        The more a target gets, the higher the rise: the best size is the smallest that leaves room.
+        """
+        fill = self.fill[targets]
+        low = np.maximum(sums[:, None] - (self.capacity - fill), 0)
+        size = self.keys[np.searchsorted(self.keys, targets * self.stride + low)] - targets * self.stride
+        moved = sums[:, None] - size
+        rise = 2 * moved * (fill - np.reshape(source_fill, (-1, 1)) + moved)
+        return np.where((moved > 0) & (rise > 0), rise, 0), size
+
+
+#: Sums times targets that are looked at in one numpy call; it bounds memory.
+LOOK = 1 << 20
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, bound: int) -> list[list[int]]:
     """Exchanges between underfull bins, each raising the sum of squared fills, until bins are emptied or none is left.
 
-    Of an underfull bin, emptiest first, an item is moved to another bin, an item exchanged for a smaller one, or two for one.
-    The search ends at ``bound`` bins, when no such bin, nor any that could be spared, has an exchange left, or after ``LOOKS``.
+    Of an underfull bin, emptiest first, one or two items are moved to another bin, or exchanged for one that is smaller than they are.
+    The search ends at ``bound`` bins, or when no such bin, nor any that could be spared, has an exchange left. A bin without one is
+    looked at again only if a bin that changed since has one to offer.
     """
     fill = np.array([int(lengths[b].sum()) for b in bins])
-    stuck: set[int] = set()
-    open_bins = [i for i, f in enumerate(fill) if f < capacity]
-    if len(bins) <= bound or len(open_bins) < 2:
+    held = {i: list(b) for i, b in enumerate(bins) if fill[i] < capacity}
+    if len(bins) <= bound or len(held) < 2:
         return bins
-    # Items of open bins; a length of 0 in every bin stands for receiving nothing.
-    where = np.array([b for b in open_bins for _ in bins[b]] + open_bins)
-    item = np.array([x for b in open_bins for x in bins[b]] + [-1] * len(open_bins))
-    size = np.where(item >= 0, lengths[item], 0)
+    ids = np.array(sorted(held))
+    index = _OpenBins(held, fill, lengths, capacity)
+    stuck = np.zeros(len(bins), bool)
+    offers: dict[int, np.ndarray] = {}
     n_bins = len(bins)
-    for _ in range(LOOKS):
-        if n_bins <= bound:
-            break
-        left = np.array([b for b in open_bins if fill[b] > 0])
+    while n_bins > bound:
+        left = ids[fill[ids] > 0]
         left = left[np.argsort(fill[left], kind="stable")]
-        sources = left[: max(n_bins - bound, int((fill[left] < UNDERFULL * capacity).sum()))].tolist()
-        a = next((b for b in sources if b not in stuck), None)
-        if a is None:
+        sources = left[: max(n_bins - bound, int((fill[left] < UNDERFULL * capacity).sum()))]
+        free = sources[~stuck[sources]]
+        if not len(free):
             break
-        mine = np.flatnonzero((where == a) & (item >= 0))
-        room = capacity - fill[where]
-        others = (where != a) & (fill[where] > 0)
-        best = (0, None, None)
-        for out in itertools.chain(((int(i),) for i in mine), itertools.combinations(map(int, mine), 2)):
-            moved = int(size[list(out)].sum()) - size
-            gain = np.where(others & (moved > 0) & (moved <= room) & ((item >= 0) | (len(out) == 1)), 2 * moved * (fill[where] - fill[a] + moved), 0)
-            j = int(gain.argmax())
-            if gain[j] > best[0]:
-                best = (int(gain[j]), out, j)
-        if best[1] is None:
-            stuck.add(a)
+        a = int(free[0])
+        sums, first, second = _sums(lengths[held[a]])
+        targets = left[(left != a) & (fill[left] < capacity)]
+        best = (0, 0, 0, 0)
+        for at in range(0, len(sums), max(1, LOOK // max(1, len(targets)))):
+            rise, size = index.gains(sums[at : at + max(1, LOOK // max(1, len(targets)))], fill[a], targets)
+            k = int(rise.argmax()) if rise.size else 0
+            if rise.size and rise.flat[k] > best[0]:
+                i, j = divmod(k, len(targets))
+                best = (int(rise.flat[k]), at + i, int(targets[j]), int(size.flat[k]))
+        if not best[0]:
+            stuck[a], offers[a] = True, sums
             continue
-        out, j = best[1], best[2]
-        b = int(where[j])
-        moved = int(size[list(out)].sum() - size[j])
-        where[list(out)] = b
-        if item[j] >= 0:
-            where[j] = a
+        _, i, b, back = best
+        out = [held[a][k] for k in {int(first[i]), int(second[i])}]
+        home = next((x for x in held[b] if lengths[x] == back), None) if back else None
+        held[a] = [x for x in held[a] if x not in out] + ([] if home is None else [home])
+        held[b] = [x for x in held[b] if x != home] + out
+        moved = int(sums[i]) - back
         fill[a] -= moved
         fill[b] += moved
         n_bins -= int(fill[a] == 0)
-        stuck.clear()
-    result = {i: b for i, b in enumerate(bins) if fill[i] and i not in set(open_bins)}
-    for b, x in zip(where.tolist(), item.tolist(), strict=True):
-        if x >= 0:
-            result.setdefault(b, []).append(x)
-    return list(result.values())
+        index.changed(a, held[a])
+        index.changed(b, held[b])
+        stuck[b] = False
+        waiting = np.flatnonzero(stuck)
+        changed = np.array([c for c in (a, b) if 0 < fill[c] < capacity])
+        if len(waiting) and len(changed):
+            sizes = [len(offers[w]) for w in waiting.tolist()]
+            rise, _ = index.gains(np.concatenate([offers[w] for w in waiting.tolist()]), np.repeat(fill[waiting], sizes), changed)
+            stuck[np.repeat(waiting, sizes)[rise.any(1)]] = False
+    return [b for i, b in enumerate(bins) if i not in held] + [b for b in held.values() if b]
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
