@@ -145,7 +145,8 @@ def _stated(docs: DataFrame, length_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", length_col: str = "n_chars", fit_rows: int = FIT_ROWS) -> bytes:
     """A model fitted on up to ``fit_rows`` labelled rows that are not held out; its size does not depend on the data.
 
-    Rows without id or label are left aside; of several labels of an id the mean counts. One task fits; only the model
+    Rows without id or label are left aside; of several labels of an id the mean counts, of several documents of an id the one of
+    smallest hash (then text, then stated length), so that ``fit_rows`` bounds rows whatever repeats. One task fits; only the model
     (2 MB) comes to the driver. Without labelled rows every score is one half.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most fit_rows rows of two numbers: bounded, so this side can be broadcast.
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _stated(docs, length_col).alias("stated"))
-    sample = mine.join(F.broadcast(chosen), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "stated", "label")).alias("one")
+    sample = mine.join(F.broadcast(chosen), "id").groupBy("id").agg(one).select("id", "one.text", "one.stated", "one.label")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
