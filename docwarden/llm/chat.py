@@ -21,7 +21,8 @@ class ChatTemplate:
 
     ``moves``: (state, role) to the next state. The machine begins in ``start``; a conversation is in order if every turn
     has a move and it ends in a state of ``ends``. Roles without an opening of their own get ``other``, their escaped name
-    and the close. Control strings are at least two characters long, contain no backslash, and none ends as another begins.
+    and the close. Control strings are at least two characters long, contain no backslash, none ends as another begins, and no
+    opening begins with ``other``.
     """
 
     opens: dict[str, str] = field(
@@ -110,8 +111,9 @@ def format_conversations(
 def read_turns(formatted: str, template: ChatTemplate | None = None) -> Column:
     """Roles and texts back from a formatted conversation: array of (role, text)."""
     t = template or ChatTemplate()
-    # Closes are cut off; a turn of another role has one more, after its name.
-    parts = f"slice(split({formatted}, {sql_text(t.close)}, -1), 1, size(split({formatted}, {sql_text(t.close)}, -1)) - 1)"
+    # Closes are cut off, taken literally; a turn of another role has one more, after its name.
+    pieces = f"split({formatted}, {sql_text(chr(92) + 'Q' + t.close + chr(92) + 'E')}, -1)"
+    parts = f"slice({pieces}, 1, size({pieces}) - 1)"
     opened = "CASE " + " ".join(
         f"WHEN startswith(p, {sql_text(o)}) THEN struct({sql_text(r)} AS role, {unescape_sql(f'substr(p, {len(o) + 1})')} AS text)"
         for r, o in t.opens.items()

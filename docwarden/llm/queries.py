@@ -101,14 +101,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (
       SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '### System: ', '#\## System: '),
         '### User: ', '#\## User: '), '### Assistant: ', '#\## Assistant: '), '### Tool: ', '#\## Tool: '),
-        '### Role ', '#\## Role '), '</turn>', '<\/turn>') AS escaped FROM t)
-    SELECT conv_id, count(*) AS n_turns,
+        '### Role ', '#\## Role '), '</turn>', '<\/turn>') AS escaped,
+        row_number() OVER o AS n, lag(role) OVER o AS previous FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+    m AS (
+      SELECT *, CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN previous = 'system' THEN role = 'user'
+        WHEN previous IN ('user', 'tool') THEN role = 'assistant' WHEN previous = 'assistant' THEN role IN ('user', 'tool') ELSE false END AS fits FROM e)
+    SELECT conv_id, bool_and(fits) AND max_by(role, n) <> 'system' AS in_order, CAST(min(n) FILTER (NOT fits) AS INTEGER) AS first_problem, count(*) AS n_turns,
       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
       CAST(sum(length(escaped) + 8 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'tool' THEN 10
         ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
-    FROM e GROUP BY conv_id
+    FROM m GROUP BY conv_id
     """,
 )
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +130,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learnt").cast("long").alias("loss_chars"),
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "in_order",
+        "first_problem",
     )
 
 
