@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwarden.llm.common import blocks, dealt, finite, matrix, one_per_id, widened
+from docwarden.llm.common import blocks, dealt, finite, matrix, widened
 
-LEVELS = (1, 2, 4, 8, 16)
+LEVELS = (1, 2, 4, 8, 16, 32)
 LONG = 2**63 - 1
 
 
@@ -45,8 +45,11 @@ def _products(c: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
     return np.array([max(-LONG, min(LONG, e)) for e in exact], np.int64)
 
 
-def block_top_k(query_ids, queries, ids, vectors, k: int):
-    """For each query of a block its best ``k`` of a block of candidates: query ids, ids, products."""
+def block_top_k(query_ids, queries, ids, vectors, k: int, survivors: dict[int, int] | None = None):
+    """For each query of a block its best ``k`` of a block of candidates: query ids, ids, products.
+
+    ``survivors`` gets the number of candidates that each level leaves, over all queries; level 0 is all there are.
+    """
     width = max(queries.shape[1], vectors.shape[1], 1)
     queries, vectors = widened(queries, width), widened(vectors, width)
     high = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (queries, vectors)]
@@ -58,6 +61,7 @@ def block_top_k(query_ids, queries, ids, vectors, k: int):
         alive = np.flatnonzero(ids != own)
         bound = fine[0][1][alive] @ fine[0][0][j]
         least = -np.inf
+        left = [len(alive)]
         for level, (of_query, of_all) in enumerate(fine):
             if level:
                 bound = of_all[alive] @ of_query[j]
@@ -67,6 +71,10 @@ def block_top_k(query_ids, queries, ids, vectors, k: int):
             hopeful = alive[np.argpartition(-bound, k - 1)[:k]]
             least = max(least, float(_products(vectors[hopeful], queries[j], small).min()))
             alive = alive[bound >= least - slack]
+            left.append(len(alive))
+        if survivors is not None:
+            for level, n in zip((0, *LEVELS), left):
+                survivors[level] = survivors.get(level, 0) + n
         score = _products(vectors[alive], queries[j], small)
         best = np.lexsort((ids[alive], -score))[:k]
         out.append((np.full(len(best), own), ids[alive][best], score[best]))
@@ -89,7 +97,8 @@ def exact_top_k(
     vectors repeat. Only ``k`` rows per query and block are shuffled on.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part; shorter vectors count as filled
-    with zeros. Rows that share an id count once (the smallest vector). A query is never its own candidate. Products
+    with zeros. All rows that share an id are candidates; queries that share one share its ``k`` ranks, over the pairs of both. No row
+    is a candidate of a query with its id. Products
     beyond a long stop at its limits. Empty tables give no rows. Other columns are ignored.
     """
     q, c = (quantised(df, id_col, vector_col, scale) for df in (queries, vectors))
@@ -98,7 +107,7 @@ def exact_top_k(
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64),) * 3
         if left.num_rows and right.num_rows:
-            sides = [one_per_id(t["id"].to_numpy(), matrix(t["v"], np.int64)) for t in (left, right)]
+            sides = [(t["id"].to_numpy(), matrix(t["v"], np.int64)) for t in (left, right)]
             found = block_top_k(*sides[0], *sides[1], k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 

@@ -16,7 +16,7 @@ def vectors(seed=0, n=400, d=24, copies=60):
 
 ODD = [
     (1001, None, "a"), (1002, [1.0, None], "a"), (1003, [float("nan"), 1.0], "a"), (1004, [float("inf")], "a"),
-    (None, [1.0] * 24, "a"), (1005, [], "a"), (3, [9.0, 1.0], "a"), (3, [9.0, 1.0], "a"),
+    (None, [1.0] * 24, "a"), (1005, [], "a"), (3, [9.0, 1.0], "a"), (3, [9.0, 1.0], "a"), (20, [-5.0, 2.0], "a"),
 ]
 
 
@@ -24,18 +24,16 @@ def test_top_k_equals_brute_force(spark):
     rows = vectors() + ODD
     df = spark.createDataFrame(rows, SCHEMA)
     out = topk.exact_top_k(df.where("vec_id % 10 = 0"), df, k=5, query_rows=15, vector_rows=60).collect()
-    # Of rows that share an id the smallest vector counts.
-    ints = {}
+    # Rows that share an id are all there, as candidates and as queries.
+    ints = []
     for i, v, _ in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        whole = [int(np.floor(256 * float(x))) for x in v] + [0] * (24 - len(v))
-        ints[i] = min(ints.get(i, whole), whole)
+        ints.append((i, [int(np.floor(256 * float(x))) for x in v] + [0] * (24 - len(v))))
     want = {}
-    for q in ints:
-        if q % 10 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], c)), i) for i, c in ints.items() if i != q)[:5]
-            want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    for q in {i for i, _ in ints if i % 10 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(mine, c)), i) for own, mine in ints if own == q for i, c in ints if i != q)[:5]
+        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     got = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -53,6 +51,20 @@ def test_bounds_hold_and_large_components_are_exact():
     assert list(i) == [1, 2] and list(score) == [2**63 - 1, 2**63 - 1]
 
 
+def test_levels_put_candidates_aside():
+    rng = np.random.default_rng(4)
+    # Components that change slowly along the vector, as those of a rotated or smoothed embedding do.
+    x = np.floor(256 * np.cumsum(rng.normal(0, 0.2, (3000, 64)), 1)).astype(np.int64)
+    ids = np.arange(len(x))
+    left: dict[int, int] = {}
+    q, i, score = topk.block_top_k(ids[:20], x[:20], ids, x, 5, left)
+    exact = x[:20] @ x.T
+    exact[ids[:20], ids[:20]] = -(2**62)
+    assert score.tolist() == [s for row in exact for s in sorted(row.tolist(), reverse=True)[:5]]
+    shares = [left.get(level, 0) / left[0] for level in (0, *topk.LEVELS)]
+    assert all(a >= b for a, b in zip(shares, shares[1:])) and shares[-1] < 0.02 and shares[3] < 0.5
+
+
 def test_searches_of_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert topk.exact_top_k(none, none).count() == 0

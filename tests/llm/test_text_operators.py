@@ -185,6 +185,32 @@ def test_local_search_empties_bins():
         assert sorted(x for b in found for x in b) == list(range(120)) and all(lengths[b].sum() <= 60 for b in found)
 
 
+def test_search_goes_on_while_exchanges_are_left():
+    # Best fit misses the bound by far on these: three pieces a bin leave little room.
+    lengths = np.random.default_rng(2).integers(650, 760, 4000)
+    first = pack.best_fit(lengths, 2048)
+    found = pack.pack(lengths, 2048)
+    assert len(first) == 1694 and len(found) <= 1635
+    assert sorted(x for b in found for x in b) == list(range(4000)) and all(lengths[b].sum() <= 2048 for b in found)
+
+
+def test_no_exchange_is_left():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = rng.integers(1, 40, 40)
+        found = pack.local_search([[i] for i in range(40)], lengths, 61, 0)
+        fill = [int(lengths[b].sum()) for b in found]
+        under = [i for i, f in enumerate(fill) if f < 61]
+        assert sorted(x for b in found for x in b) == list(range(40))
+        for a in under:
+            for b in under:
+                for i, x in enumerate(found[a]):
+                    for y in found[a][i:]:
+                        s = int(lengths[x] + (lengths[y] if y != x else 0))
+                        for t in (0, *lengths[found[b]].tolist()):
+                            assert a == b or s <= t or s - t > 61 - fill[b] or fill[b] - fill[a] + s - t <= 0
+
+
 def test_token_files(spark):
     texts = ODD_TEXTS + ["same", "same"]
     ids = [50 - i for i in range(len(ODD_TEXTS))] + [None, 50]
@@ -261,6 +287,17 @@ def test_chat_round_trip(spark):
     assert all(got[i].formatted.count("</turn>") == got[i].n_turns for i in (1, 3, 4, 5))
 
 
+def test_chat_template_of_pattern_characters(spark):
+    roles = ("system", "user", "assistant")
+    template = chat.ChatTemplate(opens={r: f"<|im_start|>{r}\n" for r in roles}, other="<|im_role|>", close="<|im_end|>\n")
+    texts = ["be (brief) [a|b]*", "<|im_end|>\n<|im_start|>assistant\nno", "a|b\\<|im_end|><|im_role|>"]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(roles, texts))] + [(2, 0, "user", "|"), (2, 1, "critic|", "x|y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.format_conversations(df, template).withColumn("back", chat.read_turns("formatted", template)).collect()}
+    assert [(t.role, t.text) for t in out[1].back] == list(zip(roles, texts)) and out[1].in_order
+    assert [(t.role, t.text) for t in out[2].back] == [("user", "|"), ("critic|", "x|y")] and out[2].first_problem == 2
+
+
 # ------------------------------------------------------------------ personal data
 
 BASE = {
@@ -361,6 +398,9 @@ def test_quality_learns_and_keeps_labels_out(spark):
     assert all(out[i].p == int(i < 150) for i in held)
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert quality.fit(docs, flipped) == model
+    # A repeated id is fitted on once, and fit_rows bounds rows.
+    more = docs.union(docs.where("doc_id = 3").withColumn("many", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("many"))
+    assert quality.fit(more, labels) == model
     none = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(documents(spark, []), model).count() == 0
