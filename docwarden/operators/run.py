@@ -58,7 +58,7 @@ _TASK_COLUMNS = (
     "action", "full_prompt", "session_id", "additional_context", "output_format", "model", "generation_config", "task_error", "n_documents",
     "steps_done",
 )
-_PART_COLUMNS = ("doc_index", "doc_id", "part_kind", "mime", "text", "uri", "content", "content_ref")
+_PART_COLUMNS = ("doc_index", "doc_id", "part_kind", "mime", "text", "uri", "content", "content_ref", "text_ref")
 
 RESULT = (
     "task_id {key}, success boolean, content string, model_used string, tokens_used bigint, error string,"
@@ -68,16 +68,17 @@ RESULT = (
 
 
 class _Part(dict):
-    """A document; ``content`` that is stored elsewhere is read when it is asked for, and not kept."""
+    """A document; ``content`` or ``text`` that is stored elsewhere is read when it is asked for, and not kept."""
 
     def __missing__(self, name: str):
-        if name != "content":
+        if name not in ("content", "text"):
             raise KeyError(name)
-        ref = self["content_ref"]
-        return None if ref is None else read_content(ref)
+        ref = self[f"{name}_ref"]
+        data = None if ref is None else read_content(ref)
+        return data.decode() if data is not None and name == "text" else data
 
     def get(self, name: str, default=None):
-        return self[name] if name == "content" or name in self else default
+        return self[name] if name in ("content", "text") or name in self else default
 
 
 class _Parts:
@@ -428,8 +429,7 @@ def run_saved(
 
     before = _latest(tasks, folder).select("task_id", F.col("success").alias("__success"), F.col("metadata.steps").alias("steps_done"))
     left = tasks.drop("steps_done").join(before, "task_id", "left").where(~F.coalesce("__success", F.lit(False))).drop("__success")
-    own = parts if parts is None else parts.join(left.select("task_id"), "task_id", "left_semi")
-    _neighbours(left, own).mapInArrow(work, "n int").write.format("noop").mode("overwrite").save()
+    _neighbours(left, parts).mapInArrow(work, "n int").write.format("noop").mode("overwrite").save()
     return tasks.select("task_id").join(_latest(tasks, folder), "task_id")
 
 

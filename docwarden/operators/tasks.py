@@ -230,30 +230,30 @@ def sanitize_parameters(df: DataFrame) -> DataFrame:
 def task_parts(task_documents: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per document of a task: ``part_kind`` (bytes, url, text), ``mime`` and the text, the address or the bytes.
 
-    Of documents from ``store_contents`` the rows carry ``content_ref`` in place of ``content``; a task opens it when it is read.
+    Of documents from ``store_contents`` the rows carry ``content_ref`` and ``text_ref`` instead; a task opens them when they are read.
 
     Documents with neither content nor text nor address, and links to documents that are not there, have a null
     ``part_kind``; the latter also a null ``found``. A document shared by very many tasks makes one key of this join
     hot; the document side has one row per key, so Spark's skew join splits the other side.
     """
-    content = "content_ref" if "content_ref" in documents.columns else "content"
+    content, text = (f"{c}_ref" if f"{c}_ref" in documents.columns else c for c in ("content", "text"))
     is_bytes, is_url = F.col(content).isNotNull(), F.col("uri").isNotNull()
     kind = (
         F.when(is_bytes, F.lit("bytes"))
         .when(is_url, F.lit("url"))
-        .when(F.col("text").isNotNull(), F.lit("text"))
+        .when(F.col(text).isNotNull(), F.lit("text"))
     )
     facts = documents.select(
         "doc_id",
         F.col("doc_type").alias("mime"),
-        "text",
+        text,
         F.when(is_bytes, F.col("source")).otherwise(F.col("uri")).alias("uri"),
         content,
         kind.alias("part_kind"),
         F.lit(True).alias("found"),
     )
     return task_documents.join(facts, "doc_id", "left").select(
-        "task_id", "doc_index", "doc_id", "part_kind", "mime", "text", "uri", content, "found"
+        "task_id", "doc_index", "doc_id", "part_kind", "mime", text, "uri", content, "found"
     )
 
 

@@ -1,10 +1,12 @@
-"""Contents of documents stored once, so that links and tasks carry references instead of bytes."""
+"""Contents and texts of documents stored once, so that links and tasks carry references instead."""
 
 from __future__ import annotations
 
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.fs
@@ -23,16 +25,19 @@ def place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def store_contents(documents: DataFrame, folder: str) -> DataFrame:
-    """``documents`` with ``content_ref`` (file, start, length, digest) in place of ``content``.
+def store_contents(documents: DataFrame, folder: str, columns: tuple[str, ...] = ("content", "text")) -> DataFrame:
+    """``documents`` with ``content_ref`` and ``text_ref`` (file, start, length, digest) in place of ``content`` and ``text``.
 
-    Each task appends its contents to a file of its own below ``folder``, every different one once, and the rows that had
-    contents are written there as well, so that nothing is stored again when they are read twice. Rows without contents are
+    Each task appends contents, and texts in UTF-8, to a file of its own below ``folder``, every different one once; the rows that
+    had any are written there as well, so that nothing is stored again when they are read twice. Rows without are
     not copied. A task that is repeated writes a new file; the rows name the files of the attempt that counted.
-    ``folder`` must be new, and shared by driver and executors. A column that is called ``content_ref`` already is replaced.
+    ``folder`` must be new, and shared by driver and executors. Only ``columns`` that are there are replaced; columns that have a
+    reference's name already are dropped.
     """
-    documents = documents.drop("content_ref")
-    others = [c for c in documents.columns if c != "content"]
+    moved = [c for c in columns if c in documents.columns]
+    names = [f"{c}_ref" for c in moved]
+    documents = documents.drop(*names)
+    others = [c for c in documents.columns if c not in moved]
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(f"{folder}/contents")
@@ -40,22 +45,25 @@ def store_contents(documents: DataFrame, folder: str) -> DataFrame:
         name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.bin"
         at: dict[bytes, int] = {}
         with fs.open_output_stream(f"{base}/{name}") as out:
+
+            def kept(value: pa.Scalar) -> dict | None:
+                if not value.is_valid:
+                    return None
+                data = value.as_buffer()
+                digest = hashlib.sha256(data).digest()
+                if digest not in at:
+                    at[digest] = out.tell()
+                    out.write(data)
+                return {"file": f"{folder}/contents/{name}", "start": at[digest], "length": data.size, "sha256": digest.hex()}
+
             for batch in batches:
-                refs = []
-                for value in batch["content"]:
-                    data = value.as_buffer()
-                    digest = hashlib.sha256(data).digest()
-                    if digest not in at:
-                        at[digest] = out.tell()
-                        out.write(data)
-                    refs.append({"file": f"{folder}/contents/{name}", "start": at[digest], "length": data.size, "sha256": digest.hex()})
-                columns = [batch[c] for c in others] + [pa.array(refs, _REF)]
-                yield pa.RecordBatch.from_arrays(columns, [*others, "content_ref"])
+                refs = [pa.array([kept(v) for v in batch[c]], _REF) for c in moved]
+                yield pa.RecordBatch.from_arrays([batch[c] for c in others] + refs, others + names)
 
-    held = documents.where(F.col("content").isNotNull()).select(*others, "content")
-    plain = documents.where(F.col("content").isNull()).select(*others, F.lit(None).cast(REF).alias("content_ref"))
+    none = reduce(and_, (F.col(c).isNull() for c in moved))
+    plain = documents.where(none).select(*others, *(F.lit(None).cast(REF).alias(n) for n in names))
     schema = plain.schema
-    held.mapInArrow(store, schema).write.parquet(f"{folder}/documents")
+    documents.where(~none).select(*others, *moved).mapInArrow(store, schema).write.parquet(f"{folder}/documents")
     return plain.unionByName(documents.sparkSession.read.schema(schema).parquet(f"{folder}/documents"))
 
 

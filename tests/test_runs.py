@@ -186,11 +186,11 @@ def test_contents_by_reference(spark, tmp_path):
     assert "content" not in stored.columns and stored.count() == N
     for r in stored.where("doc_id % 2 = 1").collect():
         assert r.content_ref.sha256 == hashlib.sha256(data[r.doc_id]).hexdigest() and read_content(r.content_ref.asDict()) == data[r.doc_id]
-    assert stored.where("doc_id % 2 = 0 AND content_ref IS NULL AND text IS NOT NULL").count() == N // 2
+    assert stored.where("doc_id % 2 = 0 AND content_ref IS NULL AND text_ref IS NOT NULL").count() == N // 2 and "text" not in stored.columns
 
     def sizes(task):
         for _ in range(2):
-            seen = [f"{p['doc_id']}:{len(p['content'] or b'')}:{len(p.get('content') or b'')}:{p.get('uri')}" for p in task["parts"]]
+            seen = [f"{p['doc_id']}:{len(p['content'] or b'')}:{len(p.get('content') or b'')}:{p['text']}:{p.get('text')}:{p.get('uri')}" for p in task["parts"]]
         return " ".join(seen), 1
 
     tasks, parts = ready(spark, stored)
