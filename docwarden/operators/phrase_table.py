@@ -8,6 +8,8 @@ suffixes (Aho-Corasick). A trie holds a bounded number of characters; a table be
 from __future__ import annotations
 
 import uuid
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -19,49 +21,75 @@ from .detect import THREATS_TYPE, normalized
 
 #: Characters of phrases in one trie: some tens of bytes each in every Python worker.
 TRIE_CHARS = 4_000_000
+#: Findings, or characters of texts, after which a worker hands over what it has found.
+PIECE = 50_000
 
 _FOUND = pa.list_(
     pa.struct([("start", pa.int32()), ("end", pa.int32()), ("phrase", pa.string()), ("kind", pa.string()), ("severity", pa.string()), ("description", pa.string())])
 )
 _FOUND_SQL = "array<struct<start:int,end:int,phrase:string,kind:string,severity:string,description:string>>"
-_TRIES: dict[str, object] = {}
+_TRIES: dict[str, tuple] = {}
 
 
-def _trie(key: str, rules: Broadcast):
-    """One trie per table and Python worker."""
+def _tries(key: str, parts: list[Broadcast]) -> tuple:
+    """The tries of a table, one for each part, and the rules as Arrow columns, those of a phrase side by side; once per Python worker."""
     if key not in _TRIES:
         import ahocorasick
 
-        by_phrase: dict[str, list[tuple]] = {}
-        for phrase, *rest in rules.value:
-            by_phrase.setdefault(phrase, []).append(tuple(rest))
-        trie = ahocorasick.Automaton()
-        for phrase, told in by_phrase.items():
-            trie.add_word(phrase, (phrase, told))
-        trie.make_automaton()
-        _TRIES[key] = trie if by_phrase else None
+        _TRIES.clear()
+        tries, told = [], []
+        for part in parts:
+            by_phrase: dict[str, list[tuple]] = {}
+            for phrase, *rest in part.value:
+                by_phrase.setdefault(phrase, []).append(tuple(rest))
+            trie = ahocorasick.Automaton()
+            for phrase, some in by_phrase.items():
+                trie.add_word(phrase, (len(phrase), len(told), len(some)))
+                told += [(phrase, *t) for t in some]
+            if by_phrase:
+                trie.make_automaton()
+                tries.append(trie)
+        _TRIES[key] = (tries, [pa.array([t[i] for t in told], pa.string()) for i in range(4)])
     return _TRIES[key]
 
 
-def _search(rules: Broadcast):
+def _found(texts: pa.Array, tries: list, columns: list[pa.Array], most: int) -> Iterator[pa.Array]:
+    """Findings of each text, in pieces of whole texts that are cut once ``most`` findings or characters have come together."""
+    ends, starts, stops, rule, size = [0], array("i"), array("i"), array("q"), 0
+
+    def piece() -> pa.Array:
+        at = pa.array(rule, pa.int64())
+        fields = [pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), *(c.take(at) for c in columns)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_FOUND.value_type)))
+
+    for value in texts:
+        text = value.as_py() or ""
+        seen: set[int] = set()
+        for trie in tries:
+            for last, (length, told, many) in trie.iter(text):
+                if told not in seen:
+                    seen.add(told)
+                    for i in range(told, told + many):
+                        starts.append(last + 1 - length)
+                        stops.append(last + 1)
+                        rule.append(i)
+        ends.append(len(rule))
+        size += len(text)
+        if len(rule) >= most or size >= most:
+            yield piece()
+            ends, starts, stops, rule, size = [0], array("i"), array("i"), array("q"), 0
+    if len(ends) > 1:
+        yield piece()
+
+
+def _search(parts: list[Broadcast]):
     key = uuid.uuid4().hex
 
     @F.arrow_udf(_FOUND_SQL)
-    def found(texts: pa.Array) -> pa.Array:
-        trie, out = _trie(key, rules), []
-        for text in texts.to_pylist():
-            first: dict[str, tuple] = {}
-            for last, (phrase, told) in trie.iter(text) if trie and text else ():
-                if phrase not in first:
-                    first[phrase] = (last + 1 - len(phrase), told)
-            out.append(
-                [
-                    {"start": at, "end": at + len(phrase), "phrase": phrase, "kind": kind, "severity": severity, "description": description}
-                    for phrase, (at, told) in first.items()
-                    for kind, severity, description in told
-                ]
-            )
-        return pa.array(out, _FOUND)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # A batch of texts may hold many times its size in findings, so they leave in pieces.
+        for texts in batches:
+            yield from _found(texts, *_tries(key, parts), PIECE)
 
     return found
 
@@ -98,15 +126,15 @@ def find_phrases(df: DataFrame, text_col: str, table: DataFrame, to: str = "thre
     size = rules.agg(F.sum(F.length("phrase"))).first()[0] or 0
     n = max(1, -(-size // trie_chars))
     context = df.sparkSession.sparkContext
-    norm = "__norm"
-    out = df.withColumn(norm, normalized(F.coalesce(F.col(text_col), F.lit(""))))
-    names = []
+    norm, found = "__norm", "__found"
+    parts = []
     for i in range(n):
         part = rules.where(F.pmod(F.xxhash64("phrase"), F.lit(n)) == i).collect() if n > 1 else rules.collect()
-        names.append(f"__found{i}")
-        out = out.withColumn(names[-1], _search(context.broadcast([tuple(r) for r in part]))(F.col(norm)))
+        parts.append(context.broadcast([tuple(r) for r in part]))
+    out = df.withColumn(norm, normalized(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumn(found, _search(parts)(F.col(norm)))
     threats = F.transform(
-        F.array_sort(F.concat(*names)),
+        F.sort_array(found),
         lambda t: F.struct(t["kind"], t["severity"], t["phrase"], t["description"], t["start"], t["end"], F.lit(1.0)),
     )
-    return out.withColumn(to, threats.cast(THREATS_TYPE)).drop(norm, *names)
+    return out.withColumn(to, threats.cast(THREATS_TYPE)).drop(norm, found)
