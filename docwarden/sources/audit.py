@@ -7,15 +7,30 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..rules import AuditOptions
 
 
+#: Rows of a day beyond which its part in one task goes on in another file.
+ROWS_PER_FILE = 1_000_000
+
+
+def _by_day(audit: DataFrame) -> DataFrame:
+    """Rows in order of day, in even parts for all cores: many short days cost their files, not their bytes, and a long day is several parts.
+
+    Spark looks at a sample before it cuts the parts; it takes it from rows that have been shuffled, so nothing before is done twice.
+    """
+    spark = audit.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.xxhash64(*(F.col(f"`{f.name}`") for f in audit.schema if isinstance(f.dataType, AtomicType)))
+    return audit.repartition(spread).repartitionByRange(parts, "audit_date", spread)
+
+
 def write_audit(audit: DataFrame, path: str) -> None:
-    """Append records to parquet, one directory per ``audit_date``. Rows are gathered by day, and Spark
-    splits big days and merges small ones, so files come out in even size whatever the days hold."""
-    balanced = audit.hint("rebalance", "audit_date")
-    balanced.write.mode("append").partitionBy("audit_date").parquet(path)
+    """Append records to parquet, one directory per ``audit_date``. Files come out in even size whatever the days hold."""
+    writer = _by_day(audit).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.partitionBy("audit_date").parquet(path)
 
 
 def stream_audit(audit: DataFrame, path: str, checkpoint: str):
@@ -32,17 +47,29 @@ def stream_audit(audit: DataFrame, path: str, checkpoint: str):
 def audit_sink(audit: DataFrame, path: str, checkpoint: str):
     """Streaming writer of which a batch that is run again after a failure replaces what its first run wrote; the caller starts it.
 
-    Every batch has a folder of its own in each day (``audit_date``, ``batch_id``). ``read_audit`` reads the table.
+    Every batch has a folder of its own in each day (``audit_date``, ``batch_id``). ``read_audit`` reads the table. A batch that was
+    begun before (a mark in ``_begun``) replaces its folders one by one; any other is appended at once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "audit_date")
-        writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = _by_day(batch.withColumn("batch_id", F.lit(batch_id))).write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        if _begins(batch.sparkSession, path, batch_id):
+            writer = writer.mode("append")
+        else:
+            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("audit_date", "batch_id").parquet(path)
 
     return audit.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def _begins(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Marks a batch as begun; whether it surely was not before. A table without marks may hold parts of any."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marked = files.exists(place(f"{path}/_begun")) or not files.exists(place(path))
+    return files.createNewFile(place(f"{path}/_begun/{batch_id}")) and marked
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """The records of an audit table, however it was written."""
     return spark.read.parquet(path).drop("batch_id")
