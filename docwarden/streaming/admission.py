@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,15 +18,17 @@ from ..rules import RateLimits
 
 # Kind of a row that closes a stream: it only moves the watermark.
 CLOSING = "closing"
-#: Width of a bucket of waiting rows.
+#: Waiting rows lie in chunks, each kept under the bucket of time of its first row.
 BUCKET_US = 5_000_000
+CHUNK_ROWS = 512
 OUTPUT = "user string, seq long, ts timestamp, allowed boolean, message string"
 
 
 class AdmissionProcessor(StatefulProcessor):
     """Holds a user's rows until the watermark has passed them, then decides them in time order, so that
-    rows may come in any order within the watermark delay. State: the rows waiting, by buckets of time, of which a trigger
-    reads those that are due or get rows and no others; and a log bounded by the limits, dropped once it is blank."""
+    rows may come in any order within the watermark delay. State: the rows waiting, in chunks by time, of which a trigger
+    reads those that are due or whose first bucket gets rows and no others; and a log bounded by the limits, dropped once it is blank.
+    Every call to the state is a round trip, so rows that come together are kept together."""
 
     def __init__(self, limits: RateLimits):
         self.limits = limits
@@ -35,39 +39,50 @@ class AdmissionProcessor(StatefulProcessor):
         self.log = handle.getValueState("log", "state string")
 
     def _held(self, bucket: int) -> list[list[int]]:
-        return json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+        return json.loads(self.waiting.getValue((bucket,))[0])
+
+    def _keep(self, rows: list[list[int]], buckets: set[int]) -> None:
+        """Put rows, in order of time, by; ``buckets`` are those under which something lies, and grow."""
+        i = 0
+        while i < len(rows):
+            bucket = rows[i][0] // BUCKET_US
+            taken = bucket in buckets
+            # What lies there already gets the rows of its own bucket only, or it would grow without end.
+            j = bisect_left(rows, [(bucket + 1) * BUCKET_US], i)
+            if not taken:
+                j = max(j, min(i + CHUNK_ROWS, len(rows)))
+            some = (self._held(bucket) if taken else []) + rows[i:j]
+            self.waiting.updateValue((bucket,), (json.dumps(some),))
+            buckets.add(bucket)
+            i = j
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[list[int]]] = {}
+        new: list[list[int]] = []
         for batch in rows:
-            for row in batch.loc[batch["turn"] < 2, ["ts_us", "turn", "seq", "tokens"]].itertuples(index=False):
-                new.setdefault(int(row[0]) // BUCKET_US, []).append([int(v) for v in row])
-        for bucket, some in new.items():
-            self.waiting.updateValue((bucket,), (json.dumps(self._held(bucket) + some),))
-        return self._decide(key, timerValues)
+            some = batch.loc[batch["turn"] < 2, ["ts_us", "turn", "seq", "tokens"]]
+            new += [[int(v) for v in row] for row in some.itertuples(index=False)]
+        return self._decide(key, timerValues, sorted(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         return self._decide(key, timerValues)
 
-    def _decide(self, key, timer_values) -> Iterator[pd.DataFrame]:
+    def _decide(self, key, timer_values, new: list[list[int]] = []) -> Iterator[pd.DataFrame]:
         mark = timer_values.getCurrentWatermarkInMs() * 1000
-        buckets = sorted(k[0] for k in self.waiting.keys())
-        due: list[list[int]] = []
-        next_at = None
-        for bucket in buckets:
+        buckets = {k[0] for k in self.waiting.keys()}
+        due = list(new)
+        for bucket in sorted(buckets):
             if bucket * BUCKET_US > mark:
-                next_at = bucket * BUCKET_US if next_at is None else next_at
                 break
-            rows = sorted(self._held(bucket))
-            # A row at the watermark is due: Spark takes it for late from now on.
-            later = [r for r in rows if r[0] > mark]
-            due += rows[: len(rows) - len(later)]
-            if not later:
-                self.waiting.removeKey((bucket,))
-            else:
-                next_at = later[0][0] if next_at is None else next_at
-                if len(later) < len(rows):
-                    self.waiting.updateValue((bucket,), (json.dumps(later),))
+            due += self._held(bucket)
+            self.waiting.removeKey((bucket,))
+            buckets.remove(bucket)
+        due.sort()
+        # A row at the watermark is due: Spark takes it for late from now on.
+        at = bisect_right(due, mark, key=itemgetter(0))
+        due, later = due[:at], due[at:]
+        self._keep(later, buckets)
+        first = [later[0][0]] if later else []
+        next_at = min(first + [b * BUCKET_US for b in buckets if b * BUCKET_US > mark], default=None)
         saved = self.log.get()
         log = UserLog(self.limits, saved[0] if saved else None)
         codes = log.decide([r[0] for r in due], [r[1] == 0 for r in due], [r[3] for r in due])

@@ -1,13 +1,15 @@
 import random
 from dataclasses import replace
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docwarden.operators import admission as A
 from docwarden.operators import admission_split as S
 from docwarden.rules import RateLimits
-from docwarden.streaming.admission import admit_stream
+from docwarden.streaming.admission import AdmissionProcessor, admit_stream
 
 from . import row_models as M
 
@@ -186,3 +188,47 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(300)
     got = {r.seq: (r.allowed, r.message) for r in spark.table("admitted").collect()}
     assert got == expected(rows, limits)
+
+
+class _State(dict):
+    """A map state, a value state and a handle with timers in one; counts calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls, self.value, self.timers = 0, None, set()
+        self.updateValue = lambda k, v: self._call(self.__setitem__, k[0], v)
+        self.getValue = lambda k: self._call(dict.get, self, k[0])
+        self.removeKey = lambda k: self._call(self.pop, k[0])
+        self.containsKey = lambda k: self._call(self.__contains__, k[0])
+        self.getMapState = self.getValueState = lambda *_: self
+        self.registerTimer, self.deleteTimer, self.listTimers = self.timers.add, self.timers.discard, lambda: list(self.timers)
+        self.get, self.update, self.clear = lambda: self.value, lambda v: setattr(self, "value", v), lambda: setattr(self, "value", None)
+
+    def _call(self, what, *given):
+        self.calls += 1
+        return what(*given)
+
+    def keys(self):
+        self.calls += 1
+        return [(k,) for k in dict.keys(self)]
+
+
+@pytest.mark.parametrize("spread", [1_000_000, 20_000_000])
+def test_waiting_rows_take_few_calls_to_the_state(spread):
+    """Rows that come together are kept and read together, however far apart in time, and decided as in a batch."""
+    limits = RateLimits(requests_per_minute=12, tokens_per_minute=900, concurrent_requests=6)
+    rng = random.Random(3)
+    rows = [("u", 10**9 + i * spread + rng.randrange(spread), rng.choice(["request", "request", "release"]), i, rng.choice([0, 50, 300])) for i in range(3000)]
+    times = sorted(r[1] for r in rows)
+    processor, waiting, log = AdmissionProcessor(limits), _State(), _State()
+    processor.init(waiting)
+    processor.log = log
+    got, arriving = {}, rng.sample(rows, len(rows))
+    parts = [arriving[:1500], arriving[1500:1510], arriving[1510:], []]
+    for part, mark in zip(parts, (0, 0, times[700], times[-1])):
+        frame = pd.DataFrame([(us, 0 if kind == "release" else 1, seq, tokens) for _, us, kind, seq, tokens in part], columns=["ts_us", "turn", "seq", "tokens"])
+        timer = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: -(-mark // 1000))
+        for out in processor.handleInputRows(("u",), iter([frame]), timer):
+            got |= {r.seq: (None if pd.isna(r.allowed) else r.allowed, r.message) for r in out.itertuples()}
+    assert got == expected(rows, limits)
+    assert not dict.keys(waiting) and waiting.calls < 120
