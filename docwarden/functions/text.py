@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Whitespace of Unicode and U+001C to U+001F without the line feed, one by one: Java tests ``\s`` under ``(?U)`` several times slower.
+SPACES = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Characters that do not count as special.
-_SPECIAL = r"""(?U)[^a-zA-Z0-9\s\x1c-\x1f.,!?;:'"()-]"""
+_SPECIAL = rf"""[^a-zA-Z0-9\n{SPACES}.,!?;:'"()-]"""
 
 
 def fixed2(x: str) -> Column:

@@ -36,8 +36,8 @@ RULE_LINE_LIMIT = 10
 INSTRUCTION_WORD_LIMIT = 5
 ENTROPY_MIN_LENGTH = 50
 ENTROPY_LIMIT = 5.5
-# The look-behind only keeps the search from starting again inside the same run.
-BASE64_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{50,}={0,2}"
+# A run of 50 is looked for from where a run begins, so that the search does not start again inside the same run.
+BASE64_RUN = r"(?:^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{50}"
 
 
 def _threat(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import py_strip
+from ..functions.text import SPACES
 from ..functions.unicode import nfkc
 from ..rules import InputLimits
 
@@ -29,7 +30,8 @@ def collapse_whitespace(text: Column) -> Column:
     """LF line ends, one space per run of other whitespace, no blanks at line ends."""
     text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     text = F.replace(text, F.lit("\r"), F.lit("\n"))
-    text = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
+    # A blank that stands alone stays as it is, so it is not matched.
+    text = F.regexp_replace(text, rf" [{SPACES}]+|[{SPACES}&&[^ ]][{SPACES}]*", " ")
     return F.regexp_replace(text, r" (?=\n|\z)", "")
 
 
