@@ -19,18 +19,19 @@ ROWS_PER_FILE = 1_000_000
 def _by_day(audit: DataFrame) -> DataFrame:
     """Rows in order of day, in even parts for all cores: many short days cost their files, not their bytes, and a long day is several parts.
 
-    Spark looks at a sample before it cuts the parts; it takes it from rows that have been shuffled, so nothing before is done twice.
+    Spark looks at a sample before it cuts the parts, so ``audit`` is computed twice unless it is kept.
     """
     spark = audit.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = F.xxhash64(*(F.col(f"`{f.name}`") for f in audit.schema if isinstance(f.dataType, AtomicType)))
-    return audit.repartition(spread).repartitionByRange(parts, "audit_date", spread)
+    return audit.repartitionByRange(parts, "audit_date", spread)
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
-    """Append records to parquet, one directory per ``audit_date``. Files come out in even size whatever the days hold."""
-    writer = _by_day(audit).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE)
-    writer.partitionBy("audit_date").parquet(path)
+    """Append records to parquet, one directory per ``audit_date``. Rows are gathered by day, and Spark
+    splits big days and merges small ones, so files come out in even size whatever the days hold."""
+    balanced = audit.hint("rebalance", "audit_date")
+    balanced.write.mode("append").partitionBy("audit_date").parquet(path)
 
 
 def stream_audit(audit: DataFrame, path: str, checkpoint: str):
@@ -52,12 +53,14 @@ def audit_sink(audit: DataFrame, path: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         writer = _by_day(batch.withColumn("batch_id", F.lit(batch_id))).write.option("maxRecordsPerFile", ROWS_PER_FILE)
         if _begins(batch.sparkSession, path, batch_id):
             writer = writer.mode("append")
         else:
             writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("audit_date", "batch_id").parquet(path)
+        batch.unpersist()
 
     return audit.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
 
