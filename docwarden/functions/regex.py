@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,14 @@ MATCH_TYPE = "array<struct<value:string,start:int,end:int>>"
 
 _PY_SPACE = r"\s\x1c-\x1f"
 # The whitespace of Python's str.strip().
-_STRIPPED = (
+WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 # What lower case leaves of the characters that regexes take for ASCII i and s: dotless i, long s and
 # dotted capital I.
-_FOLDED = ("\u0131", "\u017f", "i\u0307")
+FOLDED = ("\u0131", "\u017f", "i\u0307")
 
 
 def jregex(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
@@ -117,29 +119,43 @@ def sql_text(value: str) -> str:
 # of them, and built call by call they cost the driver seconds per query.
 
 
-def may_match(low: str, needs: tuple[tuple[str, ...], ...]) -> str | None:
-    """SQL of a cheap necessary condition on the lowered text: one literal of every group occurs."""
-    if not needs:
-        return None
+def contains_any(low: str, literals: Iterable[str]) -> str:
+    """SQL: one of the literals occurs."""
+    return "(" + " OR ".join(f"contains({low}, {sql_text(x)})" for x in literals) + ")"
+
+
+def has_folded(low: str) -> str:
+    """SQL: the lowered text holds a character that regexes take for an ASCII letter, so that literals tell nothing."""
+    return contains_any(low, FOLDED)
 
-    def any_of(literals: tuple[str, ...]) -> str:
-        return "(" + " OR ".join(f"contains({low}, {sql_text(x)})" for x in literals) + ")"
 
-    return f"({' AND '.join(map(any_of, needs))} OR {any_of(_FOLDED)})"
+def may_match(low: str, needs: tuple[tuple[str, ...], ...], folded: str | None = None) -> str | None:
+    """SQL of a cheap necessary condition on the lowered text: one literal of every group occurs.
+
+    ``folded`` names a column of ``has_folded``, for those who test many patterns on one text.
+    """
+    if not needs:
+        return None
+    return f"({' AND '.join(contains_any(low, group) for group in needs)} OR {folded or has_folded(low)})"
 
 
 def matches(
-    text: str, jpattern: str, low: str | None = None, needs: tuple[tuple[str, ...], ...] = ()
+    text: str,
+    jpattern: str,
+    low: str | None = None,
+    needs: tuple[tuple[str, ...], ...] = (),
+    guard: str | None = None,
 ) -> Column:
-    """True where the pattern occurs (``re.search``); ``needs`` may spare the regex, see the rules."""
-    guard = None if low is None else may_match(low, needs)
+    """True where the pattern occurs (``re.search``); ``needs`` may spare the regex, see the rules, or the ``guard`` (SQL) given for them."""
+    if guard is None and low is not None:
+        guard = may_match(low, needs)
     found = f"{text} RLIKE {sql_text(jpattern)}"
     return F.expr(found if guard is None else f"{guard} AND {found}")
 
 
 def py_strip(text: Column) -> Column:
     """``str.strip()``."""
-    return F.btrim(text, F.lit(_STRIPPED))
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def spans_sql(text: str, jpattern: str, only_where: str | None = None) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import jregex, matches, may_match, py_strip, spans_sql, sql_text
-from ..functions.text import char_entropy, fixed2, special_char_ratio, substring_count
+from ..functions.text import MOST_NEEDS, fixed2, special_ratio, substring_count, text_measures
 from ..rules import (
     INSTRUCTION_WORDS,
     REPAIRED,
@@ -69,6 +69,17 @@ def normalized(text: Column) -> Column:
     return py_strip(F.lower(text))
 
 
+def telling_parts(phrases: list[str]) -> list[str]:
+    """Few literals of which every phrase holds one: long words, those that most phrases share first, else the phrase itself."""
+    parts, left = [], sorted(set(phrases))
+    while left:
+        words = sorted({w for p in left for w in p.split() if len(w) > 4})
+        best = max(words, key=lambda w: (sum(w in p for p in left), len(w)), default=left[0])
+        parts.append(best)
+        left = [p for p in left if best not in p]
+    return parts
+
+
 def phrase_threats(norm: Column, rules: RuleSet = REPAIRED) -> Column:
     """One critical threat per blocked phrase present, at its first position in the normalized text."""
     phrases = F.array(*[F.lit(p.lower()) for p in rules.blocked_phrases])
@@ -93,10 +104,11 @@ def rule_pattern(rule: RegexRule) -> str:
     return jregex(rule.pattern, ignore_case=True, multiline=True)
 
 
-def regex_threats(text: str, low: str, rule: RegexRule) -> Column:
-    """One threat per match of one rule, left to right; ``low`` names the text in lower case."""
+def regex_threats(text: str, low: str, rule: RegexRule, guard: str | None = None) -> Column:
+    """One threat per match of one rule, left to right; ``low`` names the text in lower case, ``guard`` (SQL) takes the place of
+    the rule's literals."""
     kind, severity, text_ = map(sql_text, (rule.threat_type, rule.severity, rule.description))
-    spans = spans_sql(text, rule_pattern(rule), may_match(low, rule.needs))
+    spans = spans_sql(text, rule_pattern(rule), guard or may_match(low, rule.needs))
     return F.expr(
         f"cast(transform({spans}, m -> struct({kind}, {severity}, m.value, {text_}, m.start, m.`end`, 1D))"
         f" AS {THREATS_TYPE})"
@@ -192,25 +204,25 @@ def encoding_warnings(text: Column, entropy_col: str) -> Column:
     )
 
 
-def first_marker(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+def first_marker(text: str, low: str, rules: RuleSet = REPAIRED, guards: list[str] | None = None) -> Column:
     """The first conversation-marker pattern that occurs, else null."""
     hits = [
-        F.when(matches(text, jregex(m.pattern), low, m.needs), F.lit(m.pattern))
-        for m in rules.conversation_markers
+        F.when(matches(text, jregex(m.pattern), low, m.needs, guard), F.lit(m.pattern))
+        for m, guard in zip(rules.conversation_markers, guards or [None] * len(rules.conversation_markers))
     ]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def simulates_system(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+def simulates_system(text: str, low: str, rules: RuleSet = REPAIRED, guard: str | None = None) -> Column:
     known = rules.system_simulation
     if known is None:
         return F.lit(False)
-    return matches(text, jregex(known.pattern), low, known.needs)
+    return matches(text, jregex(known.pattern), low, known.needs, guard)
 
 
-def structure_threats(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+def structure_threats(text: str, low: str, rules: RuleSet = REPAIRED, guards: list[str] | None = None) -> Column:
     """Fake conversation marker, then system-prompt simulation."""
-    marker = first_marker(text, low, rules)
+    marker = first_marker(text, low, rules, guards[:-1] if guards else None)
     return F.array_compact(
         F.array(
             F.when(
@@ -220,7 +232,7 @@ def structure_threats(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
                 ),
             ),
             F.when(
-                simulates_system(text, low, rules),
+                simulates_system(text, low, rules, guards[-1] if guards else None),
                 _threat(
                     "context_manipulation",
                     "critical",
@@ -263,12 +275,14 @@ def detect_injection(
     extra_threats: str | None = None,
     key_col: str | None = None,
     prefix: str = "",
+    low_col: str | None = None,
 ) -> DataFrame:
     """Add ``is_safe``, ``risk_score``, ``threats`` and ``warnings`` (and ``check_id`` with a key).
 
     Threats come in the order phrases, regex rules, heuristics, structure; warnings in the order terms,
     entropy, base64, elevated score. ``extra_threats`` names an ``array<threat>`` column, for instance
-    from a classifier, that is scored along. A null text counts as empty.
+    from a classifier, that is scored along. A null text counts as empty. ``low_col`` names a column that holds
+    ``lower(text_col)`` already.
     """
     names = {n: prefix + n for n in ("is_safe", "risk_score", "threats", "warnings", "check_id")}
     identity = (
@@ -287,27 +301,41 @@ def detect_injection(
 
     text, low, norm = F.col("__text"), F.col("__low"), F.col("__norm")
     staged = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    staged = staged.withColumn("__low", F.lower(text))
+    staged = staged.withColumn("__low", F.coalesce(F.col(low_col), F.lit("")) if low_col else F.lower(text))
+    simulation = rules.system_simulation.needs if rules.system_simulation else ()
+    needs = (
+        (tuple(telling_parts([p.lower() for p in rules.blocked_phrases])),),
+        (tuple(t.lower() for t in rules.warning_terms),),
+        *(r.needs for r in rules.injection_rules),
+        *(m.needs for m in rules.conversation_markers),
+        simulation,
+    )
+    # Short texts were not asked and are simply searched, as for conditions beyond those that fit.
+    guards = [f"coalesce(getbit(__may, {i}) = 1, true)" if i < MOST_NEEDS else "true" for i in range(len(needs))]
+    n_rules = len(rules.injection_rules)
+    staged = staged.withColumn("__measures", text_measures(text, ENTROPY_MIN_LENGTH, INSTRUCTION_WORDS, needs))
     staged = staged.withColumns(
         {
             "__norm": py_strip(low),
-            "__ratio": special_char_ratio(text),
-            "__words": instruction_word_count(low),
-            "__entropy": char_entropy(text, ENTROPY_MIN_LENGTH),
+            "__may": F.col("__measures.may"),
+            "__ratio": special_ratio(text, F.col("__measures.special")),
+            "__words": F.coalesce(F.col("__measures.words"), instruction_word_count(low)),
+            "__entropy": F.col("__measures.entropy"),
         }
     )
     extra = F.col(extra_threats).cast(THREATS_TYPE) if extra_threats else F.lit(None)
     staged = staged.withColumns(
         {
             names["threats"]: F.concat(
-                phrase_threats(norm, rules),
-                *[regex_threats("__text", "__low", r) for r in rules.injection_rules],
+                F.when(F.expr(guards[0]), phrase_threats(norm, rules)).otherwise(F.array().cast(THREATS_TYPE)),
+                *[regex_threats("__text", "__low", r, g) for r, g in zip(rules.injection_rules, guards[2:])],
                 heuristic_threats(text, "__ratio", F.col("__words")),
-                structure_threats("__text", "__low", rules),
+                structure_threats("__text", "__low", rules, guards[2 + n_rules :]),
                 F.coalesce(extra, F.array()).cast(THREATS_TYPE),
             ),
             "__warnings": F.concat(
-                term_warnings(norm, rules), encoding_warnings(text, "__entropy")
+                F.when(F.expr(guards[1]), term_warnings(norm, rules)).otherwise(F.array().cast(WARNINGS_TYPE)),
+                encoding_warnings(text, "__entropy")
             ),
         }
     )
@@ -326,7 +354,7 @@ def detect_injection(
             names["warnings"]: F.concat("__warnings", elevated),
             **identity,
         }
-    ).drop("__text", "__low", "__norm", "__ratio", "__words", "__entropy", "__warnings")
+    ).drop("__text", "__low", "__measures", "__norm", "__may", "__ratio", "__words", "__entropy", "__warnings")
 
 
 def explode_findings(df: DataFrame, key_cols: list[str], array_col: str, number: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import jregex, match_spans, matches, replace_all, sql_text
+from ..functions.regex import has_folded, jregex, match_spans, matches, may_match, replace_all, sql_text
 from ..rules import REPAIRED, PiiRule, RuleSet
 from .detect import explode_findings
 
@@ -17,19 +19,27 @@ PII_TYPE = (
 BLOCKED_TEXT = "[OUTPUT BLOCKED:  Security policy violation detected]"
 
 
-def blocked_descriptions(text: str, rules: RuleSet = REPAIRED, low: str | None = None) -> Column:
-    """Descriptions of the blocking rules that occur, in rule order; ``low`` names the text in lower case."""
+def blocked_descriptions(text: str, rules: RuleSet = REPAIRED, low: str | None = None, folded: str | None = None) -> Column:
+    """Descriptions of the blocking rules that occur, in rule order; ``low`` names the text in lower case, ``folded`` its ``has_folded``."""
     low = low or f"lower({text})"
     hits = [
-        F.when(matches(text, jregex(r.pattern, ignore_case=True), low, r.needs), F.lit(r.description))
+        F.when(matches(text, jregex(r.pattern, ignore_case=True), low, r.needs, may_match(low, r.needs, folded)), F.lit(r.description))
         for r in rules.blocked_outputs
     ]
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
+def _hint(text: str, rule: PiiRule) -> str | None:
+    """SQL of a rule's hint; one without special characters is looked up as it stands."""
+    if rule.hint is None:
+        return None
+    plain = re.escape(rule.hint) == rule.hint
+    return f"contains({text}, {sql_text(rule.hint)})" if plain else f"{text} RLIKE {sql_text(jregex(rule.hint))}"
+
+
 def pii_spans(text: str, rule: PiiRule) -> Column:
     """All matches of one rule, left to right."""
-    hint = None if rule.hint is None else f"{text} RLIKE {sql_text(jregex(rule.hint))}"
+    hint = _hint(text, rule)
     return match_spans(text, jregex(rule.pattern), hint)
 
 
@@ -37,14 +47,14 @@ def redact_text(text: str, rule: PiiRule) -> Column:
     redacted = replace_all(F.col(text), jregex(rule.pattern), rule.redaction)
     if rule.hint is None:
         return redacted
-    return F.when(F.col(text).rlike(jregex(rule.hint)), redacted).otherwise(F.col(text))
+    return F.when(F.expr(_hint(text, rule)), redacted).otherwise(F.col(text))
 
 
-def credential_warnings(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+def credential_warnings(text: str, low: str, rules: RuleSet = REPAIRED, folded: str | None = None) -> Column:
     """One warning per credential shape that occurs; ``low`` names the text in lower case."""
     hits = [
         F.when(
-            matches(text, jregex(r.pattern), low, r.needs),
+            matches(text, jregex(r.pattern), low, r.needs, may_match(low, r.needs, folded)),
             F.lit(f"{r.description} detected in output"),
         )
         for r in rules.credential_rules
@@ -52,11 +62,11 @@ def credential_warnings(text: str, low: str, rules: RuleSet = REPAIRED) -> Colum
     return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
-def discloses_prompt(text: str, low: str, rules: RuleSet = REPAIRED) -> Column:
+def discloses_prompt(text: str, low: str, rules: RuleSet = REPAIRED, folded: str | None = None) -> Column:
     """True if any of the disclosure phrases occurs."""
     found = F.lit(False)
     for p in rules.disclosure_patterns:
-        found = found | matches(text, jregex(p.pattern), low, p.needs)
+        found = found | matches(text, jregex(p.pattern), low, p.needs, may_match(low, p.needs, folded))
     return found
 
 
@@ -94,12 +104,14 @@ def filter_output(
     rules: RuleSet = REPAIRED,
     enabled: bool = True,
     prefix: str = "",
+    low_col: str | None = None,
 ) -> DataFrame:
     """Add ``is_safe``, ``filtered_output``, ``pii``, ``blocked_patterns``, ``warnings`` and
     ``was_modified``.
 
     Rules run in order, each on the text as redacted by the rules before it; within a rule, matches are
-    listed last to first. A blocked answer skips everything after the blocking test.
+    listed last to first. A blocked answer skips everything after the blocking test. ``low_col`` names a column that
+    holds ``lower(text_col)`` already.
     """
     n = {
         k: prefix + k
@@ -121,14 +133,15 @@ def filter_output(
             }
         )
 
-    # Lowered once before and once after redaction; each in its own step, so that it is not repeated in every test.
-    staged = df.withColumn("__low0", F.lower(source)) if check_leaks else df
-    blocked = blocked_descriptions(text_col, rules, "__low0") if check_leaks else no_strings
+    # Lowered once, and again where redaction changed the text; each in its own step, so that it is not repeated in every test.
+    staged = df.withColumn("__low0", F.col(low_col) if low_col else F.lower(source))
+    staged = staged.withColumn("__folded0", F.expr(has_folded("__low0")))
+    blocked = blocked_descriptions(text_col, rules, "__low0", "__folded0") if check_leaks else no_strings
     staged = staged.withColumn(n["blocked_patterns"], F.coalesce(blocked, no_strings))
     is_blocked = F.size(n["blocked_patterns"]) > 0
     # Blocked rows carry a null through the later steps, so those cost nothing.
     staged = staged.withColumn("__t0", F.when(~is_blocked, source))
-    temps = ["__t0", "__low0"]
+    temps = ["__t0", "__low0", "__folded0"]
     for i, rule in enumerate(rules.pii_rules):
         text = f"__t{i}"
         redacts = redact_pii and rule.action == "redact"
@@ -139,10 +152,16 @@ def filter_output(
             }
         )
         temps += [f"__m{i}", f"__t{i + 1}"]
-    last, low = f"__t{len(rules.pii_rules)}", "__low"
+    last, low, folded = f"__t{len(rules.pii_rules)}", "__low", "__folded"
     final = F.col(last)
-    staged = staged.withColumn(low, F.lower(final))
-    temps.append("__low")
+    same = final == F.col("__t0")
+    staged = staged.withColumns(
+        {
+            low: F.when(same, F.col("__low0")).when(final.isNotNull(), F.lower(final)),
+            folded: F.when(same, F.col("__folded0")).when(final.isNotNull(), F.expr(has_folded(f"lower({last})"))),
+        }
+    )
+    temps += [low, folded]
 
     flags = [
         _flag_texts(rule, F.col(f"__m{i}"))
@@ -150,7 +169,7 @@ def filter_output(
         if rule.action == "flag"
     ]
     disclosure = F.when(
-        discloses_prompt(last, low, rules),
+        discloses_prompt(last, low, rules, folded),
         F.array(F.lit("Potential system prompt disclosure detected")),
     ).otherwise(no_strings)
     redacted = [
@@ -168,7 +187,7 @@ def filter_output(
             n["filtered_output"]: F.when(is_blocked, F.lit(BLOCKED_TEXT)).otherwise(final),
             n["pii"]: F.concat(*lists) if lists else F.array().cast(PII_TYPE),
             n["warnings"]: F.concat(
-                *flags, F.coalesce(credential_warnings(last, low, rules), no_strings), disclosure
+                *flags, F.coalesce(credential_warnings(last, low, rules, folded), no_strings), disclosure
             ),
             n["was_modified"]: modified,
         }
