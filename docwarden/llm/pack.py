@@ -178,7 +178,7 @@ def pieces(path: str, capacity: int, end_id: int):
             ids = batch["id"].to_pylist()
             rows: list[tuple] = []
             held = 0
-            for doc, data in zip(ids, encoder(path)(batch["text"].to_pylist()), strict=True):
+            for doc, data in zip(ids, encoder(path)(batch["text"]), strict=True):
                 data += last
                 n = len(data) // 4
                 at, k = 0, 0

@@ -209,7 +209,7 @@ def write_tokens(
         for batch in batches:
             if batch.num_rows and writer is None:
                 writer = ShardWriter(f"{folder}/shard-{shard:06d}.tokens", id_width)
-            for doc, ids in zip(batch["id"].to_pylist(), encoder(path)(batch["text"].to_pylist()), strict=True):
+            for doc, ids in zip(batch["id"].to_pylist(), encoder(path)(batch["text"]), strict=True):
                 writer.add(doc, ids + end)
         if writer is not None:
             total = writer.close()

@@ -126,6 +126,31 @@ def test_encoder_equals_the_library(monkeypatch):
         small.rest()
 
 
+def test_texts_are_cut_as_by_the_library():
+    library = Tokenizer.from_file(JSON).pre_tokenizer
+    cut = tokens.Pieces(library)
+    rng = random.Random(3)
+    parts = [*" \n\t'strevlmdSaZ9!|", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "é", "日", "😀", "\u0301", "½", "'s", "'re", "'ll", "  "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)]
+    data = [t.encode() for t in texts]
+    starts = np.cumsum([0, *map(len, data)])
+    joined = b"".join(data)
+    at = cut(np.frombuffer(joined, np.uint8), starts).tolist()
+    got = [joined[i:j].decode() for i, j in zip(at, [*at[1:], len(joined)], strict=True)]
+    assert got == [t[i:j] for t in texts for _, (i, j) in library.pre_tokenize_str(t)]
+
+
+def test_the_library_encodes_a_piece_once(monkeypatch):
+    encoder, asked = tokens.Encoder(JSON), []
+    learn = encoder._learned
+    monkeypatch.setattr(encoder, "_learned", lambda pieces: asked.extend(pieces) or learn(pieces))
+    monkeypatch.setattr(encoder, "_whole", lambda text: pytest.fail(f"encoded as a whole: {text!r}"))
+    texts = ["one  two\tthree's", "", None, "\u2019one\u2019  two 😀\r\n\r\n "] * 50
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(texts)] == expected_ids(texts)
+    assert [len(b) for b in encoder([None, ""])] == [0, 0] and list(encoder([])) == []
+    assert len(asked) == len(set(asked))
+
+
 def check_packing(rows, texts, ids, capacity, end):
     want = sorted(((ids[i], np.array(e + [end], "<u4").tobytes()) for i, e in enumerate(expected_ids(texts))), key=str)
     whole = {}
