@@ -16,7 +16,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import time
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Generator, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -54,6 +54,8 @@ class Batched:
 
 
 SPOOL_BYTES = 16 << 20
+GATHER_BYTES = 16 << 20
+GATHERED = "-all.parquet"
 _TASK_COLUMNS = (
     "action", "full_prompt", "session_id", "additional_context", "output_format", "model", "generation_config", "task_error", "n_documents",
     "steps_done",
@@ -82,9 +84,9 @@ class _Part(dict):
 
 
 class _Parts:
-    """The documents of one task, read from the stream on the first pass and from the spool on later ones."""
+    """The documents of one task, read from the stream on the first pass and from the spool on later ones; none that is not asked for is unpacked."""
 
-    def __init__(self, stream: Iterator[dict], memory: int = SPOOL_BYTES):
+    def __init__(self, stream: Iterator[pa.Scalar], memory: int = SPOOL_BYTES):
         self.stream, self.memory, self.spool, self.kept = stream, memory, None, 0
 
     def __iter__(self) -> Iterator[dict]:
@@ -95,9 +97,10 @@ class _Parts:
                 part = pickle.load(self.spool)
                 at = self.spool.tell()
             else:
-                part = next(self.stream, None)
-                if part is None:
+                told = next(self.stream, None)
+                if told is None:
                     return
+                part = _Part(told.as_py())
                 self.spool = self.spool or tempfile.SpooledTemporaryFile(self.memory)
                 self.spool.seek(0, 2)
                 pickle.dump(part, self.spool)
@@ -253,7 +256,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             some = batch.slice(i, 64)
-            yield from zip(*(some[c].to_pylist() for c in ("task_id", "task", "part")), strict=True)
+            yield from zip(some["task_id"].to_pylist(), some["task"].to_pylist(), some["part"], strict=True)
 
 
 def _told(rows: Iterator[tuple], window: int, answered: set) -> Iterator[dict]:
@@ -266,10 +269,10 @@ def _told(rows: Iterator[tuple], window: int, answered: set) -> Iterator[dict]:
             # Documents of a task that is not there.
             continue
 
-        def own(key=key) -> Iterator[dict]:
+        def own(key=key) -> Iterator[pa.Scalar]:
             nonlocal row
             while row is not None and row[1] is None and row[0] == key:
-                part, row = _Part(row[2]), next(rows, None)
+                part, row = row[2], next(rows, None)
                 yield part
 
         held = _Parts(own(), SPOOL_BYTES // window)
@@ -353,7 +356,48 @@ def saved_answers(tasks: DataFrame, folder: str) -> DataFrame:
     """All results that ``run_saved`` has written to ``folder``, with the ``run`` they are from; none if there are none yet."""
     spark = tasks.sparkSession
     schema = RESULT.format(key=dict(tasks.dtypes)["task_id"]) + ", run int"
-    return spark.read.schema(schema).parquet(f"{folder}/answers") if _runs(tasks, folder) else spark.createDataFrame([], schema)
+    if not _runs(tasks, folder):
+        return spark.createDataFrame([], schema)
+    saved = spark.read.schema(schema).parquet(f"{folder}/answers")
+    return saved.dropDuplicates(["run", "task_id"]) if _doubled(folder) else saved
+
+
+def _doubled(folder: str) -> bool:
+    """Whether a task died after it had gathered its files and before all of them were deleted: results stand there twice."""
+    fs, base = place(f"{folder}/answers")
+    files, gathered = Counter(), set()
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)):
+        if f.is_file and f.base_name.startswith("part-"):
+            part = f.path.rpartition("/")[0], f.base_name.split("-")[1]
+            files[part] += 1
+            if f.base_name.endswith(GATHERED):
+                gathered.add(part)
+    return any(files[p] > 1 for p in gathered)
+
+
+def _gather(files: list[str], to: str, schema: pa.Schema, fs: pyarrow.fs.FileSystem) -> None:
+    """One file in place of many of a few rows each, which cost a reader more than the rows in them; each result once."""
+    if len(files) < 2:
+        return
+    base, _, name = to.rpartition("/")
+    seen: set = set()
+    held: list[pa.Table] = []
+    size = 0
+    with pyarrow.parquet.ParquetWriter(f"{base}/_{name}", schema, filesystem=fs) as out:
+        for f in files:
+            some = pyarrow.parquet.read_table(f, schema=schema, filesystem=fs, partitioning=None)
+            keys = some["task_id"].to_pylist()
+            held.append(some.filter(pa.array([k not in seen for k in keys], pa.bool_())))
+            seen.update(keys)
+            size += some.nbytes
+            if size > GATHER_BYTES:
+                out.write_table(pa.concat_tables(held))
+                held, size = [], 0
+        if held:
+            out.write_table(pa.concat_tables(held))
+    fs.move(f"{base}/_{name}", to)
+    for f in files:
+        fs.delete_file(f)
 
 
 def _runs(tasks: DataFrame, folder: str) -> list[int]:
@@ -388,7 +432,8 @@ def run_saved(
     Results are written as they come: after ``save_rows`` of them, or when one comes more than ``save_seconds`` after the last
     writing. A run that ends early, or a Spark task that is repeated, leaves them there; the next one asks only for the
     rest, so that at most the calls since the last writing of a lost executor are made twice. Failed tasks are asked
-    again; of a task of several steps only those from the failed step on. ``folder`` is shared by driver and executors and belongs to these tasks, prompts and
+    again; of a task of several steps only those from the failed step on. A Spark task that comes to its end puts its results into
+    one file. ``folder`` is shared by driver and executors and belongs to these tasks, prompts and
     this kind of run, one run at a time; ``task_id`` must be unique and not null.
     """
     make = _stepwise if multistep else _single
@@ -404,17 +449,16 @@ def run_saved(
         answered = {k for f in earlier for k in pyarrow.parquet.read_table(f, filesystem=fs, columns=["task_id"], partitioning=None)["task_id"].to_pylist()}
         told = _told(_rows(batches), window, answered)
         held: list[dict] = []
-        n = 0
+        written: list[str] = []
 
         def save() -> None:
-            nonlocal n
             if held:
-                name = f"{mine}{TaskContext.get().taskAttemptId()}-{n}.parquet"
+                name = f"{mine}{TaskContext.get().taskAttemptId()}-{len(written)}.parquet"
                 # Whole files only: a name that begins with an underscore is not read.
                 pyarrow.parquet.write_table(pa.Table.from_pylist(held, schema), f"{base}/_{name}", filesystem=fs)
                 fs.move(f"{base}/_{name}", f"{base}/{name}")
                 held.clear()
-                n += 1
+                written.append(f"{base}/{name}")
 
         last = time.monotonic()
         try:
@@ -425,6 +469,7 @@ def run_saved(
                     last = time.monotonic()
         finally:
             save()
+        _gather(earlier + written, f"{base}/{mine}{TaskContext.get().taskAttemptId()}{GATHERED}", schema, fs)
         yield from ()
 
     before = _latest(tasks, folder).select("task_id", F.col("success").alias("__success"), F.col("metadata.steps").alias("steps_done"))

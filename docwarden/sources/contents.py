@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_
 
 import pyarrow as pa
@@ -67,11 +67,16 @@ def store_contents(documents: DataFrame, folder: str, columns: tuple[str, ...] =
     return plain.unionByName(documents.sparkSession.read.schema(schema).parquet(f"{folder}/documents"))
 
 
+@lru_cache(maxsize=64)
+def _opened(uri: str) -> pyarrow.NativeFile:
+    """A file of contents, kept open: a task reads many from few files, which never change."""
+    fs, path = place(uri)
+    return fs.open_input_file(path)
+
+
 def read_content(ref: dict) -> bytes:
     """The bytes of a reference; an error if they are not those that were stored."""
-    fs, path = place(ref["file"])
-    with fs.open_input_file(path) as file:
-        data = file.read_at(ref["length"], ref["start"])
+    data = _opened(ref["file"]).read_at(ref["length"], ref["start"])
     if hashlib.sha256(data).hexdigest() != ref["sha256"]:
         raise ValueError(f"stored content differs from its digest: {ref['file']}")
     return data

@@ -1,6 +1,7 @@
 """Runs that resume, calls in flight, contents by reference."""
 
 import hashlib
+import shutil
 import threading
 import time
 
@@ -154,6 +155,21 @@ def test_a_run_that_dies_keeps_what_it_has(spark, tmp_path):
     assert sorted(map(int, names)) == list(range(N))
 
 
+def test_a_run_leaves_one_file_a_partition(spark, tmp_path):
+    tasks, parts = ready(spark)
+    store = f"file://{tmp_path}/store"
+    out = run_saved(tasks, lambda: lambda task: "said", store, parts, save_rows=1)
+    files = list((tmp_path / "store/answers/run=1").iterdir())
+    assert out.count() == N == saved_answers(tasks, store).count()
+    assert len(files) == len({f.name.split("-")[1] for f in files}) < N
+    # A task that died while it deleted the files that it had put together.
+    whole = next(f for f in files if f.name.endswith("-all.parquet"))
+    shutil.copy(whole, whole.with_name(whole.name.replace("-all", "-0")))
+    assert out.count() == N == saved_answers(tasks, store).count()
+    again = run_saved(tasks, lambda: lambda task: "other", store, parts)
+    assert {r.content for r in again.collect()} == {"said"} and again.count() == N
+
+
 def test_steps_resume(spark, tmp_path):
     tasks, parts = ready(spark)
     tasks = tasks.withColumn("additional_context", F.concat(F.lit("number "), "task_id", F.lit(".")))
