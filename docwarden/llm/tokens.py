@@ -14,10 +14,12 @@ from docwarden.llm.bpe import byte_characters
 
 #: Pieces remembered per Python worker, and bytes of them and their ids; a full memory keeps those of the texts at hand, which
 #: changes no result.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 300_000
 REMEMBERED = 64 << 20
+#: Pieces encoded by one call, for which the library takes some hundred bytes each.
+LEARNED_AT_ONCE = 16_384
 #: Bytes of text that are cut and encoded together.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 # Kinds of characters, as the usual pattern of byte-level tokenizers tells them apart.
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
@@ -98,8 +100,8 @@ class Encoder:
     """The ids of whole texts as bytes (little-endian unsigned 32-bit), equal to one call of the library for each.
 
     Byte-level tokenizers with the usual pattern merge only inside the pieces that it cuts. So texts are cut, many at once,
-    and put together from their different pieces; pieces not met before are encoded by the library, all of a block of texts
-    in one call, as the printable characters that stand for their bytes. Strings of special tokens in a text are ordinary text.
+    and put together from their different pieces; pieces not met before are encoded by the library, those of a block of texts
+    in few calls, as the printable characters that stand for their bytes. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -162,7 +164,7 @@ class Encoder:
             if len(self.known) + len(new) > REMEMBERED_PIECES or self.held > REMEMBERED:
                 self.known = {p: i for p, i in zip(pieces, ids, strict=True) if i is not None}
                 self.held = sum(map(len, self.known)) + sum(map(len, self.known.values()))
-            found = iter(self._learned(new))
+            found = iter([i for k in range(0, len(new), LEARNED_AT_ONCE) for i in self._learned(new[k : k + LEARNED_AT_ONCE])])
             ids = [next(found) if i is None else i for i in ids]
         joined = pa.array(ids, pa.large_binary()).take(cut.indices)
         _, places, held = joined.buffers()
