@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -339,10 +341,17 @@ def detect_blocked_phrases(spark: SparkSession, sf: str) -> DataFrame:
 def detect_phrase_table(spark: SparkSession, sf: str) -> DataFrame:
     """As many rules as documents: two words of each, a quarter of them of a severity that is none."""
     severity = "element_at(array('critical', 'HIGH', 'medium', 'none'), cast(doc_id % 4 + 1 AS int))"
-    rules = table(spark, sf, "documents").selectExpr("array_join(slice(split(text, ' '), 3, 2), ' ') AS phrase", f"{severity} AS severity")
-    found = find_phrases(planted(spark, sf), "t", rules)
-    told = F.transform("threats", lambda t: F.concat_ws(":", t["start"].cast("string"), t["pattern_matched"], t["severity"]))
-    return found.select("doc_id", F.size("threats").cast("long").alias("n_threats"), F.md5(F.array_join(told, "|")).alias("threats"))
+    rules = table(spark, sf, "documents").selectExpr("array_join(slice(split(text, ' ', 5), 3, 2), ' ') AS phrase", f"{severity} AS severity")
+
+    def number_and_list(threats: pa.ListArray) -> pa.Array:
+        """Of each text the number of threats, and place, phrase and severity of each."""
+        each = threats.values
+        place, phrase, severity = (each.field(x).cast(pa.string()) for x in ("start", "pattern_matched", "severity"))
+        told = pa.ListArray.from_arrays(threats.offsets, pc.binary_join_element_wise(place, phrase, severity, ":"))
+        return pa.StructArray.from_arrays([threats.value_lengths().cast(pa.int64()), pc.binary_join(told, "|")], ["n", "told"])
+
+    found = find_phrases(planted(spark, sf), "t", rules, tell=number_and_list, tell_type="struct<n:bigint,told:string>")
+    return found.select("doc_id", F.col("threats.n").alias("n_threats"), F.md5("threats.told").alias("threats"))
 
 
 def _one_injection_rule(name: str, rule) -> None:

@@ -1,9 +1,12 @@
+import random
 from types import SimpleNamespace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from docwarden.operators import phrase_table
 from docwarden.operators.detect import detect_injection, phrase_threats
 from docwarden.operators.phrase_table import _found, _tries, find_phrases
 from docwarden.rules import REPAIRED
@@ -62,3 +65,75 @@ def test_findings_leave_in_pieces():
     found = [len(x) for p in pieces for x in p.to_pylist()]
     assert found == [3, 0, 0, 0, 3] * 20
     assert pieces[0].to_pylist()[0][0] == {"start": 0, "end": 2, "phrase": "ab", "kind": "k", "severity": "high", "description": "x"}
+
+
+def by_hand(text, rules):
+    """Place, end and rule of each rule in the text, as characters."""
+    told = [(text.find(p), text.find(p) + len(p), p, *more) for p, *more in rules if p in text]
+    return sorted(told, key=lambda t: (t[0], t[1], t[2].encode(), *t[3:]))
+
+
+def test_parts_are_one_trie():
+    """A table beyond one part's characters is still looked for in one scan of the text."""
+    parts = [SimpleNamespace(value=[(f"phrase {i:03}", "k", "low", None)]) for i in range(200)]
+    rules, columns = _tries("parts", parts)
+    assert len(rules.trie.at) == 200 and all(len(c) == 200 for c in columns)
+    found = [r for p in _found(pa.array(["a phrase 007, phrase 199x phrase 200"]), rules, columns, 50) for r in p.to_pylist()]
+    assert [(t["start"], t["phrase"], t["description"]) for t in found[0]] == [
+        (2, "phrase 007", "Blocked phrase detected: 'phrase 007'"),
+        (14, "phrase 199", "Blocked phrase detected: 'phrase 199'"),
+    ]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_equals_a_search_by_hand(block, monkeypatch):
+    """Phrases within, behind and over one another, of one byte to hundreds, at the edges of texts and of blocks."""
+    monkeypatch.setattr(phrase_table, "_BLOCK", block)
+    monkeypatch.setattr(phrase_table, "_BUILD", block)
+    some = random.Random(1)
+    texts = ["".join(some.choices("ab cäß\0😀", k=some.choice([0, 1, 3, 30, 300]))) for _ in range(60)] + [None, "a" * 500, "ab" * 300]
+    phrases = {t[i : i + n] for t in texts if t for n in (1, 2, 3, 5, 8, 9, 16, 17, 40, 250) for i in some.choices(range(len(t)), k=3)} | {"ab" * 200, "zz", "a" * 600}
+    rules = sorted(((p, k, s, None) for p in phrases for k, s in some.sample([("k", "low"), ("k", "high"), ("j", "low")], some.choice([1, 2]))), key=lambda r: (r[0].encode(), *r[1:3]))
+    table = _tries(f"by hand {block}", [SimpleNamespace(value=rules[:50]), SimpleNamespace(value=rules[50:])])
+    # Texts may be part of a longer array.
+    array = pa.array(["ab", *texts]).slice(1)
+    pieces = list(_found(array, *table, 100))
+    got = [[(t["start"], t["end"], t["phrase"], t["kind"], t["severity"]) for t in r] for p in pieces for r in p.to_pylist()]
+    assert len(pieces) > 5 and got == [by_hand(t or "", [r[:3] for r in rules]) for t in texts]
+
+
+def test_hashes_that_meet_are_told_apart(monkeypatch):
+    """Where all hashes of a length are equal, bytes decide; phrases of equal hashes get other ones."""
+    seeds = []
+
+    class Poor(phrase_table._Hash):
+        def __init__(self, seed):
+            super().__init__(seed)
+            seeds.append(seed)
+            if seed < 2:
+                self.code[:] = 1
+
+    monkeypatch.setattr(phrase_table, "_Hash", Poor)
+    rules = [("ab", "k", "low", None), ("ba", "k", "low", None)]
+    found = [r for p in _found(pa.array(["aab", "xx"]), *_tries("poor", [SimpleNamespace(value=rules)]), 50) for r in p.to_pylist()]
+    assert seeds == [0, 1, 2] and [[t["phrase"] for t in r] for r in found] == [["ab"], []]
+    found = [r for p in _found(pa.array(["aab", "ab xx"]), *_tries("one", [SimpleNamespace(value=rules[:1])]), 50) for r in p.to_pylist()]
+    assert [[t["start"] for t in r] for r in found] == [[1], [0]]
+
+
+def test_worker_tells_of_threats(spark):
+    """What is made of the threats in the worker is what Spark makes of them."""
+    rules = [("ABC", "a", "high", None), ("abc", "b", None, "told"), ("b", None, "low", "x"), ("äö", None, None, None)]
+    table = spark.createDataFrame(rules, "phrase string, threat_type string, severity string, description string")
+
+    def lines(threats):
+        each = [x.cast(pa.string()) for x in threats.values.flatten()]
+        told = pa.ListArray.from_arrays(threats.offsets, pc.binary_join_element_wise(*each, ":"))
+        return pc.binary_join(told, "|")
+
+    told = find_phrases(texts(spark), "t", table, to="told", tell=lines, tell_type="string")
+    # A confidence of 1 is "1" in Arrow.
+    line = F.transform("threats", lambda t: F.concat_ws(":", *[t[n].cast("string") for n in phrase_table.THREAT_FIELDS[:-1]], F.lit("1")))
+    want = find_phrases(texts(spark), "t", table).select("id", F.array_join(line, "|").alias("told"))
+    got = {r.id: r.told for r in told.collect()}
+    assert got == {r.id: r.told for r in want.collect()} and got[4].count("|") == 2 and got[0] == ""
