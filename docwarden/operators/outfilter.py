@@ -155,12 +155,8 @@ def filter_output(
     last, low, folded = f"__t{len(rules.pii_rules)}", "__low", "__folded"
     final = F.col(last)
     same = final == F.col("__t0")
-    staged = staged.withColumns(
-        {
-            low: F.when(same, F.col("__low0")).when(final.isNotNull(), F.lower(final)),
-            folded: F.when(same, F.col("__folded0")).when(final.isNotNull(), F.expr(has_folded(f"lower({last})"))),
-        }
-    )
+    staged = staged.withColumn(low, F.when(same, F.col("__low0")).when(final.isNotNull(), F.lower(final)))
+    staged = staged.withColumn(folded, F.when(same, F.col("__folded0")).otherwise(F.expr(has_folded(low))))
     temps += [low, folded]
 
     flags = [
